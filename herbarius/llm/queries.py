@@ -10,6 +10,7 @@ from .common import table
 from .hamming_topk import binary_codes, hamming_topk
 from .secret_scan import secret_spans
 from .token_counts import token_counts
+from .warc import round_trip
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = binary_codes(table(spark, sf_dir, "embeddings"))
     return hamming_topk(codes, codes.filter(F.col("id") % 100 == 0), k=10)
@@ -28,10 +33,25 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op6_warc": op6_warc,
     "op10_hamming_topk": op10_hamming_topk,
 }
 
 ORACLE_SQL = {
+    "op6_warc": """
+        WITH rows_ AS (
+          SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+        firsts AS (SELECT sha, min(page_id) AS first FROM rows_ GROUP BY sha),
+        digits AS (
+          SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, CASE WHEN first < page_id THEN first END AS refers_to,
+            list_transform(range(8), lambda j: CAST('0x' || substr(sha, CAST(5 * j + 1 AS BIGINT), 5) AS BIGINT)) AS fives
+          FROM rows_ JOIN firsts USING (sha))
+        SELECT page_id, payload_bytes, refers_to,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST(1 + (fives[CAST(1 + i // 4 AS BIGINT)] >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 AS BIGINT), 1)), '') AS payload_digest,
+          CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type
+        FROM digits
+    """,
     "op10_hamming_topk": """
         WITH codes AS (
           SELECT DISTINCT vec_id AS id,
