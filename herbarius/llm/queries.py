@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 from .common import table
 from .hamming_topk import binary_codes, hamming_topk
 from .secret_scan import secret_spans
+from .sentencepiece_dropout import decode_ids, encode
 from .token_counts import token_counts
 from .warc import round_trip
 
 
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with merge-dropout, and the digest of what they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = encode(table(spark, sf_dir, "documents"), path, dropout=0.1, seed=1)
+    return decode_ids(tokens, path).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,7 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
