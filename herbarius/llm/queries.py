@@ -11,6 +11,7 @@ from .hamming_topk import binary_codes, hamming_topk
 from .secret_scan import secret_spans
 from .sentencepiece_dropout import decode_ids, encode
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
 from .warc import round_trip
 
 
@@ -33,6 +34,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = binary_codes(table(spark, sf_dir, "embeddings"))
     return hamming_topk(codes, codes.filter(F.col("id") % 100 == 0), k=10)
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_hamming_topk": op10_hamming_topk,
 }
 
