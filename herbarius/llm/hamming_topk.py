@@ -60,7 +60,7 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, segments: in
         pairs = pairs.select("query_id", "id", F.expr("cast(bit_count(qcode ^ code) as int)").alias("distance"))
         ranks = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
         return pairs.withColumn("rank", ranks).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
-    asked = stored(queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("qcode")), "queries")
+    asked = stored(queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("qcode"), F.lit(BITS).alias("bound")), "queries")
     spark, open_, best, answers = codes.sparkSession, asked, None, []
     parts = [f"bit_count({_segment('(qcode ^ code)', s, width)})" for s in range(segments)]
     nearest = f"least({', '.join(parts)})" if segments > 1 else parts[0]
@@ -72,12 +72,14 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, segments: in
             raise ValueError("segments of over 16 bits are probed up to radius 3")
         if masks is None:
             masks = _wide_masks(width, radius)
-        probes = open_.select("query_id", "qcode", F.explode(F.expr(f"sequence(0, {segments - 1})")).alias("seg"))
+        probes = open_.select("query_id", "qcode", "bound", F.explode(F.expr(f"sequence(0, {segments - 1})")).alias("seg"))
         own = F.expr("case " + " ".join(f"when seg = {s} then {_segment('qcode', s, width)}" for s in range(segments)) + " end")
-        probes = probes.select("query_id", "qcode", "seg", own.alias("own"), F.explode(F.expr(masks)).alias("mask")).select("query_id", "qcode", "seg", F.expr("own ^ mask").alias("val"))
-        # A code is found in several segments; it counts where the segment distance is smallest, first such segment.
-        found = probes.join(index, ["seg", "val"]).filter(F.expr(f"{nearest} = {radius} and seg = {first_seg}")).select("query_id", "code", F.expr("cast(bit_count(qcode ^ code) as int)").alias("distance"))
-        rows = found.join(kept, "code").filter("id <> query_id").select("query_id", "distance", "id")
+        probes = probes.select("query_id", "qcode", "bound", "seg", own.alias("own"), F.explode(F.expr(masks)).alias("mask")).select("query_id", "qcode", "bound", "seg", F.expr("own ^ mask").alias("val"))
+        # A code is found in several segments; it counts where the segment distance is smallest, first such segment,
+        # and if it isn't farther than the query's kth so far.  The planner can't tell how many probes there are: merge.
+        found = probes.hint("merge").join(index, ["seg", "val"]).filter(F.expr(f"{nearest} = {radius} and seg = {first_seg} and bit_count(qcode ^ code) <= bound"))
+        found = found.select("query_id", "code", F.expr("cast(bit_count(qcode ^ code) as int)").alias("distance"))
+        rows = found.hint("merge").join(kept, "code").filter("id <> query_id").select("query_id", "distance", "id")
         if best is not None:
             rows = rows.unionAll(best.join(open_.select("query_id"), "query_id", "left_semi"))
         top = stored(rows.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k), "best")
@@ -85,7 +87,9 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, segments: in
         state = top.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         done = state.filter((F.col("n") >= k) & (F.col("far") <= covered)).select("query_id")
         answers.append(top.join(done, "query_id", "left_semi") if radius < width else top)
-        still = stored(open_.join(done, "query_id", "left_anti"), "queries")
+        bounds = state.select("query_id", F.when(F.col("n") >= k, F.col("far")).otherwise(BITS).alias("bound"))
+        still = open_.drop("bound").join(done, "query_id", "left_anti").join(bounds, "query_id", "left")
+        still = stored(still.select("query_id", "qcode", F.coalesce("bound", F.lit(BITS)).alias("bound")), "queries")
         open_, best = still, top.drop("rank")
         if still.isEmpty():
             break
