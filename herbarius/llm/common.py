@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Python works through an Arrow batch in slices of about so many bytes of text.
 SLICE_BYTES = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +45,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    This cuts the lineage, and what was written outlives any executor.
+    This cuts the lineage, and what was written outlives any executor.  The shuffle files of
+    the run go as soon as it ends (a documented setting of Spark, put back afterwards).
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .hamming_topk import binary_codes, hamming_topk
+from .ngram_jaccard import jaccard_components
 from .secret_scan import secret_spans
 from .sentencepiece_dropout import decode_ids, encode
 from .token_counts import token_counts
@@ -22,6 +23,10 @@ def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(tokens, path).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
