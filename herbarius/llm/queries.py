@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .hamming_topk import binary_codes, hamming_topk
 from .ngram_jaccard import jaccard_components
+from .quality import quality_scores
 from .secret_scan import secret_spans
 from .sentencepiece_dropout import decode_ids, encode
 from .token_counts import token_counts
@@ -39,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op8_quality_cotraining": op8_quality_cotraining,
     "op9_toxicity": op9_toxicity,
     "op10_hamming_topk": op10_hamming_topk,
 }
