@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import leaks
 from .hamming_topk import binary_codes, hamming_topk
 from .ngram_jaccard import jaccard_components
 from .quality import quality_scores
@@ -32,6 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
     "op8_quality_cotraining": op8_quality_cotraining,
