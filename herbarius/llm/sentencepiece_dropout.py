@@ -155,7 +155,7 @@ def encode_all(p: Pieces, texts: list[str], keys: np.ndarray, dropout: float) ->
     starts = np.flatnonzero(begins)
     sizes = np.diff(starts, append=len(flat))
     # Byte pieces stand in for symbols that the vocabulary lacks, after the merges; until then -1.
-    position = np.arange(len(flat)) - starts_of_text[owner]
+    position = (np.arange(len(flat)) - starts_of_text[owner]).astype(np.int32)
     out = np.full(len(flat), -9, dtype=np.int32)  # merged symbols leave holes
     for width in np.unique(np.minimum(sizes, WIDE + 1)):
         if width == 1:
@@ -179,52 +179,56 @@ def encode_all(p: Pieces, texts: list[str], keys: np.ndarray, dropout: float) ->
 
 
 def _same_width(p: Pieces, sym, at, width: int, position, keys, limit, out) -> None:
-    """The agenda of many words of ``width`` symbols at once; results go to ``out``."""
-    where = at[:, None] + np.arange(width)
-    s, pos = sym[where], position[where].astype(np.int32)
-    rows = np.arange(len(at))
-    rank = p.rank(s[:, :-1].ravel(), s[:, 1:].ravel()).reshape(len(at), width - 1)
-    while len(rows):
-        best = rank.argmin(axis=1)
-        here = np.arange(len(rows))
-        value = rank[here, best]
-        live = value < NONE
-        if not live.all():
-            done = ~live
-            out[where[rows[done], : s.shape[1]]] = s[done]
-            rows, s, pos, rank, keys, best, value = rows[live], s[live], pos[live], rank[live], keys[live], best[live], value[live]
-            if not len(rows):
-                return
-            here = np.arange(len(rows))
+    """The agenda of many words of ``width`` symbols at once; results go to ``out``.
+
+    Column c of each word is row c of the matrices, which are kept flat.  A pair is held at its
+    left symbol's column as rank * 64 + column, so that the smallest number of a word is its
+    best pair, the leftmost of equals.  Merged symbols stay as holes that links pass over.
+    """
+    n = len(at)
+    s = np.ascontiguousarray(sym[at + np.arange(width)[:, None]]).ravel()
+    column = np.repeat(np.arange(width, dtype=np.int32), n)
+    after, before = column + 1, column - 1
+    pair = np.full(width * n, NONE, dtype=np.int32)
+    first = p.rank(s[:-n], s[n:])
+    pair[:-n] = np.where(first < NONE, first * 64 + column[:-n], NONE)
+    begins = position[at]
+    while n:
+        best = pair.reshape(width, n).min(axis=0)
+        x = np.flatnonzero(best < NONE)
+        if len(x) < 0.7 * n:
+            done = np.flatnonzero(best >= NONE)
+            for c in range(width):
+                out[at[done] + c] = s[c * n + done]
+            keep = (np.arange(width)[:, None] * n + x).ravel()
+            s, after, before, pair = s[keep], after[keep], before[keep], pair[keep]
+            at, begins, keys, best, n = at[x], begins[x], keys[x], best[x], len(x)
+            x = np.arange(n)
+        if not n:
+            return
+        best = best[x]
+        c = best & 63
+        here = c * n + x
+        pair[here] = NONE
+        j = after[here]
+        there = j * n + x
         if limit:
-            dropped = skips(keys, pos[here, best], s[here, best], s[here, best + 1], limit)
-            rank[here[dropped], best[dropped]] = NONE
-            go = np.flatnonzero(~dropped)
-            if not len(go):
-                continue
-        else:
-            go = here
-        b = best[go]
-        # Close the gap: columns from best + 1 on move left by one.
-        columns = np.arange(s.shape[1] - 1)
-        move = columns[None, :] + (columns[None, :] > b[:, None])
-        g = go[:, None]
-        s[g, columns] = s[g, move]
-        pos[g, columns] = pos[g, move]
-        s[go, -1] = -9
-        s[go, b] = p.piece_of_rank[value[go]]
-        if rank.shape[1] > 1:
-            move = columns[None, :-1] + (columns[None, :-1] >= b[:, None])
-            rank[g, columns[:-1]] = rank[g, move]
-        rank[go, -1] = NONE
-        before, after = b > 0, s[go, b + 1] >= 0
-        x, y = go[before], b[before]
-        rank[x, y - 1] = p.rank(s[x, y - 1], s[x, y])
-        if after.any():
-            x, y = go[after], b[after]
-            rank[x, y] = p.rank(s[x, y], s[x, y + 1])
-        other = ~after & (b < rank.shape[1])
-        rank[go[other], b[other]] = NONE
+            go = np.flatnonzero(~skips(keys[x], begins[x] + c, s[here], s[there], limit))
+            x, c, best, here, there = x[go], c[go], best[go], here[go], there[go]
+        made = p.piece_of_rank[best >> 6]
+        s[here], s[there], pair[there] = made, -9, NONE
+        j = after[there]
+        after[here] = j
+        inner = np.flatnonzero(j < width)
+        right = j[inner] * n + x[inner]
+        before[right] = c[inner]
+        rank = p.rank(made[inner], s[right])
+        pair[here[inner]] = np.where(rank < NONE, rank * 64 + c[inner], NONE)
+        i = before[here]
+        inner = np.flatnonzero(i >= 0)
+        left = i[inner] * n + x[inner]
+        rank = p.rank(s[left], made[inner])
+        pair[left] = np.where(rank < NONE, rank * 64 + i[inner], NONE)
 
 
 def _with_bytes(p: Pieces, flat, sym, out, left, starts, sizes, owner, n: int) -> tuple[np.ndarray, np.ndarray]:
