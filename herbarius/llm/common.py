@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Python works through an Arrow batch in slices of about so many bytes of text.
 SLICE_BYTES = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,20 +43,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+def stored(df: DataFrame, name: str = "stage", batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage, and what was written outlives any executor.  The shuffle files of
-    the run go as soon as it ends (a documented setting of Spark, put back afterwards).
+    the run go as soon as it ends; ``batch_rows`` bounds the Arrow batches of plans whose rows
+    are large.  Both are documented settings of Spark and are put back afterwards.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import components, discard, slices, splitmix, stored
 
 GROUPS = 64
-LEAF = 256
+LEAF = 128
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -223,7 +223,7 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     facts = docs.select("id", "n", "vec").filter("id is not null").dropDuplicates(["id"])
     rows = state.join(mixed, "key").join(facts, "id")
     rest = _leaf_pairs(rows, num, den).join(star, ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(stored(rest, "pairs"), sets, num, den))
+    links = links.unionAll(_verified(stored(rest, "pairs", batch_rows=32), sets, num, den))
     reach = stored(components(links).select(F.col("node").alias("rep"), "component"), "components")
     for x in (live, active, sets, star, mixed):
         discard(x)
