@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import leaks
 from .hamming_topk import binary_codes, hamming_topk
 from .ngram_jaccard import jaccard_components
+from .pii import personal_data
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .sentencepiece_dropout import decode_ids, encode
@@ -45,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op7_personal_data": op7_personal_data,
     "op8_quality_cotraining": op8_quality_cotraining,
     "op9_toxicity": op9_toxicity,
     "op10_hamming_topk": op10_hamming_topk,
