@@ -17,8 +17,10 @@ Lower level.  A node's documents are packed into leaves with their coordinate ma
 then documents and leaves, then documents are tested by the sums of minima.
 
 Large groups of copies cost no more than others: equal sets are one point; each point is first
-verified with the one that it shares most nodes with, which joins near copies in a star; nodes
-that lie in one component need no further test, and the others are joined leaf by leaf.
+tried with the one that it shares most nodes with, which joins near copies in a star; nodes
+that lie in one component need no further test, and the others are searched leaf by leaf.
+Points have about as many coordinates as their documents have shingles, so that the bound is
+sharp enough to keep all but a few unlinked pairs from the verification on sets.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, slices, splitmix, stored
 
-GROUPS = 64
+#: Bounds of a point's number of coordinates, and the documents of a leaf.
+LEAST, MOST = 64, 4096
 LEAF = 128
 
 
@@ -82,6 +85,19 @@ class Bands:
         return differ + 1 + spare, spare
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """Counts by group, a power of two of groups that is about the size of the set."""
+    groups = min(MOST, max(LEAST, 1 << max(0, len(s) - 1).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+
+
+def points_of(vecs: list[bytes]) -> np.ndarray:
+    """Points as rows of one width: those of more groups are folded, which adds up groups."""
+    rows = [np.frombuffer(v, dtype=np.uint16).astype(np.int32) for v in vecs]
+    width = min(map(len, rows))
+    return np.array([r.reshape(-1, width).sum(axis=0) for r in rows])
+
+
 def node_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of the nodes of a set: one for each group of each of its bands.
 
@@ -116,7 +132,7 @@ def _features(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
                     s = shingle_set(text, words)
                     n.append(len(s))
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    vec.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    vec.append(point(s).tobytes())
                     keys.append(node_keys(s, bands).view(np.int64))
                 cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(np.concatenate(keys), type=pa.int64()))
@@ -137,56 +153,81 @@ def _sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {kind}, n bigint, shingles array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are as similar as asked."""
+def _verified(pairs: DataFrame, df: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are as similar as asked; ``df`` has ``id, text``."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = stored(_sets(df.join(wanted, "id", "left_semi"), "id", "text", words), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.filter((num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    out = stored(both.filter((num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "links")
+    discard(wanted)
+    discard(sets)
+    return out
+
+
+def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that the sum of coordinate minima lets through."""
+    left = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    right = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
 
+    def run(batches):
+        for batch in batches:
+            na, nb = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("na", "nb"))
+            overlap = [int(np.minimum(*points_of([x, y])).sum()) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
+            keep = pa.array((num + den) * np.array(overlap, dtype=np.int64) >= num * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
-def _leaf_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+
+def _near_in_nodes(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Different pairs ``a, b`` of unlike component within a node whose bound is high enough.
 
-    ``rows`` has ``key, id, comp, n, vec, first`` (the node's first component) and ``size``.
-    A node's documents are dealt to leaves by whether they are of its first component, which
-    most are in a group of near copies, so pairs of leaves inside it are never made.
+    ``rows`` has ``key, id, comp, n, vec``, the node's first component as ``first`` and its
+    ``size``.  A node of few documents is one leaf.  The documents of others are dealt to
+    leaves by whether they are of the node's first component, which most are in a group of near
+    copies, and pairs of leaves inside it are never made.
     """
     kind = rows.schema["id"].dataType.simpleString()
+    member = F.struct("id", "comp", "n", "vec")
+    one = rows.filter(F.col("size") <= LEAF).groupBy("key").agg(F.collect_list(member).alias("pa")).select("pa", F.lit(None).cast("array<struct<id:" + kind + ",comp:" + kind + ",n:bigint,vec:binary>>").alias("pb"))
     main = F.col("comp") == F.col("first")
     leaf = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LEAF).cast("long")) * 2 + F.when(main, 0).otherwise(1)
-    leaves = rows.select("key", leaf.alias("leaf"), main.alias("main"), F.struct("id", "comp", "n", "vec").alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
+    leaves = rows.filter(F.col("size") > LEAF).select("key", leaf.alias("leaf"), main.alias("main"), member.alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
     a = leaves.select("key", F.col("leaf").alias("la"), F.col("main").alias("ma"), F.col("xs").alias("pa"))
     b = leaves.select("key", F.col("leaf").alias("lb"), F.col("main").alias("mb"), F.col("xs").alias("pb"))
-    joined = a.join(b, "key").filter("la <= lb and not (ma and mb)").select("pa", "pb")
+    several = a.join(b, "key").filter("la <= lb and not (ma and mb)").select("pa", "pb")
 
     def run(batches):
         for batch in batches:
+            found = set()
             for i in range(batch.num_rows):
-                pairs = _search(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), num, den)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], type=batch.column(0).type.value_type.field(0).type), pa.array([y for _, y in pairs], type=batch.column(0).type.value_type.field(0).type)], names=["a", "b"])
+                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                found.update(_search(left, left if right is None else right, num, den))
+            id_type = batch.column(0).type.value_type.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], type=id_type), pa.array([y for _, y in found], type=id_type)], names=["a", "b"])
 
-    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return one.unionAll(several).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _search(left: list[dict], right: list[dict], num: int, den: int) -> list[tuple]:
+def _search(left: list[dict], right: list[dict], num: int, den: int) -> set[tuple]:
     """Pairs of two leaves, smaller id first, that the sums of minima let through."""
-
-    def points(leaf):
-        return np.frombuffer(b"".join(x["vec"] for x in leaf), dtype=np.int32).reshape(-1, GROUPS).astype(np.int64), np.array([x["n"] for x in leaf], dtype=np.int64)
-
-    (va, na), (vb, nb) = points(left), points(right)
+    points = points_of([x["vec"] for x in left] + [x["vec"] for x in right])
+    va, vb = points[: len(left)], points[len(left) :]
+    na, nb = (np.array([x["n"] for x in leaf], dtype=np.int64) for leaf in (left, right))
     # A document against a leaf: the leaf's maxima, and the smallest of its documents.
     ka = np.flatnonzero((num + den) * np.minimum(va, vb.max(axis=0)).sum(axis=1) >= num * (na + nb.min()))
     kb = np.flatnonzero((num + den) * np.minimum(vb, va.max(axis=0)).sum(axis=1) >= num * (nb + na.min()))
+    own = np.array([x["comp"] for x in right], dtype=object)
     out = set()
     for i in ka:
-        bound = np.minimum(va[i], vb[kb]).sum(axis=1)
-        for j in kb[(num + den) * bound >= num * (na[i] + nb[kb])]:
-            x, y = left[i], right[j]
-            if x["comp"] != y["comp"]:
-                out.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
-    return list(out)
+        x = left[i]
+        js = kb[own[kb] != x["comp"]]
+        bound = np.minimum(va[i], vb[js]).sum(axis=1)
+        out.update((min(x["id"], right[j]["id"]), max(x["id"], right[j]["id"])) for j in js[(num + den) * bound >= num * (na[i] + nb[js])])
+    return out
 
 
 def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,14 +246,14 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     nodes = stored(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub"), "nodes")
     live = stored(entries.join(nodes, "key").select("key", "id", "hub"), "entries")
     discard(nodes)
-    active = stored(live.select("id").distinct(), "active")
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = stored(_sets(own.join(active, "id", "left_semi"), "id", "text", words), "sets")
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    facts = docs.select("id", "n", "vec").filter("id is not null and fp is not null").dropDuplicates(["id"])
 
     # A star: each point with the one that is first in most of its nodes.
     votes = live.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
     star = stored(votes.groupBy("id").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")), "star")
-    links = stored(_verified(star, sets, num, den), "links")
+    near = stored(_promising(star, facts, num, den), "pairs", batch_rows=512)
+    links = _verified(near, own, words, num, den)
     found = components(links)
 
     # What lies in nodes of several components.
@@ -220,12 +261,11 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     state = live.join(found, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
     mixed = state.groupBy("key").agg(F.min_by("comp", "id").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
     mixed = stored(mixed, "mixed")
-    facts = docs.select("id", "n", "vec").filter("id is not null").dropDuplicates(["id"])
     rows = state.join(mixed, "key").join(facts, "id")
-    rest = _leaf_pairs(rows, num, den).join(star, ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(stored(rest, "pairs", batch_rows=32), sets, num, den))
+    rest = stored(_near_in_nodes(rows, num, den).join(star, ["a", "b"], "left_anti"), "pairs", batch_rows=32)
+    links = links.unionAll(_verified(rest, own, words, num, den))
     reach = stored(components(links).select(F.col("node").alias("rep"), "component"), "components")
-    for x in (live, active, sets, star, mixed):
+    for x in (live, star, near, mixed, rest):
         discard(x)
     named = stored(classes.join(reach, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
     return docs.select("id", "n", "fp").join(named, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
