@@ -149,3 +149,27 @@ def test_not_in_on_empty(spark):
     a = spark.createDataFrame([(1,), (None,)], "k int")
     assert relational.not_in_values(a, "k", spark.createDataFrame([], "x int"), "x").count() == 2
     assert isinstance(a.first(), Row)
+
+
+def test_flow_resumes_and_skips(spark):
+    from herbarius.plans.steps import Flow, Step
+
+    calls = []
+
+    def first(_):
+        calls.append("first")
+        return spark.range(3)
+
+    def broken(_):
+        raise RuntimeError("no source")
+
+    def second(made):
+        calls.append("second")
+        return made["raw.first"].filter("id > 0")
+
+    flow = Flow([Step("raw.first", first), Step("raw.broken", broken, optional=True), Step("clean.second", second)])
+    assert flow.run(spark)["clean.second"].count() == 2 and "raw.broken" in flow.failed
+    flow.run(spark)
+    assert calls == ["first", "second"]
+    flow.run(spark, only=["clean.second"], force=True)
+    assert calls == ["first", "second", "second"]
