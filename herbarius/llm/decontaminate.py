@@ -27,6 +27,8 @@ from .common import discard, free_name, slices, stored
 #: Words of a base block; windows are of two blocks of 8, 16 or 32 words.
 BLOCK = 8
 SCALES = (16, 32, 64)
+#: Size of a passage's windows against its own, as paraphrases may be longer.
+ROOM = 1.3
 #: ASCII punctuation separates words, as white space does.
 _SPACED = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 
@@ -171,7 +173,7 @@ def fit_space(df: DataFrame, items: list, text_col: str, rank: int, common: floa
     for item, ids, answer in parts:
         rare = sorted(set(ids.tolist()), key=lambda i: (frequency[i], i))[:3]
         known = frozenset(number.get(w, -2) for w in answer) if answer else frozenset(rare)
-        passages.append(Passage(item, ids, known, next(s for s in SCALES if len(ids) <= s), _masks(ids)))
+        passages.append(Passage(item, ids, known, next((s for s in SCALES if ROOM * len(ids) <= s), SCALES[-1]), _masks(ids)))
     where = np.array([terms[p.ids].sum(axis=0) for p in passages]).reshape(len(passages), -1)
     lengths = np.maximum(np.linalg.norm(where, axis=1), 1e-9)
     return Space(number, passages, np.append(useful, False), terms, (where / lengths[:, None]).astype(np.float32), lengths.astype(np.float32))
