@@ -182,20 +182,20 @@ def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _near_in_nodes(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _near_in_nodes(members: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Different pairs ``a, b`` of unlike component within a node whose bound is high enough.
 
-    ``rows`` has ``key, id, comp, n, vec``, the node's first component as ``first`` and its
-    ``size``.  A node of few documents is one leaf.  The documents of others are dealt to
+    ``members`` has ``key, id, comp``, the node's first component as ``first`` and its ``size``;
+    ``facts`` has ``id, n, vec``.  A node of few documents is one leaf.  The documents of others are dealt to
     leaves by whether they are of the node's first component, which most are in a group of near
     copies, and pairs of leaves inside it are never made.
     """
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = members.schema["id"].dataType.simpleString()
     member = F.struct("id", "comp", "n", "vec")
-    one = rows.filter(F.col("size") <= LEAF).groupBy("key").agg(F.collect_list(member).alias("pa")).select("pa", F.lit(None).cast("array<struct<id:" + kind + ",comp:" + kind + ",n:bigint,vec:binary>>").alias("pb"))
+    one = members.filter(F.col("size") <= LEAF).join(facts, "id").groupBy("key").agg(F.collect_list(member).alias("pa")).select("pa", F.lit(None).cast("array<struct<id:" + kind + ",comp:" + kind + ",n:bigint,vec:binary>>").alias("pb"))
     main = F.col("comp") == F.col("first")
     leaf = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LEAF).cast("long")) * 2 + F.when(main, 0).otherwise(1)
-    leaves = rows.filter(F.col("size") > LEAF).select("key", leaf.alias("leaf"), main.alias("main"), member.alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
+    leaves = members.filter(F.col("size") > LEAF).join(facts, "id").select("key", leaf.alias("leaf"), main.alias("main"), member.alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
     a = leaves.select("key", F.col("leaf").alias("la"), F.col("main").alias("ma"), F.col("xs").alias("pa"))
     b = leaves.select("key", F.col("leaf").alias("lb"), F.col("main").alias("mb"), F.col("xs").alias("pb"))
     several = a.join(b, "key").filter("la <= lb and not (ma and mb)").select("pa", "pb")
@@ -261,11 +261,11 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     state = live.join(found, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
     mixed = state.groupBy("key").agg(F.min_by("comp", "id").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
     mixed = stored(mixed, "mixed")
-    rows = state.join(mixed, "key").join(facts, "id")
-    rest = stored(_near_in_nodes(rows, num, den).join(star, ["a", "b"], "left_anti"), "pairs", batch_rows=32)
+    members = stored(state.join(mixed, "key"), "members")
+    rest = stored(_near_in_nodes(members, facts, num, den).join(star, ["a", "b"], "left_anti"), "pairs", batch_rows=32)
     links = links.unionAll(_verified(rest, own, words, num, den))
     reach = stored(components(links).select(F.col("node").alias("rep"), "component"), "components")
-    for x in (live, star, near, mixed, rest):
+    for x in (live, star, near, mixed, members, rest):
         discard(x)
     named = stored(classes.join(reach, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
     return docs.select("id", "n", "fp").join(named, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
