@@ -86,16 +86,15 @@ class Bands:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts by group, a power of two of groups that is about the size of the set."""
-    groups = min(MOST, max(LEAST, 1 << max(0, len(s) - 1).bit_length()))
-    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+    """Counts by group, up to 255; groups are a power of two, half as many as shingles at least."""
+    groups = min(MOST, max(LEAST, 1 << max(0, len(s) - 1).bit_length() >> 1))
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
 def points_of(vecs: list[bytes]) -> np.ndarray:
     """Points as rows of one width: those of more groups are folded, which adds up groups."""
-    rows = [np.frombuffer(v, dtype=np.uint16).astype(np.int32) for v in vecs]
-    width = min(map(len, rows))
-    return np.array([r.reshape(-1, width).sum(axis=0) for r in rows])
+    width = min(map(len, vecs))
+    return np.array([np.frombuffer(v, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for v in vecs])
 
 
 def node_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -174,8 +173,11 @@ def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
     def run(batches):
         for batch in batches:
             na, nb = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("na", "nb"))
-            overlap = [int(np.minimum(*points_of([x, y])).sum()) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
-            keep = pa.array((num + den) * np.array(overlap, dtype=np.int64) >= num * (na + nb))
+            both = [points_of([x, y]) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
+            # What a count over 255 leaves out may be common as well, as far as both have such.
+            cut = np.minimum(na - [p[0].sum() for p in both], nb - [p[1].sum() for p in both])
+            overlap = np.array([np.minimum(*p).sum() for p in both], dtype=np.int64) + cut
+            keep = pa.array((num + den) * overlap >= num * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -217,15 +219,16 @@ def _search(left: list[dict], right: list[dict], num: int, den: int) -> set[tupl
     points = points_of([x["vec"] for x in left] + [x["vec"] for x in right])
     va, vb = points[: len(left)], points[len(left) :]
     na, nb = (np.array([x["n"] for x in leaf], dtype=np.int64) for leaf in (left, right))
+    cut_a, cut_b = na - va.sum(axis=1), nb - vb.sum(axis=1)  # what counts over 255 leave out, which may be common as well
     # A document against a leaf: the leaf's maxima, and the smallest of its documents.
-    ka = np.flatnonzero((num + den) * np.minimum(va, vb.max(axis=0)).sum(axis=1) >= num * (na + nb.min()))
-    kb = np.flatnonzero((num + den) * np.minimum(vb, va.max(axis=0)).sum(axis=1) >= num * (nb + na.min()))
+    ka = np.flatnonzero((num + den) * (np.minimum(va, vb.max(axis=0)).sum(axis=1) + cut_a) >= num * (na + nb.min()))
+    kb = np.flatnonzero((num + den) * (np.minimum(vb, va.max(axis=0)).sum(axis=1) + cut_b) >= num * (nb + na.min()))
     own = np.array([x["comp"] for x in right], dtype=object)
     out = set()
     for i in ka:
         x = left[i]
         js = kb[own[kb] != x["comp"]]
-        bound = np.minimum(va[i], vb[js]).sum(axis=1)
+        bound = np.minimum(va[i], vb[js]).sum(axis=1) + np.minimum(cut_a[i], cut_b[js])
         out.update((min(x["id"], right[j]["id"]), max(x["id"], right[j]["id"])) for j in js[(num + den) * bound >= num * (na[i] + nb[js])])
     return out
 
