@@ -270,8 +270,11 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     reach = stored(components(links).select(F.col("node").alias("rep"), "component"), "components")
     for x in (live, star, near, mixed, members, rest):
         discard(x)
+    slim = stored(docs.select("id", "n", "fp"), "sizes")
     named = stored(classes.join(reach, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return docs.select("id", "n", "fp").join(named, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    for x in (docs, classes, reach):
+        discard(x)
+    return slim.join(named, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def first_of_each(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

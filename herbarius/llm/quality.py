@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, stored
+from .common import discard, free_name, slices, stored
 
 LANGS, SOURCES = 16, 64
 #: Marks that running text uses.
@@ -177,6 +177,7 @@ def fit(
     text, meta = _arrays(known)
     y = np.array([float(r["label"]) for r in known])
     if not len(y) or any(len(set(y[part])) < 2 for part in (fold == 0, fold != 0)):
+        discard(views)
         return None
     train = fold != 0
     data = [[x[train]] for x in (text, meta)]
@@ -196,6 +197,8 @@ def fit(
                     data[1 - own].append(_arrays(rows)[1 - own])
                     targets[1 - own].append(np.full(len(rows), label))
         models = [fit_logistic(np.concatenate(x), np.concatenate(t)) for x, t in zip(data, targets, strict=True)]
+    discard(views)
+    discard(sample)
     held = fold == 0
     logits = [m.logit(x[held]) for m, x in zip(models, (text, meta), strict=True)]
     calibrated = [fit_logistic(z[:, None], y[held], 0.1) for z in logits]
