@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, slices, splitmix, stored
 
-#: Bounds of a point's number of coordinates, and the documents of a leaf.
-LEAST, MOST = 64, 4096
+#: Bounds of a point's number of coordinates, coordinates within nodes, and documents of a leaf.
+LEAST, MOST, COARSE = 64, 4096, 128
 LEAF = 128
 
 
@@ -85,9 +85,10 @@ class Bands:
         return differ + 1 + spare, spare
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts by group, up to 255; groups are a power of two, half as many as shingles at least."""
-    groups = min(MOST, max(LEAST, 1 << max(0, len(s) - 1).bit_length() >> 1))
+def point(s: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Counts by group, up to 255; groups are a power of two, half as many as shingles at least
+    as long as that isn't over ``most``."""
+    groups = min(most, max(LEAST, 1 << max(0, len(s) - 1).bit_length() >> 1))
     return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
@@ -120,25 +121,27 @@ def node_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _features(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """``id, n, fp, vec, keys``: set size, digest of the set (null if empty), counts, nodes."""
+    """``id, n, fp, vec, coarse, keys``: set size, digest of the set (null if empty), point, the
+    same with few coordinates, nodes."""
 
     def run(batches):
         bands = Bands(num, den)
         for batch in batches:
             for part in slices(batch, text_col):
-                n, fp, vec, keys = [], [], [], []
+                n, fp, vec, coarse, keys = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, words)
                     n.append(len(s))
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     vec.append(point(s).tobytes())
+                    coarse.append(point(s, COARSE).tobytes())
                     keys.append(node_keys(s, bands).view(np.int64))
                 cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(np.concatenate(keys), type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, type=pa.int64()), pa.array(fp, type=pa.binary()), pa.array(vec, type=pa.binary()), lists], names=["id", "n", "fp", "vec", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, type=pa.int64()), pa.array(fp, type=pa.binary()), pa.array(vec, type=pa.binary()), pa.array(coarse, type=pa.binary()), lists], names=["id", "n", "fp", "vec", "coarse", "keys"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {kind}, n bigint, fp binary, vec binary, keys array<bigint>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {kind}, n bigint, fp binary, vec binary, coarse binary, keys array<bigint>")
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -250,7 +253,8 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     live = stored(entries.join(nodes, "key").select("key", "id", "hub"), "entries")
     discard(nodes)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    facts = docs.select("id", "n", "vec").filter("id is not null and fp is not null").dropDuplicates(["id"])
+    known = docs.filter("id is not null and fp is not null")
+    facts, coarse = (known.select("id", "n", F.col(c).alias("vec")).dropDuplicates(["id"]) for c in ("vec", "coarse"))
 
     # A star: each point with the one that is first in most of its nodes.
     votes = live.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
@@ -265,10 +269,12 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     mixed = state.groupBy("key").agg(F.min_by("comp", "id").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
     mixed = stored(mixed, "mixed")
     members = stored(state.join(mixed, "key"), "members")
-    rest = stored(_near_in_nodes(members, facts, num, den).join(star, ["a", "b"], "left_anti"), "pairs", batch_rows=32)
+    # Points go with each of their nodes, hence the coarse ones; a pair that is left is tried once on all coordinates.
+    rough = stored(_near_in_nodes(members, coarse, num, den).join(star, ["a", "b"], "left_anti"), "pairs", batch_rows=64)
+    rest = stored(_promising(rough, facts, num, den), "pairs", batch_rows=512)
     links = links.unionAll(_verified(rest, own, words, num, den))
     reach = stored(components(links).select(F.col("node").alias("rep"), "component"), "components")
-    for x in (live, star, near, mixed, members, rest):
+    for x in (live, star, near, mixed, members, rough, rest):
         discard(x)
     slim = stored(docs.select("id", "n", "fp"), "sizes")
     named = stored(classes.join(reach, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
