@@ -27,13 +27,18 @@ from .common import slices, stored
 #: Look-alikes and the letters that they may stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 BUCKETS = 1 << 18
-SEPARATORS = " .\\-_*~,"
-SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[{SEPARATORS}][^\W_]){{3,}}(?![^\W_])")
+SIGNS = "@$!|+€£¡"
+GAP = r"[\s.\-_*~,]"
+#: Four or more single characters or runs of one, each a letter, digit or sign, with gaps between.
+SPACED = re.compile(rf"(?<![^\W_])((?<![{SIGNS}])[{SIGNS}]|[^\W_])\1*+(?:{GAP}++([^\W_]|[{SIGNS}])\2*+){{3,}}(?![^\W_])")
+RUN = re.compile(rf"({GAP})(?:{GAP})*|(.)\2*", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+€£¡]|[0-9@$!|+€£¡][^\W\d_]|([^\W\d_])\1\1")
-#: Marks around a token that are punctuation or decoration, not letters.
-EDGES = re.compile(r"^(?:([^\w\s])\1{2,}|[!|+.,;:?*#%&()\[\]{}\"'<>=-])+|(?:([^\w\s])\2{2,}|[!|+.,;:?*#%&()\[\]{}\"'<>=-])+$")
-LONGEST = 32
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Bits by which a word has to be likelier without some of its doubled letters than as it stands.
+GAIN = 6.0
+#: Longest token whose restored word is kept for the next time.
+KEPT = 64
 CACHE = 300_000
 
 
@@ -67,53 +72,104 @@ class Channel:
             self.seen[key] = -math.log2(p)
         return self.seen[key]
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind a token; marks that stand for nothing are dropped."""
-        arcs, i = [], 0
-        while i < len(token):
-            c, j = token[i], i
-            while j < len(token) and token[j] == c:
-                j += 1
-            k, i = j - i, j
+    def arcs(self, token: str, gaps: bool) -> list[list[tuple[str, float]]]:
+        """For each run of a character, the letters it may stand for and their prices; "$" ends
+        a word.  With ``gaps``, separators stand between letters and are nothing or a word end,
+        the wide ones rather that."""
+        runs = [m[0] for m in RUN.finditer(token)] if gaps else [m[0] for m in re.finditer(r"(.)\1*", token, re.S)]
+        held = [i for i, x in enumerate(runs) if x[0].isalnum()]
+        first, last = (held[0], held[-1]) if held else (0, len(runs))
+        width = lambda x: len(x) + any(c.isspace() for c in x)
+        narrow = min((width(x) for x in runs if gaps and re.match(GAP, x)), default=0)
+        out: list[list[tuple[str, float]]] = []
+        before, alike = "", 0
+        for i, run in enumerate(runs):
+            c, k = run[0], len(run)
+            if gaps and re.match(GAP, c):
+                wide = width(run) > narrow
+                out.append([("", 3.0 * wide), ("$", 3.0 * (not wide))])
+                continue
+            before, alike = c, alike + 1 if c == before else 1
             if c.isalpha():
-                arcs.append([(c * n, 1.5 * (2 - n) if k == 2 else 1.0 if n < 3 else 4.0 + k) for n in {1, 2, k} if n <= k and not (k == 1 and n != 1)])
+                some = [(c * n, 1.5 * (2 - n) if k == 2 else 1.0 if k > 2 else 0.0) for n in {1, min(k, 2)}]
+                if k == 1 and not gaps:
+                    some = [(c, 1.0)]
+                if alike > 1:  # a repeat over a gap
+                    some = [(x, price + 4.0 * (alike > 2)) for x, price in some] + [("", 1.5 * (alike == 2))]
             else:
                 letters = LOOKALIKES.get(c, "")
-                arcs.append([(x * n, 1.0 * min(k, 3) + (k - n)) for x in letters for n in ({1, k} if k < 3 else {1})] + [("", 5.0 if letters and k == 1 else 3.0)])
-        best = {("^", "^"): (0.0, "")}
+                drop = 5.0 if letters and k == 1 else 3.0
+                if not c.isalnum() and (i > last or i < first and not letters):
+                    drop = 0.0  # punctuation
+                some = [(x * n, 1.0 * min(k, 3) + min(k - n, 2)) for x in letters for n in ({1, k} if k < 3 else {1})] + [("", drop)]
+            out.append(some)
+        return out
+
+    def best(self, arcs: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """Bits and letters of the cheapest way through the lattice."""
+        best: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
         for choices in arcs:
-            new: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+            new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in best.items():
                 for out, price in choices:
                     x, y, total = a, b, cost + price
                     for c in out:
                         total += self.cost(x, y, c)
-                        x, y = y, c
+                        x, y = (y, c) if c != "$" else ("^", "^")
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = total, text + out
+                        new[x, y] = total, (path, out) if out else path
             best = new
-        return min((cost + self.cost(a, b, "$"), text) for (a, b), (cost, text) in best.items())[1]
+        total, path = min(((cost + self.cost(a, b, "$"), path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
+        found = []
+        while path:
+            path, out = path
+            found.append(out)
+        return total, "".join(reversed(found))
+
+    def decode(self, token: str) -> str:
+        """The likeliest word behind a token; marks that stand for nothing are dropped."""
+        return self.kept(token, lambda: self.best(self.arcs(token, False))[1])
+
+    def undoubled(self, word: str) -> str:
+        """The likeliest word with doubled letters as one, if it is likelier by ``GAIN``."""
+
+        def run():
+            arcs = [[(out, price - (len(c) == 1)) for out, price in c] for c in self.arcs(word, False)]
+            total, text = self.best(arcs)
+            return text if self.best([[(word, 0.0)]])[0] - total >= GAIN else word
+
+        return self.kept("2" + word, run)
+
+    def kept(self, key: str, run) -> str:
+        if key in self.restored:
+            return self.restored[key]
+        if len(self.restored) > CACHE:
+            self.restored.clear()
+        text = run()
+        if len(key) <= KEPT:
+            self.restored[key] = text
+        return text
 
     def words(self, chunk: str) -> tuple[str, ...]:
         """Words of a lower-case part between white space, restored if it looks odd."""
-        if chunk.isalpha() and not ODD.search(chunk):
+        doubled = DOUBLED.search(chunk)
+        if chunk.isalpha() and not doubled:
             return (chunk,)
-        found, core = WORD.findall(chunk), EDGES.sub("", chunk)
-        if len(core) <= LONGEST and ODD.search(core):
-            if core not in self.restored:
-                if len(self.restored) > CACHE:
-                    self.restored.clear()
-                self.restored[core] = self.decode(core)
-            found.append(self.restored[core])
+        found, i, j = WORD.findall(chunk), 0, len(chunk)
+        while i < j and not (chunk[i].isalnum() or chunk[i] in LOOKALIKES):
+            i += 1
+        while i < j and not (chunk[j - 1].isalnum() or chunk[j - 1] in LOOKALIKES):
+            j -= 1
+        core = chunk[i:j]
+        if ODD.search(core):
+            found.append(self.decode(core))
+        elif doubled:
+            found += [x for w in found if DOUBLED.search(w) and (x := self.undoubled(w)) != w]
         return tuple(found)
 
     def spaced(self, text: str) -> list[str]:
         """Words written with marks or spaces between their letters."""
-        out = []
-        for m in SPACED.finditer(text):
-            word = re.sub(rf"[{SEPARATORS}]", "", m[0])
-            out.append(self.decode(word) if len(word) <= LONGEST else word)
-        return out
+        return [w for m in SPACED.finditer(text) for w in self.kept(m[0], lambda m=m: self.best(self.arcs(m[0], True))[1]).split("$") if w]
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -267,6 +267,17 @@ def test_deobfuscation(spark):
     assert c.spaced("you s t u p i d") == ["stupid"] and c.words("garden") == ("garden",)
 
 
+def test_deobfuscation_without_gates(spark):
+    words = ["stupid", "idiot", "moron", "trash", "worthless", "hello", "good", "you", "garden", "great"]
+    c = toxicity.Channel(toxicity.language_model(spark.createDataFrame([(w, 50) for w in words], "word string, n long")))
+    for odd, plain in (("stu" + "u" * 35 + "pid", "stupid"), ("m" + "o" * 40 + "r0n", "moron"), ("m" + "0" * 40 + "r0n", "moron"), ("!diot", "idiot"), ('"|diot",', "idiot"), ("+rash", "trash"), ("iddiioott", "idiot"), ("stupid" * 20 + "!d1ot", "stupid" * 20 + "idiot")):
+        assert c.words(odd)[-1] == plain
+    assert c.words("great!") == ("great", "great") and c.words("good") == ("good",) and c.words("hello") == ("hello",)
+    for run, plain in (("s  t  u  p  i  d", ["stupid"]), ("$ - t . u - p . ! - d", ["stupid"]), ("s t uuu p i d", ["stupid"]), ("y o u i d i o t", ["you", "idiot"]), ("i d i o t   m o r o n", ["idiot", "moron"]), ("i-d-i-o-t m-o-r-o-n", ["idiot", "moron"])):
+        assert c.spaced(run) == plain
+    assert toxicity.SPACED.search("! " * 3 + "!" * 200_000 + "x") is None
+
+
 def test_hamming_topk(spark):
     r = random.Random(2)
     centres = [r.getrandbits(64) for _ in range(20)]
