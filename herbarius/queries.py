@@ -17,6 +17,7 @@ from .operators import prep as P
 from .operators import relational as R
 from .operators import spatial as S
 from .plans import clean
+from .plans.score import DEGREES, METRES
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -420,6 +421,31 @@ def spatial_label(s, d):
     return R.with_existence(t(s, d, "orders").select("o_orderkey"), "o_orderkey", near, "o_orderkey", "expert_match")
 
 
+# The same over whole tables: every order against every customer at the distance of the scores.
+
+
+def _customer_pairs(s, d):
+    c = t(s, d, "orders").select("o_orderkey", lon("o_orderkey").alias("cx"), lat("o_orderkey").alias("cy"))
+    e = t(s, d, "customer").select(F.col("c_custkey").alias("expert_id"), lon("c_custkey").alias("ex"), lat("c_custkey").alias("ey"))
+    return S.within_distance(c, e, DEGREES, [], ("cx", "cy"), ("ex", "ey"))
+
+
+@query(None)
+def spatial_distance_join_whole(s, d):
+    return _customer_pairs(s, d).select("o_orderkey", "expert_id")
+
+
+@query(None)
+def spatial_logistic_score_whole(s, d):
+    return _customer_pairs(s, d).select("o_orderkey", "expert_id", C.round_half_away(C.logistic_decay(1000 * G.distance("cx", "cy", "ex", "ey")), 6).alias("spatial_score"))
+
+
+@query(None)
+def spatial_label_whole(s, d):
+    near = _customer_pairs(s, d).filter(G.distance(G.mercator_x("cx"), G.mercator_y("cy"), G.mercator_x("ex"), G.mercator_y("ey")) <= METRES)
+    return R.with_existence(t(s, d, "orders").select("o_orderkey"), "o_orderkey", near, "o_orderkey", "expert_match")
+
+
 #: A square with a hole and a triangle (fixed values).
 _RINGS = [[(-73.5, 45.2), (-71.5, 45.2), (-71.5, 46.8), (-73.5, 46.8)], [(-73.0, 45.6), (-72.0, 45.6), (-72.0, 46.2), (-73.0, 46.2)], [(-71.2, 45.1), (-70.2, 45.1), (-70.7, 46.5)]]
 _EDGES = ", ".join(f"({a}, {b}, {c}, {e})" for a, b, c, e in G.edges_of(_RINGS))

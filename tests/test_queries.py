@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL on the smallest tables."""
 
 import glob
+import math
 import os
 
 import pytest
@@ -40,3 +41,26 @@ def test_query(spark, oracle, name):
     mine = sorted(str([plain(r[c]) for c in order]) for r in rows)
     theirs = sorted(str([plain(r[columns.index(c)]) for c in order]) for r in found.fetchall())
     assert mine == theirs
+
+
+def test_whole_spatial_queries_by_brute_force(spark, tmp_path):
+    place = lambda k: (k * 37 % 4001 / 1000.0 - 74, k * 91 % 2003 / 1000.0 + 45)
+    orders, customers = list(range(1, 1500)), list(range(1, 200))
+    spark.createDataFrame([(k,) for k in orders], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in customers], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    up = lambda y: math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * 6378137.0
+    want, labelled = {}, set()
+    for o in orders:
+        for c in customers:
+            (x1, y1), (x2, y2) = place(o), place(c)
+            r = math.hypot(x1 - x2, y1 - y2)
+            if r <= 0.1:
+                want[o, c] = 1 / (1 + math.exp(0.5 * (1000 * r - 10)))
+                if math.hypot(math.radians(x1 - x2) * 6378137.0, up(y1) - up(y2)) <= 4000:
+                    labelled.add(o)
+    pairs = QUERIES["spatial_distance_join_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.o_orderkey, r.expert_id) for r in pairs) == sorted(want) and any(o % 20 and c % 20 for o, c in want)
+    scores = {(r.o_orderkey, r.expert_id): r.spatial_score for r in QUERIES["spatial_logistic_score_whole"](spark, str(tmp_path)).collect()}
+    assert scores.keys() == want.keys() and all(abs(scores[k] - x) < 1e-6 for k, x in want.items())
+    labels = {r.o_orderkey: r.expert_match for r in QUERIES["spatial_label_whole"](spark, str(tmp_path)).collect()}
+    assert labels == {o: int(o in labelled) for o in orders} and labelled
