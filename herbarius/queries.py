@@ -543,20 +543,25 @@ def pca_encode(s, d):
     return P.principal_components(rows, "o_custkey", ["n", "total", "top"])
 
 
-def _fitted(s, d, kind: str, trees: int):
-    rows = t(s, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
-    model = M.trained(rows.sample(0.2, seed=1), "label", ["l_quantity", "l_discount", "l_tax"], kind, trees)
+def _fitted(s, d, kind: str):
+    rows = t(s, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
+    model = M.trained(rows, "label", ["l_quantity", "l_discount", "l_tax"], kind)
     return M.regression_metrics(model.transform(rows), "label", "prediction")
 
 
 @query(None)
 def linear_regression(s, d):
-    return _fitted(s, d, "linear", 1)
+    return _fitted(s, d, "linear")
 
 
 @query(None)
 def forest_regression(s, d):
-    return _fitted(s, d, "forest", 5)
+    return _fitted(s, d, "forest")
+
+
+@query(None)
+def gbt(s, d):
+    return _fitted(s, d, "boosted")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "Window"]

@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from herbarius.operators import models
 from herbarius.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +65,16 @@ def test_whole_spatial_queries_by_brute_force(spark, tmp_path):
     assert scores.keys() == want.keys() and all(abs(scores[k] - x) < 1e-6 for k, x in want.items())
     labels = {r.o_orderkey: r.expert_match for r in QUERIES["spatial_label_whole"](spark, str(tmp_path)).collect()}
     assert labels == {o: int(o in labelled) for o in orders} and labelled
+
+
+@pytest.mark.parametrize(("name", "kind"), [("linear_regression", "linear"), ("forest_regression", "forest"), ("gbt", "boosted")])
+def test_regressions_fit_on_all_rows(spark, monkeypatch, name, kind):
+    seen, fit = [], models.trained
+
+    def trained(rows, label, columns, kind, trees=500):
+        seen.append((rows.count(), kind, trees))
+        return fit(rows, label, columns, "linear")
+
+    monkeypatch.setattr(models, "trained", trained)
+    assert QUERIES[name](spark, DATA).collect()
+    assert seen == [(spark.read.parquet(f"{DATA}/lineitem.parquet").count(), kind, 500)]
