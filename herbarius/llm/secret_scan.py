@@ -36,11 +36,17 @@ _KEYWORDS = "|".join(map(_either_case, ("password", "passwd", "secret", "token",
 ASSIGN = re.compile(rf"""(?=[PpSsTtAa])({_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
+#: A line end, also as written in strings; starts of wrapped keys, whose lines are of one width but for the last.
+EOL = r"[ \t]*(?:\r?\n|\\+[rn])(?:\s|\\+[rn])*"
+WRAPPED64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{{15,}}(?={EOL}[A-Za-z0-9+/_-])")
+WRAPPED_HEX = re.compile(rf"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd]6[Bb]6579)[0-9A-Fa-f]{{14,}}(?={EOL}[0-9A-Fa-f])")
+LINE64, LINE_HEX = re.compile(rf"{EOL}([A-Za-z0-9+/_-]+={{0,2}})"), re.compile(rf"{EOL}([0-9A-Fa-f]+)(?![0-9A-Fa-f])")
+
 
 def decode64(s: str) -> bytes | None:
     s = s.rstrip("=").replace("-", "+").replace("_", "/")
@@ -73,15 +79,23 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+#: Object identifiers of password-based encryption begin so: PKCS#5 and PKCS#12.
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def is_der_key(data: bytes) -> bool:
     """A private key: PKCS#1 (version and eight integers), PKCS#8 (version, algorithm with
-    an object identifier, octet string) or SEC 1 (version 1, octet string)."""
+    an object identifier, octet string), encrypted PKCS#8 (password-based algorithm, octet
+    string) or SEC 1 (version 1, octet string)."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = der_items(data)
     if not top or len(top) != 1:
         return False
     inside = der_items(top[0][1])
+    if inside and [t for t, _ in inside] == [0x30, 0x04]:
+        algorithm = der_items(inside[0][1])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and algorithm[0][1].startswith(ENCRYPTIONS) and len(inside[1][1]) >= 16
     if not inside or len(inside) < 2 or inside[0][0] != 0x02 or len(inside[0][1]) != 1:
         return False
     tags = [t for t, _ in inside]
@@ -135,6 +149,44 @@ def key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def unhex(s: str) -> bytes | None:
+    return bytes.fromhex(s) if len(s) % 2 == 0 else None
+
+
+def der_size(data: bytes | None) -> int:
+    """Bytes of the DER sequence that ``data`` begins; 0 if it doesn't begin one."""
+    if not data or len(data) < 6 or data[0] != 0x30:
+        return 0
+    size = data[1] & 0x7F
+    if data[1] < 0x80:
+        return 2 + size
+    return 2 + size + int.from_bytes(data[2 : 2 + size]) if 1 <= size <= 4 else 0
+
+
+def wrapped(text: str, start: re.Pattern, line: re.Pattern, decode) -> list[tuple[int, int, str]]:
+    """Spans of keys over several lines."""
+    out, done = [], 0
+    for m in start.finditer(text):
+        if m.start() < done:
+            continue
+        head, width = decode(m[0][:16]), len(m[0])
+        most = len(text) if head and head.startswith(b"openssh-") else 2 * der_size(head)
+        if not most:
+            continue
+        most += 4
+        lines, ends, size = [m[0]], [m.end()], width
+        while len(lines[-1]) == width and size < most and (n := line.match(text, ends[-1])) and len(n[1]) <= width:
+            lines.append(n[1])
+            ends.append(n.end())
+            size += len(n[1])
+        for k in range(len(lines), max(1, len(lines) - 2), -1):
+            if kind := key_kind(decode("".join(lines[:k]))):
+                done = ends[k - 1]
+                out.append((m.start(), done, kind))
+                break
+    return out
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind as listed; code points, end exclusive."""
     if not text:
@@ -145,10 +197,12 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     out += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        out += [(*m.span(), "pem") for m in PEM.finditer(text) if key_kind(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$|\s", "", m[2])))]
-    if "." in text and "eyJ" in text or "ewo" in text or "eyA" in text:
+        out += [(*m.span(), "pem") for m in PEM.finditer(text) if key_kind(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$|\s", "", re.sub(r"\\+[rn]", "\n", m[2]))))]
+    if "." in text:
         out += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     taken = [(a, b) for a, b, kind in out if kind in ("pem", "jwt")]
+    for start, line, decode in ((WRAPPED64, LINE64, decode64), (WRAPPED_HEX, LINE_HEX, unhex)):
+        out += [x for x in wrapped(text, start, line, decode) if not any(a <= x[0] < b for a, b in taken)]
     for m in BASE64.finditer(text):
         if not any(a <= m.start() < b for a, b in taken) and (kind := key_kind(decode64(m[0]))):
             out.append((*m.span(), kind))

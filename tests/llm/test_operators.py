@@ -157,6 +157,27 @@ def test_secret_structures():
     assert secret_scan.redacted("a token=abcdefgh1 b") == "a <SECRET> b"
 
 
+def test_wrapped_and_escaped_secrets():
+    key = der(0x30, der(0x02, b"\0") + b"".join(der(0x02, bytes([1 + i] * 20)) for i in range(8)))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4) + x for x in (b"none", b"none", b"")) + (1).to_bytes(4) + b"".join(len(x).to_bytes(4) + x for x in (b"k" * 60, b"p" * 90))
+    locked = lambda oid: der(0x30, der(0x30, der(0x06, bytes.fromhex(oid)) + der(0x05, b"")) + der(0x04, b"e" * 70))
+    wrap = lambda x, n, end: end.join(x[i : i + n] for i in range(0, len(x), n))
+    enc = lambda x: base64.b64encode(x).decode()
+    kinds = lambda t: [k for _, _, k in secret_scan.scan(t)]
+    for end in ("\\n", "\\r\\n", "\n"):
+        assert kinds(json.dumps("x")[:1] + f"-----BEGIN PRIVATE KEY-----{end}" + wrap(enc(key), 64, end) + f'{end}-----END PRIVATE KEY-----{end}"') == ["pem"]
+        for n in (64, 76):
+            text = "key:\n" + wrap(enc(key), n, end)
+            assert secret_scan.scan(text + "\nplain words") == [(5, len(text), "der")] and secret_scan.redacted(text) == "key:\n<SECRET>"
+            assert kinds(wrap(enc(ssh), n, end) + "\nend of it") == ["openssh"]
+            assert "der" in kinds(wrap(key.hex(), n, end) + "\nplain")
+    assert kinds("-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + wrap(enc(locked("2a864886f70d01050d")), 64, "\n") + "\n-----END ENCRYPTED PRIVATE KEY-----") == ["pem"]
+    assert kinds("x " + enc(locked("608648016503040201"))) == []
+    for header in ('{\r\n"alg":"HS256"}', '{\t"alg":"HS256"}'):
+        token = ".".join(base64.urlsafe_b64encode(x).rstrip(b"=").decode() for x in (header.encode(), b'{"sub":"a"}', b"s" * 32))
+        assert kinds(f"auth {token} end") == ["jwt"]
+
+
 def test_leaks(spark, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     bench = spark.createDataFrame(items, "item_id long, text string")
