@@ -26,14 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) is a temporary folder made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master
+    is local (tests, a single machine) is a temporary folder made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -43,16 +45,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "stage", batch_rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str = "stage", batch_rows: int = 1000) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage, and what was written outlives any executor.  The shuffle files of
-    the run go as soon as it ends; ``batch_rows`` bounds the Arrow batches of plans whose rows
-    are large.  Both are documented settings of Spark and are put back afterwards.
+    the run go as soon as it ends; ``batch_rows`` bounds the Arrow batches, less for plans whose
+    rows are large.  Both are documented settings of Spark and are put back afterwards.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    wanted = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    wanted = {CLEANUP: "true", BATCH_ROWS: str(batch_rows)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -61,15 +63,35 @@ def stored(df: DataFrame, name: str = "stage", batch_rows: int | None = None) ->
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    _there.append(path)
+    return out
+
+
+#: Where tables of this process stand that :func:`stored` wrote and nobody deleted.
+_there: list[str] = []
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _there:
+        _there.remove(name)
 
 
 def discard(df: DataFrame) -> None:
     """Delete what :func:`stored` wrote, when no later plan reads it."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._stored_at)
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns, and delete all other tables that were stored on the way."""
+    before = set(_there)
+    out = stored(make(), name)
+    for path in [x for x in _there if x not in before and x != out._stored_at]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -114,25 +136,29 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components: ``node, component`` (the smallest node) of each node with a link.
+    """Connected components: ``node, component`` (the smallest node) of each node with a link, stored.
 
     Alternates large-star and small-star steps, so that a chain shrinks in a logarithmic
-    number of rounds; each round's links are written to the shared folder.  Self links and
-    repeated links do no harm; nodes must be non-null.
+    number of rounds; each round's links are written to the shared folder.  The least
+    neighbours are written before they are joined, so that Spark can split a hub's links.
+    Self links and repeated links do no harm; nodes must be non-null.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while True:
         before = e
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_m = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small_m = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_m, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(small.filter("u <> v").distinct(), "links")
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (before, e)]
-        discard(before)
+        for x in (before, least, large, small_m):
+            discard(x)
         if sums[0] == sums[1]:
             break
     own = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
+    out = stored(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own), "components")
+    discard(e)
+    return out

@@ -7,11 +7,15 @@ maxima are known.  Pairs whose bound reaches what the similarity needs are verif
 
 Upper level.  Points of unlike documents are all about equally far apart, so boxes around
 hundreds of them overlap everywhere and a tree on such boxes alone prunes nothing.  The nodes
-below the root are therefore slabs of the same space: documents of a size band are hashed into
-one group more than the number of shingles in which two linked ones can differ, so that some
-group of theirs holds the very same shingles, and there is a node for each content of each
-group.  A document is in one node per group (a number in proportion to its length), and any
-two linked documents share a node.
+below the root are therefore slabs: boxes that are one point wide in a block of coordinates and
+open in all others.  The coordinates of a size band make blocks of ``FINE`` groups.  Each block in
+which two points differ takes one at least from their sum of minima, so linked points are equal
+in all but a bounded number ``d`` of blocks: they share a slab.
+
+Which slabs.  A document need not be in the slabs of all its blocks: with all slabs in one
+order, linked documents share one among the first ``d + 1`` of either.  The order is by the number
+of points in a slab, those of one point first and those of empty blocks last.  Passages that many
+documents share make full slabs, and these are left alone unless a document has little else.
 
 Lower level.  A node's documents are packed into leaves with their coordinate maxima; leaves,
 then documents and leaves, then documents are tested by the sums of minima.
@@ -21,6 +25,9 @@ tried with the one that it shares most nodes with, which joins near copies in a
 that lie in one component need no further test, and the others are searched leaf by leaf.
 Points have about as many coordinates as their documents have shingles, so that the bound is
 sharp enough to keep all but a few unlinked pairs from the verification on sets.
+
+Whatever is joined on a key that many rows may have is a stored table of one row a key, so that
+Spark can split the other side (``spark.sql.adaptive.skewJoin``).
 """
 
 from __future__ import annotations
@@ -38,6 +45,11 @@ from .common import components, discard, slices, splitmix, stored
 #: Bounds of a point's number of coordinates, coordinates within nodes, and documents of a leaf.
 LEAST, MOST, COARSE = 64, 4096, 128
 LEAF = 128
+#: Coordinates of a block, and leaves that a task of the leaf search holds on its left.
+FINE = 1 << 20
+STRIPE = 8
+#: Low bits of a slab's key: its band, and whether its block is empty.
+BAND, EMPTY = 0xFF, 0x100
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -58,7 +70,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 class Bands:
-    """Size bands, each with its number of groups, for similarity ``num / den``."""
+    """Size bands, each with its number of blocks, for similarity ``num / den``."""
 
     def __init__(self, num: int, den: int, most: int = 1 << 40):
         self.num, self.den = num, den
@@ -75,14 +87,16 @@ class Bands:
             out.append(out[-1] + 1)
         return out
 
-    def groups(self, band: int) -> tuple[int, int]:
-        """(groups, spare): linked documents of the band differ in at most groups - 1 - spare
-        shingles, so they agree in at least spare + 1 groups; 0 groups if they can't differ."""
-        differ = 2 * (int(self.low[band + 1]) - 1) * (self.den - self.num) // (self.den + self.num)
-        if differ == 0:
-            return 0, 0
-        spare = 1 + differ // 24
-        return differ + 1 + spare, spare
+    def blocks(self, band: int) -> int:
+        """Blocks of the band: more than linked documents of it can differ in; 0 if they can't differ."""
+        most = int(self.low[band + 1]) - 1
+        differ = 2 * most * (self.den - self.num) // (self.den + self.num)
+        return differ + 1 + differ // 8 if differ else 0
+
+    def differ(self, band: int, n: int) -> int:
+        """Shingles, and so blocks, in which a document of n can differ from one linked with it in the band."""
+        other = min(int(self.low[band + 1]) - 1, n * self.den // self.num)
+        return (n + other) * (self.den - self.num) // (self.den + self.num)
 
 
 def point(s: np.ndarray, most: int = MOST) -> np.ndarray:
@@ -92,86 +106,106 @@ def point(s: np.ndarray, most: int = MOST) -> np.ndarray:
     return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
-def points_of(vecs: list[bytes]) -> np.ndarray:
-    """Points as rows of one width: those of more groups are folded, which adds up groups."""
-    width = min(map(len, vecs))
+def points_of(vecs: list[bytes], width: int | None = None) -> np.ndarray:
+    """Points as rows of one width, the least if none is given: others are folded, which adds up groups."""
+    width = width or min(map(len, vecs))
     return np.array([np.frombuffer(v, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for v in vecs])
 
 
-def node_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the nodes of a set: one for each group of each of its bands.
+def slabs(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[dict]]:
+    """Keys of the slabs of a set, and for each band their number ``held`` and how many of them,
+    in the order of slabs, it has to be in (``take``).
 
-    Empty groups would make large nodes.  Of the ``spare + 1`` groups in which linked
-    documents agree one isn't empty if either has at most ``spare`` empty ones; so only
-    documents with more of them enter nodes of empty groups.
+    A key is a hash of a block's number and counts.  Empty blocks are last in the order, so those
+    that can't be among the first ``take`` are left out.
     """
-    out = []
+    keys, held = [], []
     for band in bands.of(len(s)):
-        m, spare = bands.groups(band)
+        m = bands.blocks(band)
         if not m:
             continue
-        group = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        edges = np.searchsorted(group, np.arange(m + 1, dtype=np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(s), dtype=np.uint64)])
-        content = total[edges[1:]] - total[edges[:-1]]
+        block = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        edges = np.searchsorted(block, np.arange(m + 1, dtype=np.uint64))
+        # A sum over shingles of hashes of their groups depends on the groups' counts alone.
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(s & np.uint64(FINE - 1)), dtype=np.uint64)])
         empty = edges[1:] == edges[:-1]
-        keys = splitmix(content ^ splitmix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40)))
-        out.append(keys if empty.sum() > spare else keys[~empty])
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        key = splitmix(total[edges[1:]] - total[edges[:-1]] ^ splitmix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40)))
+        key = key & np.uint64((1 << 64) - 512) | np.uint64(band) | np.where(empty, np.uint64(EMPTY), np.uint64(0))
+        take = bands.differ(band, len(s)) + 1
+        own = np.concatenate([key[~empty], key[empty][: max(0, take - int((~empty).sum()))]])
+        keys.append(own)
+        held.append({"band": band, "held": len(own), "take": take})
+    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64), held
+
+
+_HELD = "array<struct<band:int,held:int,take:int>>"
+
+
+def digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def _features(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """``id, n, fp, vec, coarse, keys``: set size, digest of the set (null if empty), point, the
-    same with few coordinates, nodes."""
+    """``id, n, fp, vec, coarse, keys, held``: set size, digest of the set (null if empty), point,
+    the same with few coordinates, slabs."""
+    arrow = pa.list_(pa.struct([("band", pa.int32()), ("held", pa.int32()), ("take", pa.int32())]))
 
     def run(batches):
         bands = Bands(num, den)
         for batch in batches:
             for part in slices(batch, text_col):
-                n, fp, vec, coarse, keys = [], [], [], [], []
+                n, fp, vec, coarse, keys, held = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, words)
+                    own, some = slabs(s, bands)
                     n.append(len(s))
-                    fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    fp.append(digest(s))
                     vec.append(point(s).tobytes())
                     coarse.append(point(s, COARSE).tobytes())
-                    keys.append(node_keys(s, bands).view(np.int64))
+                    keys.append(own.view(np.int64))
+                    held.append(some)
                 cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(np.concatenate(keys), type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, type=pa.int64()), pa.array(fp, type=pa.binary()), pa.array(vec, type=pa.binary()), pa.array(coarse, type=pa.binary()), lists], names=["id", "n", "fp", "vec", "coarse", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, type=pa.int64()), pa.array(fp, type=pa.binary()), pa.array(vec, type=pa.binary()), pa.array(coarse, type=pa.binary()), lists, pa.array(held, type=arrow)], names=["id", "n", "fp", "vec", "coarse", "keys", "held"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {kind}, n bigint, fp binary, vec binary, coarse binary, keys array<bigint>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {kind}, n bigint, fp binary, vec binary, coarse binary, keys array<bigint>, held {_HELD}")
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _sets(df: DataFrame, words: int) -> DataFrame:
+    """``fp, n, shingles`` of rows ``id, text``."""
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
-                sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "n", "shingles"])
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, words) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], type=pa.binary()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.view(np.int64) for s in sets], type=pa.list_(pa.int64()))], names=["fp", "n", "shingles"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {kind}, n bigint, shingles array<bigint>")
+    return df.select("text").mapInArrow(run, "fp binary, n bigint, shingles array<bigint>")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are as similar as asked; ``df`` has ``id, text``."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = stored(_sets(df.join(wanted, "id", "left_semi"), "id", "text", words), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+def _verified(pairs: DataFrame, points: DataFrame, df: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` of points whose sets are as similar as asked.
+
+    ``points`` has ``pid, id, fp``, ``df`` has ``id, text``.  An id may have several texts, so sets
+    are told apart by their digests.
+    """
+    wanted = stored(points.select("pid", "id", "fp").join(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct(), "pid", "left_semi"), "wanted")
+    sets = _sets(df.join(wanted.select("id").distinct(), "id", "left_semi"), words).groupBy("fp").agg(F.first(F.struct("n", "shingles")).alias("x"))
+    sets = stored(wanted.select("pid", "fp").join(sets, "fp").select("pid", "x.n", "x.shingles"), "sets")
+    left = sets.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
-    out = stored(both.filter((num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "links")
+    out = stored(both.filter((num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "verified")
     discard(wanted)
     discard(sets)
     return out
 
 
 def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` that the sum of coordinate minima lets through."""
-    left = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    right = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    """The pairs ``a, b`` that the sum of coordinate minima lets through; ``facts`` has ``pid, n, vec``."""
+    left = facts.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    right = facts.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
 
     def run(batches):
         for batch in batches:
@@ -183,27 +217,36 @@ def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
             keep = pa.array((num + den) * overlap >= num * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+
+
+_MEMBERS = "array<struct<pid:bigint,comp:bigint,n:bigint,vec:binary>>"
 
 
 def _near_in_nodes(members: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Different pairs ``a, b`` of unlike component within a node whose bound is high enough.
 
-    ``members`` has ``key, id, comp``, the node's first component as ``first`` and its ``size``;
-    ``facts`` has ``id, n, vec``.  A node of few documents is one leaf.  The documents of others are dealt to
-    leaves by whether they are of the node's first component, which most are in a group of near
-    copies, and pairs of leaves inside it are never made.
+    ``members`` has ``key, pid, comp``, the node's first component as ``first`` and its ``size``;
+    ``facts`` has ``pid, n, vec``.  A node of few documents is one leaf.  The documents of others are
+    dealt to leaves by whether they are of the node's first component, which most are in a group of
+    near copies, and pairs of leaves inside it are never made.  The leaves' boxes are tested
+    first; what is left goes to tasks by node and stripe of leaves.
     """
-    kind = members.schema["id"].dataType.simpleString()
-    member = F.struct("id", "comp", "n", "vec")
-    one = members.filter(F.col("size") <= LEAF).join(facts, "id").groupBy("key").agg(F.collect_list(member).alias("pa")).select("pa", F.lit(None).cast("array<struct<id:" + kind + ",comp:" + kind + ",n:bigint,vec:binary>>").alias("pb"))
+    member = F.struct("pid", "comp", "n", "vec")
+    one = members.filter(F.col("size") <= LEAF).join(facts, "pid").groupBy("key").agg(F.collect_list(member).alias("pa")).select("pa", F.lit(None).cast(_MEMBERS).alias("pb"))
     main = F.col("comp") == F.col("first")
-    leaf = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LEAF).cast("long")) * 2 + F.when(main, 0).otherwise(1)
-    leaves = members.filter(F.col("size") > LEAF).join(facts, "id").select("key", leaf.alias("leaf"), main.alias("main"), member.alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
-    a = leaves.select("key", F.col("leaf").alias("la"), F.col("main").alias("ma"), F.col("xs").alias("pa"))
-    b = leaves.select("key", F.col("leaf").alias("lb"), F.col("main").alias("mb"), F.col("xs").alias("pb"))
-    several = a.join(b, "key").filter("la <= lb and not (ma and mb)").select("pa", "pb")
+    leaf = F.pmod(F.xxhash64("pid"), F.ceil(F.col("size") / LEAF).cast("long")) * 2 + F.when(main, 0).otherwise(1)
+    leaves = members.filter(F.col("size") > LEAF).join(facts, "pid").select("key", leaf.alias("leaf"), main.alias("main"), member.alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
+    leaves = stored(leaves.mapInArrow(_boxed, f"key bigint, leaf bigint, main boolean, xs {_MEMBERS}, box binary, least bigint, cut bigint"), "leaves", batch_rows=64)
+    stripe = F.floor(F.col("leaf") / STRIPE)
+    boxes = leaves.select("key", "leaf", "main", "box", "least", "cut")
+    left = boxes.select("key", *(F.col(c).alias("l" + c) for c in boxes.columns[1:]))
+    right = boxes.select("key", *(F.col(c).alias("r" + c) for c in boxes.columns[1:]))
+    near = left.join(right, "key").filter("lleaf <= rleaf and not (lmain and rmain)").mapInArrow(_touching(num, den), "key bigint, la bigint, lb bigint")
+    needed = near.select("key", F.floor(F.col("la") / STRIPE).alias("stripe"), F.col("lb").alias("leaf")).distinct()
+    a = leaves.select("key", stripe.alias("stripe"), F.col("leaf").alias("la"), F.col("main").alias("ma"), F.col("xs").alias("pa"))
+    b = needed.join(leaves.select("key", "leaf", "main", "xs"), ["key", "leaf"]).select("key", "stripe", F.col("leaf").alias("lb"), F.col("main").alias("mb"), F.col("xs").alias("pb"))
+    several = a.join(b, ["key", "stripe"]).filter("la <= lb and not (ma and mb)").select("pa", "pb")
 
     def run(batches):
         for batch in batches:
@@ -211,14 +254,44 @@ def _near_in_nodes(members: DataFrame, facts: DataFrame, num: int, den: int) ->
             for i in range(batch.num_rows):
                 left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 found.update(_search(left, left if right is None else right, num, den))
-            id_type = batch.column(0).type.value_type.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], type=id_type), pa.array([y for _, y in found], type=id_type)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], type=pa.int64()), pa.array([y for _, y in found], type=pa.int64())], names=["a", "b"])
+
+    out = stored(one.unionAll(several).mapInArrow(run, "a bigint, b bigint").distinct(), "pairs", batch_rows=64)
+    discard(leaves)
+    return out
+
 
-    return one.unionAll(several).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+def _boxed(batches):
+    """Leaves with their coordinate maxima, smallest set and largest cut (see :func:`_search`)."""
+    for batch in batches:
+        box, least, cut = [], [], []
+        for xs in batch.column("xs").to_pylist():
+            at = points_of([x["vec"] for x in xs], LEAST)
+            n = np.array([x["n"] for x in xs], dtype=np.int64)
+            box.append(at.max(axis=0).astype(np.int32).tobytes())
+            least.append(int(n.min()))
+            cut.append(int((n - at.sum(axis=1)).max()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(box, type=pa.binary()), pa.array(least, type=pa.int64()), pa.array(cut, type=pa.int64())], names=["key", "leaf", "main", "xs", "box", "least", "cut"])
+
+
+def _touching(num: int, den: int):
+    """Pairs of leaves whose boxes' sum of minima is high enough for their smallest documents."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lbox, rbox = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int32).reshape(batch.num_rows, -1) for c in ("lbox", "rbox"))
+            least = batch.column("lleast").to_numpy() + batch.column("rleast").to_numpy()
+            cut = np.minimum(batch.column("lcut").to_numpy(), batch.column("rcut").to_numpy())
+            keep = pa.array((num + den) * (np.minimum(lbox, rbox).sum(axis=1) + cut) >= num * least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("key", "lleaf", "rleaf")], names=["key", "la", "lb"])
+
+    return run
 
 
 def _search(left: list[dict], right: list[dict], num: int, den: int) -> set[tuple]:
-    """Pairs of two leaves, smaller id first, that the sums of minima let through."""
+    """Pairs of two leaves, smaller number first, that the sums of minima let through."""
     points = points_of([x["vec"] for x in left] + [x["vec"] for x in right])
     va, vb = points[: len(left)], points[len(left) :]
     na, nb = (np.array([x["n"] for x in leaf], dtype=np.int64) for leaf in (left, right))
@@ -232,7 +305,7 @@ def _search(left: list[dict], right: list[dict], num: int, den: int) -> set[tupl
         x = left[i]
         js = kb[own[kb] != x["comp"]]
         bound = np.minimum(va[i], vb[js]).sum(axis=1) + np.minimum(cut_a[i], cut_b[js])
-        out.update((min(x["id"], right[j]["id"]), max(x["id"], right[j]["id"])) for j in js[(num + den) * bound >= num * (na[i] + nb[js])])
+        out.update((min(x["pid"], right[j]["pid"]), max(x["pid"], right[j]["pid"])) for j in js[(num + den) * bound >= num * (na[i] + nb[js])])
     return out
 
 
@@ -245,42 +318,64 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
     without an id have neither (their ``component_id`` is null).  Repeated rows are kept; rows
     of one id with different texts are linked each by its own text.  Other columns are left out.
     """
-    docs = stored(_features(df, id_col, text_col, words, num, den), "points")
-    classes = stored(docs.filter("id is not null and fp is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    points = docs.filter("id is not null and fp is not null").groupBy("fp").agg(F.min_by(F.struct("id", "keys"), "id").alias("x"))
-    entries = points.select(F.col("x.id").alias("id"), F.explode("x.keys").alias("key"))
-    nodes = stored(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub"), "nodes")
-    live = stored(entries.join(nodes, "key").select("key", "id", "hub"), "entries")
-    discard(nodes)
+    docs = stored(_features(df, id_col, text_col, words, num, den), "documents")
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    known = docs.filter("id is not null and fp is not null")
-    facts, coarse = (known.select("id", "n", F.col(c).alias("vec")).dropDuplicates(["id"]) for c in ("vec", "coarse"))
+    slim = stored(docs.select("id", "n", "fp"), "sizes")
+    points = docs.filter("id is not null and fp is not null").groupBy("fp").agg(F.min_by(F.struct("id", "n", "vec", "coarse", "keys", "held"), "id").alias("x"))
+    points = stored(points.select("fp", "x.*").withColumn("pid", F.monotonically_increasing_id()), "points")
+    discard(docs)
+    live = _first_slabs(points)
+    facts = points.select("pid", "n", "vec")
 
     # A star: each point with the one that is first in most of its nodes.
-    votes = live.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
-    star = stored(votes.groupBy("id").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")), "star")
-    near = stored(_promising(star, facts, num, den), "pairs", batch_rows=512)
-    links = _verified(near, own, words, num, den)
+    votes = live.filter("pid <> hub").groupBy("pid", "hub").agg(F.count("*").alias("votes"))
+    star = stored(votes.groupBy("pid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("pid").alias("b")), "star")
+    near = stored(_promising(star, facts, num, den), "near", batch_rows=512)
+    links = _verified(near, points, own, words, num, den)
     found = components(links)
 
     # What lies in nodes of several components.
-    found = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    state = live.join(found, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
-    mixed = state.groupBy("key").agg(F.min_by("comp", "id").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
+    of = found.select(F.col("node").alias("pid"), F.col("component").alias("c"))
+    state = stored(live.join(of, "pid", "left").select("key", "pid", F.coalesce("c", "pid").alias("comp")), "state")
+    mixed = state.groupBy("key").agg(F.min_by("comp", "pid").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
     mixed = stored(mixed, "mixed")
     members = stored(state.join(mixed, "key"), "members")
     # Points go with each of their nodes, hence the coarse ones; a pair that is left is tried once on all coordinates.
-    rough = stored(_near_in_nodes(members, coarse, num, den).join(star, ["a", "b"], "left_anti"), "pairs", batch_rows=64)
-    rest = stored(_promising(rough, facts, num, den), "pairs", batch_rows=512)
-    links = links.unionAll(_verified(rest, own, words, num, den))
-    reach = stored(components(links).select(F.col("node").alias("rep"), "component"), "components")
-    for x in (live, star, near, mixed, members, rough, rest):
-        discard(x)
-    slim = stored(docs.select("id", "n", "fp"), "sizes")
-    named = stored(classes.join(reach, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    for x in (docs, classes, reach):
+    rough = _near_in_nodes(members, points.select("pid", "n", F.col("coarse").alias("vec")), num, den)
+    rest = stored(_promising(rough.join(star, ["a", "b"], "left_anti"), facts, num, den), "rest", batch_rows=512)
+    more = _verified(rest, points, own, words, num, den)
+    reach = components(links.unionAll(more))
+    known = stored(points.select("pid", "id", "fp").join(reach.withColumnRenamed("node", "pid"), "pid"), "known")
+    firsts = stored(known.groupBy("component").agg(F.min("id").alias("first")), "first")
+    named = stored(known.join(firsts, "component").select("fp", F.col("first").alias("component_id")), "named")
+    # What has no link is the smallest id of its text.
+    alone = stored(points.select("fp", F.col("id").alias("own")), "alone")
+    for x in (live, star, near, links, found, state, mixed, members, rough, rest, more, reach, known, firsts, points):
         discard(x)
-    return slim.join(named, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = slim.join(alone, "fp", "left").join(named, "fp", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "own", "id")).alias("component_id"))
+
+
+def _first_slabs(points: DataFrame) -> DataFrame:
+    """``key, pid, hub``: the slabs that each point has to be in, as far as others are in them,
+    and the first point of each."""
+    entries = points.select("pid", F.explode("keys").alias("key"))
+    full = stored(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "full")
+    shared = stored(entries.join(full, "key"), "shared")
+    discard(full)
+    # Slabs of one point come first in the order; all that is known of them is how many there are.
+    order = F.struct(F.col("key").bitwiseAND(EMPTY).alias("empty"), "size", "key")
+    some = shared.groupBy("pid", F.col("key").bitwiseAND(BAND).cast("int").alias("band")).agg(F.array_sort(F.collect_list(order)).alias("keys"))
+    held = points.select("pid", F.explode("held").alias("x")).select("pid", "x.*")
+    left = F.col("take") - (F.col("held") - F.size("keys"))
+    first = some.join(held, ["pid", "band"]).filter(left > 0).select("pid", F.explode(F.slice("keys", F.lit(1), left)).alias("x")).select("pid", "x.key")
+    first = stored(first, "slabs")
+    discard(shared)
+    hubs = stored(first.groupBy("key").agg(F.min("pid").alias("hub"), F.max("pid").alias("last")).filter("hub < last").select("key", "hub"), "hubs")
+    live = stored(first.join(hubs, "key"), "live")
+    discard(first)
+    discard(hubs)
+    return live
 
 
 def first_of_each(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
