@@ -44,8 +44,7 @@ def flag(condition: Column) -> Column:
 
 def value_map(x: str | Column, mapping: dict) -> Column:
     """The mapped value; null for values that the map lacks."""
-    pairs = [F.lit(v) for kv in mapping.items() for v in kv]
-    return F.get(F.map_values(F.map_filter(F.create_map(*pairs), lambda k, _: k == col(x))), F.lit(0))
+    return reduce(lambda case, kv: case.when(col(x) == kv[0], F.lit(kv[1])), mapping.items(), F)
 
 
 def month_pick(month: str | Column, columns: list[str]) -> Column:
@@ -73,6 +72,17 @@ def logistic_decay(distance: str | Column, middle: float = 10.0, steepness: floa
     return 1 / (1 + F.exp(steepness * (col(distance) - middle)))
 
 
+def joined_key(*columns: str | Column) -> Column:
+    """Values joined by underscores; null if one is null."""
+    parts = [col(c).cast("string") for c in columns]
+    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("_", *parts))
+
+
+def as_json(columns: list[str]) -> Column:
+    """The columns as the text of a JSON object."""
+    return F.to_json(F.struct(*columns))
+
+
 def json_int(x: str | Column, path: str) -> Column:
     return F.get_json_object(col(x), path).try_cast("int")
 

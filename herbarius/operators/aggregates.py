@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,33 +42,55 @@ def mean_gap(df: DataFrame, by: str, date: str, name: str) -> DataFrame:
     return dates.select(by, ratio(F.datediff("b", "a"), F.col("n") - 1).alias(name))
 
 
+def _by_sets(rows: DataFrame, who: str, sets: dict[str, list[str]], *extra) -> tuple[DataFrame, callable]:
+    """Rows counted (``__c``) by ``who`` and each of some sets of columns, in one shuffle that
+    spreads a frequent ``who`` by the sets' values; and a function (set, column) -> column there, else null."""
+    columns = [who, *dict.fromkeys(c for s in sets.values() for c in s)]
+    number = {n: sum(1 << i for i, c in enumerate(reversed(columns)) if c != who and c not in s) for n, s in sets.items()}
+    grouped = rows.groupingSets([[who, *s] for s in sets.values()], *columns).agg(F.count("*").cast("double").alias("__c"), F.grouping_id().alias("__g"), *extra)
+    return grouped, lambda name, x: F.when(F.col("__g") == number[name], x)
+
+
+def _entropy(counts, places: int = 4):
+    """Entropy (bits) of counts that a group holds."""
+    n = F.sum(counts)
+    return round_half_away(F.abs(F.log2(n) - F.sum(counts * F.log2(counts)) / n), places)
+
+
 def activity(df: DataFrame, who: str, record: str, species: str, date: str, prefix: str = "") -> DataFrame:
     """Profile of each ``who``: diversity, counts, days and years of activity, rates and gaps.
 
-    Each part is aggregated by itself and joined one to one on ``who``; the parts share the
-    partitioning.  Rows of null ``who`` have no profile.
+    One pass counts by species, month, year, day and record; a second aggregate takes all
+    figures from these counts.  Rows of null ``who`` have no profile.
     """
     rows = df.filter(F.col(who).isNotNull()).select(who, record, species, to_date(date).alias("__d")).withColumns({"__y": F.year("__d"), "__m": F.month("__d")})
-    base = rows.groupBy(who).agg(F.count_distinct(record).alias(f"{prefix}obs_count"), F.count_distinct("__y").alias(f"{prefix}unique_years"), F.count_distinct("__d").alias(f"{prefix}unique_dates"))
-    base = base.withColumn(f"{prefix}obs_per_year", ratio(f"{prefix}obs_count", f"{prefix}unique_years"))
-    parts = [
-        entropy(rows, who, species, f"{prefix}species_diversity"),
-        mean_of_counts(rows, who, ["__y", "__m"], f"{prefix}avg_monthly_obs"),
-        mean_of_counts(rows, who, ["__y"], f"{prefix}avg_yearly_obs"),
-        mean_gap(rows, who, "__d", f"{prefix}avg_obs_time"),
-    ]
-    for part in parts:
-        base = base.join(part, who)
-    return base
+    counts, of = _by_sets(rows, who, {"species": [species], "month": ["__y", "__m"], "year": ["__y"], "day": ["__d"], "record": [record]})
+    c, dated = F.col("__c"), of("day", F.col("__d"))
+    got = counts.groupBy(who).agg(
+        F.count(of("record", F.col(record))).alias("obs_count"),
+        F.count(of("year", F.col("__y"))).alias("unique_years"),
+        F.count(dated).alias("unique_dates"),
+        _entropy(of("species", c)).alias("species_diversity"),
+        round_half_away(F.avg(of("month", c)), 2).alias("avg_monthly_obs"),
+        round_half_away(F.avg(of("year", c)), 2).alias("avg_yearly_obs"),
+        ratio(F.datediff(F.max(dated), F.min(dated)), F.sum(F.when(dated.isNotNull(), c)) - 1).alias("avg_obs_time"),
+    )
+    got = got.withColumn("obs_per_year", ratio("obs_count", "unique_years"))
+    return got.select(who, *(F.col(x).alias(prefix + x) for x in ("obs_count", "unique_years", "unique_dates", "obs_per_year", "species_diversity", "avg_monthly_obs", "avg_yearly_obs", "avg_obs_time")))
 
 
 def identifications(df: DataFrame, who: str, author: str, species: str, observed: str, identified: str) -> DataFrame:
-    """Profile of those who identify other people's records."""
+    """Profile of those who identify other people's records, in one pass over them."""
     rows = df.filter(F.col(who) != F.col(author)).withColumns({"__d": to_date(observed), "__lag": F.abs(days_between(observed, identified))}).withColumns({"__y": F.year("__d"), "__m": F.month("__d")})
-    base = rows.groupBy(who).agg(F.count("*").alias("id_count"), round_half_away(F.avg("__lag"), 2).alias("avg_id_time"))
-    for part in (entropy(rows, who, species, "id_species_entropy"), mean_of_counts(rows, who, ["__y", "__m"], "id_avg_monthly_obs"), mean_of_counts(rows, who, ["__y"], "id_avg_yearly_obs")):
-        base = base.join(part, who)
-    return base
+    counts, of = _by_sets(rows, who, {"species": [species], "month": ["__y", "__m"], "year": ["__y"]}, F.sum("__lag").alias("__s"), F.count("__lag").alias("__n"))
+    c = F.col("__c")
+    return counts.groupBy(who).agg(
+        F.sum(of("year", c)).cast("long").alias("id_count"),
+        round_half_away(ratio(F.sum(of("year", F.col("__s"))), F.sum(of("year", F.col("__n")))), 2).alias("avg_id_time"),
+        _entropy(of("species", c)).alias("id_species_entropy"),
+        round_half_away(F.avg(of("month", c)), 2).alias("id_avg_monthly_obs"),
+        round_half_away(F.avg(of("year", c)), 2).alias("id_avg_yearly_obs"),
+    )
 
 
 def log_z_scores(df: DataFrame, columns: list[str], suffix: str = "_log_z") -> DataFrame:
@@ -75,8 +100,8 @@ def log_z_scores(df: DataFrame, columns: list[str], suffix: str = "_log_z") -> D
     return df.join(F.broadcast(stats)).select(*df.columns, *(((x - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0))).alias(f"{c}{suffix}") for c, x in logs.items()))
 
 
-def percent_rank(df: DataFrame, column: str, name: str, places: int = 3, slices: int = 200) -> DataFrame:
-    """``df`` with the global percent rank of a column, nulls last.
+def running_counts(df: DataFrame, column: str, slices: int = 200) -> DataFrame:
+    """``__v, __n, __before, __all``: each value of a column, its rows, rows of smaller values, all rows; nulls last.
 
     Rows are counted by value; values are cut into slices at approximate quantiles, so that
     running counts form within slices and only the slices' totals meet in one place.
@@ -89,12 +114,56 @@ def percent_rank(df: DataFrame, column: str, name: str, places: int = 3, slices:
     sliced = counts.withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     totals = counts.groupBy("__p").agg(F.sum("__n").alias("__t"))
     starts = totals.withColumns({"__s": F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__t").over(Window.partitionBy())})
-    ranks = sliced.join(F.broadcast(starts), "__p").select("__v", F.coalesce(ratio(F.col("__s") + F.col("__b"), F.col("__all") - 1), F.lit(0.0)).alias(name))
+    return sliced.join(F.broadcast(starts), "__p").select("__v", "__n", (F.col("__s") + F.col("__b")).alias("__before"), "__all")
+
+
+def percent_rank(df: DataFrame, column: str, name: str, places: int = 3, slices: int = 200) -> DataFrame:
+    """``df`` with the global percent rank of a column, nulls last (see :func:`running_counts`)."""
+    ranks = running_counts(df, column, slices).select("__v", F.coalesce(ratio("__before", F.col("__all") - 1), F.lit(0.0)).alias(name))
     return df.join(ranks, F.col(column).eqNullSafe(F.col("__v"))).drop("__v").withColumn(name, round_half_away(name, places))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with ``edges``: the exact quantiles of a column without its nulls, linear between
+    neighbours; empty for no values.  Only the values at the ranks asked for leave their slices."""
+    counts = running_counts(df.filter(F.col(column).isNotNull()), column)
+    at = lambda i, x: F.struct(F.lit(i).alias("i"), x.cast("long").alias("at"))
+    places = [F.lit(float(p)) * (F.col("__all") - 1) for p in shares]
+    wanted = F.array(*(at(2 * i + k, f(x)) for i, x in enumerate(places) for k, f in ((0, F.floor), (1, F.ceil))))
+    inside = F.filter(wanted, lambda w: (w["at"] >= F.col("__before")) & (w["at"] < F.col("__before") + F.col("__n")))
+    hits = counts.select(F.col("__v").cast("double").alias("v"), "__all", F.explode(inside).alias("w")).select("v", "__all", "w.i")
+    row = hits.agg(F.max("__all").alias("n"), *(F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"v{i}") for i in range(2 * len(shares))))
+
+    def edge(i: int, p: float):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return row.select(F.filter(F.array(*(edge(i, p) for i, p in enumerate(shares))), lambda x: x.isNotNull()).alias("edges"))
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, n, n_null, n_distinct``: one row per column, from one pass."""
     row = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"k_{c}") for c in columns), *(F.count_distinct(c).alias(f"d_{c}") for c in columns))
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n"), (F.col("n") - F.col(f"k_{c}")).alias("n_null"), F.col(f"d_{c}").alias("n_distinct")) for c in columns])
     return row.select(F.explode(entries).alias("x")).select("x.*")
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, n, n_null, least, greatest, mean, variance`` of numeric columns (sample variance), from one pass."""
+    stats = {"known": F.count, "least": F.min, "greatest": F.max, "mean": F.avg, "variance": F.var_samp}
+    row = df.agg(F.count("*").alias("n"), *(f(F.col(c).cast("double")).alias(f"{s}_{c}") for c in columns for s, f in stats.items()))
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n"), (F.col("n") - F.col(f"known_{c}")).alias("n_null"), *(F.col(f"{s}_{c}").alias(s) for s in list(stats)[1:])) for c in columns])
+    return row.select(F.explode(entries).alias("x")).select("x.*")
+
+
+def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row ``n, n_duplicate``: rows, and rows that repeat another in the columns (all if none are given)."""
+    counts = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("c"))
+    return counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n_duplicate"))
+
+
+def row_shares(df: DataFrame, columns: list[str], suffix: str = "_per") -> DataFrame:
+    """``df`` with the sum of some columns of a row, nulls as 0, and each one's share of it (null for a sum of 0)."""
+    total = reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in columns])
+    return df.withColumn("sum", total).withColumns({f"{c}{suffix}": ratio(c, "sum") for c in columns})

@@ -6,9 +6,12 @@ from itertools import combinations
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import joined_key, ratio
+from .aggregates import exact_quantiles
+
 
 def scaled(df: DataFrame, linear: list[str] = (), log: list[str] = ()) -> DataFrame:
     """Columns brought to 0..1: (x - min) / (max - min), or log(1 + x) over its maximum; null
@@ -45,37 +48,99 @@ def principal_components(df: DataFrame, record: str, columns: list[str], explain
     return model.transform(vectors).select(record, *(values[i].alias(f"{prefix}{i + 1}") for i in range(k)))
 
 
-def encoded(df: DataFrame, record: str, columns: list[str], limit: float = 0.8, explained: float = 0.99) -> DataFrame:
-    """``record`` and principal components if columns correlate beyond the limit, else the table as it is."""
-    high = correlations(df, columns).filter(F.abs("r") > limit).select("right").distinct().collect()
-    chosen = [c for c in columns if c in {r["right"] for r in high}]
-    return principal_components(df, record, chosen, explained) if len(chosen) > 1 else df
+def encoded(df: DataFrame, record: str, columns: list[str] | None = None, limit: float = 0.8, explained: float = 0.99, rare_below: float = 0.01) -> DataFrame:
+    """``record`` and principal components of the numeric columns that correlate with an earlier one
+    beyond the limit, if there are two at least; else the table as it is, text columns as codes."""
+    kinds = dict(df.dtypes)
+    numeric = [c for c in (columns or df.columns) if c != record and kinds[c] not in ("string", "boolean", "date", "timestamp")]
+    high = {r["right"] for r in correlations(df, numeric).filter(F.abs("r") > limit).select("right").distinct().collect()} if len(numeric) > 1 else set()
+    chosen = [c for c in numeric if c in high]
+    if len(chosen) > 1:
+        return principal_components(df, record, chosen, explained)
+    for c in [c for c in df.columns if c != record and kinds[c] == "string"]:
+        df = factorized(df, c, rare_below, name=f"{c}_encoded").drop(c)
+    return df
+
+
+def encoded_table(spark: SparkSession, name: str, record: str, **options) -> DataFrame:
+    """The table ``transformed.<name>``, or ``features.<name>`` where that is missing, encoded."""
+    layer = "transformed" if spark.catalog.tableExists(f"transformed.{name}") else "features"
+    return encoded(spark.table(f"{layer}.{name}"), record, **options)
+
+
+def dense_codes(values: DataFrame, column: str, name: str, slices: int = 200) -> DataFrame:
+    """``column, name``: the place, from 0, of each of some different values in their order.
+
+    Slices are cut at the values of smallest hash, an even sample that doesn't depend on how
+    rows are dealt; places count within slices, and only the slices' sizes meet in one place.
+    """
+    cuts = [r[0] for r in values.orderBy(F.xxhash64(column), column).limit(slices - 1).collect()]
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(column))) if cuts else F.lit(0)
+    dealt = values.select(column, part.alias("__p"))
+    starts = dealt.groupBy("__p").agg(F.count("*").alias("__t")).select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
+    return dealt.withColumn("__i", place).join(F.broadcast(starts), "__p").select(column, (F.col("__s") + F.col("__i")).cast("int").alias(name))
 
 
 def factorized(df: DataFrame, column: str, rare_below: float = 0.01, rare: str = "rare", name: str = "code") -> DataFrame:
     """``df`` with a code for the column's value, values of a smaller share of rows taken as
     ``rare``; codes count up with the value's text from 0, null has -1."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
+    total = df.agg(F.count("*").alias("__all"))
+    counts = df.groupBy(column).agg(F.count("*").alias("__n")).join(F.broadcast(total))
     kept = counts.withColumn("__v", F.when(F.col(column).isNotNull(), F.when(F.col("__n") / F.col("__all") < rare_below, F.lit(rare)).otherwise(F.col(column).cast("string"))))
-    codes = kept.select("__v").filter("__v is not null").distinct().withColumn(name, F.dense_rank().over(Window.orderBy("__v")) - 1)
+    codes = dense_codes(kept.select("__v").filter("__v is not null").distinct(), "__v", name)
     table = kept.join(codes, "__v", "left").select(F.col(column).alias("__k"), F.coalesce(name, F.lit(-1)).alias(name))
     return df.join(table, F.col(column).eqNullSafe(F.col("__k"))).drop("__k")
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:
     """``df`` with the bin (from 0) of a column between its exact quantiles; equal edges are one."""
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("__e"))
+    edges = exact_quantiles(df, column, [i / bins for i in range(bins + 1)]).select(F.array_distinct("edges").alias("__e"))
     inner = F.size(F.filter(F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 2, F.lit(0))), lambda x: x < F.col(column)))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), inner)).drop("__e")
 
 
+def strata(df: DataFrame, space: str, species: str, time: str, space_bins: int = 10, time_bins: int = 12, rare_below: float = 0.01, name: str = "stratum") -> DataFrame:
+    """``df`` with a composite stratum ``space_species_time``: quantile bins of place and time, codes
+    of the species (rare ones are one), a text time as codes; strata of one row are ``mixed_stratum``,
+    and so are rows with a null part."""
+    out = quantile_bins(df, space, space_bins, "__a")
+    out = factorized(out, species, rare_below, "rare_species", "__b")
+    out = factorized(out, time, 0.0, name="__c") if dict(df.dtypes)[time] == "string" else quantile_bins(out, time, time_bins, "__c")
+    out = out.withColumn("__s", joined_key("__a", "__b", "__c"))
+    several = out.groupBy("__s").agg(F.count("*").alias("__n")).filter("__n > 1").select("__s", F.col("__s").alias(name))
+    return out.join(several, "__s", "left").withColumn(name, F.coalesce(name, F.lit("mixed_stratum"))).select(*df.columns, name)
+
+
 def stratified_split(df: DataFrame, record: str, stratum: str, parts: dict[str, float], seed: int = 42, name: str = "part") -> DataFrame:
     """``df`` with the part of each row, in the shares asked for within each stratum, by the
-    rank of a seeded hash of the record."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(record).cast("string")), record)
-    rank = F.percent_rank().over(w)
+    percent rank of a seeded hash of the record.
+
+    The hash's upper bits cut a stratum into 4096 even slices; ranks count within slices and
+    start at what the slices before hold, so that no task sorts a stratum.
+    """
+    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(record).cast("string"))).withColumn("__p", F.shiftright("__h", 52))
+    counts = rows.groupBy(stratum, "__p").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(stratum)
+    starts = counts.select(F.col(stratum).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(order.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__n").over(order).alias("__all"))
+    rank = F.rank().over(Window.partitionBy(stratum, "__p").orderBy("__h", record)) - 1
+    ranked = rows.withColumn("__r", rank).join(starts, F.col(stratum).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    share = F.coalesce(ratio(F.col("__s") + F.col("__r"), F.col("__all") - 1), F.lit(0.0))
     edge, chosen = 0.0, None
-    for part, share in parts.items():
-        edge += share
-        chosen = F.when(F.col("__r") < edge, part) if chosen is None else chosen.when(F.col("__r") < edge, part)
-    return df.withColumn("__r", rank).withColumn(name, chosen.otherwise(list(parts)[-1])).drop("__r")
+    for part, size in parts.items():
+        edge += size
+        chosen = F.when(share < edge, part) if chosen is None else chosen.when(share < edge, part)
+    return ranked.withColumn(name, chosen.otherwise(list(parts)[-1])).select(*df.columns, name)
+
+
+def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
+    """``column, information``: bits that each column, in quantile bins, tells of the target in such
+    bins; rows with a null in either are left out of a pair."""
+    rows = quantile_bins(df.select(*columns, target), target, bins, "__t")
+    for c in columns:
+        rows = quantile_bins(rows, c, bins, f"__b_{c}")
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__b_{c}").alias("b")) for c in columns])
+    cells = rows.select("__t", F.explode(entries).alias("x")).select("__t", "x.column", "x.b").filter("__t is not null and b is not null").groupBy("column", "b", "__t").agg(F.count("*").cast("double").alias("c"))
+    # At most bins * bins cells a column, so these windows are small.
+    of = lambda *by: F.sum("c").over(Window.partitionBy("column", *by))
+    return cells.select("column", (F.col("c") / of() * F.log2(F.col("c") * of() / (of("b") * of("__t")))).alias("i")).groupBy("column").agg(F.sum("i").alias("information"))

@@ -57,6 +57,10 @@ def experts_among(people: DataFrame, always: tuple[str, ...] = ()) -> DataFrame:
     return people.filter(F.col("recordedByID").isNotNull() | F.col("recordedBy").isin(list(always)))
 
 
+def citizens_among(people: DataFrame) -> DataFrame:
+    return people.filter(F.col("recordedByID").isNull())
+
+
 def dealt(joined: DataFrame, expert_records: DataFrame, experts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(citizen records, expert records with those that experts among the citizens made)."""
     by_experts = in_values(joined, "recordedBy", experts, "recordedBy")
@@ -92,6 +96,11 @@ def phenology(landed: DataFrame) -> DataFrame:
     )
 
 
+def annotation_types(phenology: DataFrame) -> DataFrame:
+    """The different attributes and values of annotations."""
+    return phenology.select("attribute_label", "value_label").distinct()
+
+
 def densities(monthly: DataFrame, places: int | None = None) -> DataFrame:
     """Months as shares of the count; null where the count is 0."""
     share = lambda m: ratio(f"month_{m}", "count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def observer(records: DataFrame) -> DataFrame:
         *(few(c, F.col(c).isNotNull()).alias(n) for c, n in (("pheno_sex", "obsv_sex_meta_pct"), ("pheno_repro", "obsv_repro_cond_meta_pct"), ("pheno_leaves", "obsv_annot_meta_pct"))),
         F.coalesce(round_half_away(F.avg(F.length("occurrenceRemarks"))), F.lit(0.0)).alias("obsv_avg_descr_len"),
     )
-    return base.join(more, "recordedBy")
+    names = {"obsv_unique_years": "obsv_unique_year_count", "obsv_obs_per_year": "obs_per_year"}
+    return base.withColumnsRenamed(names).join(more, "recordedBy")
 
 
 def identifier(records: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def community(records: DataFrame) -> DataFrame:
 
 def metadata(records: DataFrame) -> DataFrame:
     known = [flag(F.col(c).isNotNull()).alias(f"meta_{c}") for c in ("pheno_repro", "pheno_leaves", "pheno_sex")]
-    return records.select("gbifID", "species", F.col("media_count").cast("int").alias("meta_media_count"), F.col("coordinateUncertaintyInMeters").alias("meta_uncertainty"), *known, F.coalesce(F.length("occurrenceRemarks"), F.lit(0)).alias("meta_remarks"))
+    return records.select("gbifID", "species", F.col("media_count").cast("int").alias("meta_media_count"), F.col("coordinateUncertaintyInMeters").alias("meta_coordinateUncertaintyInMeters"), *known, F.coalesce(F.length("occurrenceRemarks"), F.lit(0)).alias("meta_occurrenceRemarks"))
 
 
 def temporal(records: DataFrame) -> DataFrame:
@@ -82,7 +85,13 @@ def annotations(records: DataFrame, phenology: DataFrame) -> DataFrame:
 
 def ranges(records: DataFrame, species_ranges: DataFrame) -> DataFrame:
     points = records.select("gbifID", "taxonID", F.col("geom.x").alias("__x"), F.col("geom.y").alias("__y"))
-    return with_range(points, species_ranges.select(F.col("taxon_id").alias("taxonID"), "edges"), "taxonID", "__x", "__y", name="range").select("gbifID", "range")
+    return with_range(points, species_ranges.withColumnRenamed("taxon_id", "taxonID").select("taxonID", "edges", *(c for c in ("minx", "miny", "maxx", "maxy") if c in species_ranges.columns)), "taxonID", "__x", "__y", name="range").select("gbifID", "range")
+
+
+def samples(labelled: DataFrame, *sampled: DataFrame) -> DataFrame:
+    """Raster samples of labelled records, out of one table or several of equal columns."""
+    rows = [labelled.select("gbifID").join(s.drop("gee_id", "coordinates"), "gbifID") for s in sampled]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 def combined(records: DataFrame, by_observer: list[DataFrame], by_identifier: DataFrame, by_taxon: list[DataFrame], by_record: list[DataFrame], optional: list[DataFrame] = ()) -> DataFrame:

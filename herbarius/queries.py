@@ -6,7 +6,7 @@ for identifications, synthetic coordinates come from integer keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
@@ -395,14 +395,16 @@ def mercator_project(s, d):
 
 
 def _near_pairs(s, d):
-    c = t(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("species"), lon("o_orderkey").alias("cx"), lat("o_orderkey").alias("cy"))
-    e = t(s, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("expert_id"), F.col("o_orderpriority").alias("species"), (lon("o_custkey")).alias("ex"), lat("o_custkey").alias("ey"))
-    return S.within_distance(c, e, 0.05, ["species"], ("cx", "cy"), ("ex", "ey"))
+    """Every order with the customers at most ``DEGREES`` away."""
+    c = t(s, d, "orders").select("o_orderkey", lon("o_orderkey").alias("cx"), lat("o_orderkey").alias("cy"))
+    e = t(s, d, "customer").select(F.col("c_custkey").alias("expert_id"), lon("c_custkey").alias("ex"), lat("c_custkey").alias("ey"))
+    return S.within_distance(c, e, DEGREES, [], ("cx", "cy"), ("ex", "ey"))
 
 
-_PAIRS = f"""WITH c AS (SELECT o_orderkey, o_orderpriority AS species, {LON.format(k='o_orderkey')} AS cx, {LAT.format(k='o_orderkey')} AS cy FROM orders),
-e AS (SELECT o_orderkey AS expert_id, o_orderpriority AS species, {LON.format(k='o_custkey')} AS ex, {LAT.format(k='o_custkey')} AS ey FROM orders WHERE o_orderkey % 20 = 0),
-p AS (SELECT * FROM c JOIN e USING (species) WHERE sqrt((cx - ex) * (cx - ex) + (cy - ey) * (cy - ey)) <= 0.05)"""
+_PAIRS = f"""WITH c AS (SELECT o_orderkey, {LON.format(k='o_orderkey')} AS cx, {LAT.format(k='o_orderkey')} AS cy FROM orders),
+e AS (SELECT c_custkey AS expert_id, {LON.format(k='c_custkey')} AS ex, {LAT.format(k='c_custkey')} AS ey FROM customer),
+p AS (SELECT * FROM c JOIN e ON cx BETWEEN ex - 0.2 AND ex + 0.2 WHERE sqrt((cx - ex) * (cx - ex) + (cy - ey) * (cy - ey)) <= {DEGREES})"""
+_METRES = f"sqrt(pow(radians(cx - ex) * 6378137.0, 2) + pow((ln(tan(pi() / 4 + radians(cy) / 2)) - ln(tan(pi() / 4 + radians(ey) / 2))) * 6378137.0, 2)) <= {METRES}"
 
 
 @query(f"{_PAIRS} SELECT o_orderkey, expert_id FROM p")
@@ -415,34 +417,9 @@ def spatial_logistic_score(s, d):
     return _near_pairs(s, d).select("o_orderkey", "expert_id", C.round_half_away(C.logistic_decay(1000 * G.distance("cx", "cy", "ex", "ey")), 6).alias("spatial_score"))
 
 
-@query(f"{_PAIRS} SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM p WHERE sqrt((cx - ex) * (cx - ex) + (cy - ey) * (cy - ey)) <= 0.02) THEN 1 ELSE 0 END AS expert_match FROM orders")
+@query(f"{_PAIRS} SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM p WHERE {_METRES}) THEN 1 ELSE 0 END AS expert_match FROM orders")
 def spatial_label(s, d):
-    near = _near_pairs(s, d).filter(G.distance("cx", "cy", "ex", "ey") <= 0.02)
-    return R.with_existence(t(s, d, "orders").select("o_orderkey"), "o_orderkey", near, "o_orderkey", "expert_match")
-
-
-# The same over whole tables: every order against every customer at the distance of the scores.
-
-
-def _customer_pairs(s, d):
-    c = t(s, d, "orders").select("o_orderkey", lon("o_orderkey").alias("cx"), lat("o_orderkey").alias("cy"))
-    e = t(s, d, "customer").select(F.col("c_custkey").alias("expert_id"), lon("c_custkey").alias("ex"), lat("c_custkey").alias("ey"))
-    return S.within_distance(c, e, DEGREES, [], ("cx", "cy"), ("ex", "ey"))
-
-
-@query(None)
-def spatial_distance_join_whole(s, d):
-    return _customer_pairs(s, d).select("o_orderkey", "expert_id")
-
-
-@query(None)
-def spatial_logistic_score_whole(s, d):
-    return _customer_pairs(s, d).select("o_orderkey", "expert_id", C.round_half_away(C.logistic_decay(1000 * G.distance("cx", "cy", "ex", "ey")), 6).alias("spatial_score"))
-
-
-@query(None)
-def spatial_label_whole(s, d):
-    near = _customer_pairs(s, d).filter(G.distance(G.mercator_x("cx"), G.mercator_y("cy"), G.mercator_x("ex"), G.mercator_y("ey")) <= METRES)
+    near = _near_pairs(s, d).filter(G.distance(G.mercator_x("cx"), G.mercator_y("cy"), G.mercator_x("ex"), G.mercator_y("ey")) <= METRES)
     return R.with_existence(t(s, d, "orders").select("o_orderkey"), "o_orderkey", near, "o_orderkey", "expert_match")
 
 
@@ -515,9 +492,57 @@ def quantile_strata(s, d):
     return P.quantile_bins(t(s, d, "orders"), "o_totalprice", 6, "stratum").select("o_orderkey", "stratum")
 
 
+@query(f"""WITH r AS (SELECT *, month(o_orderdate) AS m FROM orders), q AS (SELECT quantile_cont(o_totalprice, [i / 6 FOR i IN range(7)]) AS e, list_distinct(quantile_cont(m, [i / 12 FOR i IN range(13)])) AS f FROM r),
+c AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders GROUP BY 1),
+s AS (SELECT o_orderkey, CAST(len(list_filter(list_slice(e, 2, 6), lambda x: x < o_totalprice)) AS INTEGER) || '_' || code || '_' || len(list_filter(list_sort(f)[2:len(f) - 1], lambda x: x < m)) AS k FROM r JOIN c USING (o_orderpriority) CROSS JOIN q)
+SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY k) < 2 THEN 'mixed_stratum' ELSE k END AS stratum FROM s""")
+def composite_strata(s, d):
+    rows = t(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.month("o_orderdate").alias("m"))
+    return P.strata(rows, "o_totalprice", "o_orderpriority", "m", 6, 12).select("o_orderkey", "stratum")
+
+
+def _split(s, d):
+    return P.stratified_split(t(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", M.PARTS)
+
+
 @query(None)
 def stratified_split(s, d):
-    return P.stratified_split(t(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", {"train": 0.7, "validate": 0.15, "test": 0.15})
+    return _split(s, d)
+
+
+@query("""WITH r AS (SELECT o_orderpriority, percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS p FROM orders)
+SELECT o_orderpriority, CASE WHEN p < CAST(0.7 AS DOUBLE) THEN 'train' WHEN p < CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE) THEN 'validate' ELSE 'test' END AS part, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
+def stratified_split_counts(s, d):
+    return _split(s, d).groupBy("o_orderpriority", "part").agg(F.count("*").alias("n"))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count({c}) AS BIGINT) AS n_null, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS greatest, {sql_round(f'avg({c})', 4)} AS mean, {sql_round(f'var_samp({c})', 3)} AS variance FROM lineitem""" for c in ("l_quantity", "l_discount")))
+def described(s, d):
+    got = A.described(t(s, d, "lineitem"), ["l_quantity", "l_discount"])
+    return got.withColumns({"mean": C.round_half_away("mean", 4), "variance": C.round_half_away("variance", 3)})
+
+
+@query("SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS n_duplicate FROM (SELECT count(*) AS c FROM events GROUP BY user_id, event_type)")
+def duplicate_rows(s, d):
+    return A.duplicate_rows(t(s, d, "events"), ["user_id", "event_type"])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_discount + l_tax AS sum, {sql_round('l_discount / nullif(l_discount + l_tax, 0)')} AS l_discount_per, {sql_round('l_tax / nullif(l_discount + l_tax, 0)')} AS l_tax_per FROM lineitem")
+def row_shares(s, d):
+    rows = A.row_shares(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), ["l_discount", "l_tax"])
+    return rows.select("l_orderkey", "l_linenumber", "sum", *(C.round_half_away(c, 6).alias(c) for c in ("l_discount_per", "l_tax_per")))
+
+
+_TEN = {c: f"list_sort(list_distinct(quantile_cont({c}, [i / 10 FOR i IN range(11)])))" for c in ("l_quantity", "l_discount", "l_extendedprice")}
+_BINS = ", ".join(f"len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda x: x < {c})) AS b_{c}" for c in _TEN)
+
+
+@query(f"""WITH q AS (SELECT {', '.join(f'{e} AS e_{c}' for c, e in _TEN.items())} FROM lineitem), b AS (SELECT {_BINS} FROM lineitem CROSS JOIN q),
+x AS (SELECT 'l_quantity' AS "column", b_l_quantity AS b, b_l_extendedprice AS t, count(*) AS c FROM b GROUP BY ALL UNION ALL SELECT 'l_discount', b_l_discount, b_l_extendedprice, count(*) FROM b GROUP BY ALL),
+i AS (SELECT "column", c / sum(c) OVER (PARTITION BY "column") * log2(c * sum(c) OVER (PARTITION BY "column") / (sum(c) OVER (PARTITION BY "column", b) * sum(c) OVER (PARTITION BY "column", t))) AS i FROM x)
+SELECT "column", {sql_round('sum(i)', 5)} AS information FROM i GROUP BY 1""")
+def mutual_information(s, d):
+    return P.mutual_information(t(s, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice").withColumn("information", C.round_half_away("information", 5))
 
 
 @query(f"""WITH x AS (SELECT l_extendedprice AS y, 1500 * l_quantity AS p FROM lineitem) SELECT {sql_round('avg(abs(y - p))', 3)} AS mae, {sql_round('avg((y - p) * (y - p))', 1)} AS mse, {sql_round('sqrt(avg((y - p) * (y - p)))', 3)} AS rmse, {sql_round('1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0)')} AS r2 FROM x""")
@@ -532,7 +557,10 @@ def kmeans(s, d):
     return S.kmeans_clusters(t(s, d, "orders").select("o_orderkey", lon("o_orderkey").alias("x"), lat("o_orderkey").alias("y")), ["x", "y"], 6)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, {LON.format(k='s_suppkey')} AS x, {LAT.format(k='s_suppkey')} AS y FROM supplier),
+e AS (SELECT p.id AS a, q.id AS b FROM p JOIN p q ON p.id <> q.id WHERE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(q.y - p.y) / 2), 2) + cos(radians(p.y)) * cos(radians(q.y)) * pow(sin(radians(q.x - p.x) / 2), 2)))) <= 10.0),
+r AS (SELECT id, id AS m FROM p UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id)
+SELECT id AS s_suppkey, CAST(CASE WHEN count(*) > 1 THEN min(m) ELSE -1 END AS BIGINT) AS spatial_cluster FROM r GROUP BY 1""")
 def dbscan(s, d):
     return S.density_clusters(t(s, d, "supplier").select("s_suppkey", lon("s_suppkey").alias("x"), lat("s_suppkey").alias("y")), "s_suppkey", "x", "y", 10.0)
 
@@ -543,10 +571,17 @@ def pca_encode(s, d):
     return P.principal_components(rows, "o_custkey", ["n", "total", "top"])
 
 
+_FACTS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _lines(s, d):
+    key = C.joined_key("l_orderkey", "l_linenumber").alias("id")
+    return t(s, d, "lineitem").select(key, "l_returnflag", *_FACTS, F.col("l_extendedprice").alias("label"))
+
+
 def _fitted(s, d, kind: str):
-    rows = t(s, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
-    model = M.trained(rows, "label", ["l_quantity", "l_discount", "l_tax"], kind)
-    return M.regression_metrics(model.transform(rows), "label", "prediction")
+    """Metrics on the validation and test parts of a model fitted on the training part of all lines."""
+    return M.evaluated(_lines(s, d), "id", "l_returnflag", "label", _FACTS, kind)[1]
 
 
 @query(None)
@@ -564,4 +599,38 @@ def gbt(s, d):
     return _fitted(s, d, "boosted")
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "Window"]
+@query(None)
+def binary_classifier(s, d):
+    """Metrics on the test part of a classifier of returned lines, classes weighted."""
+    rows = P.stratified_split(_lines(s, d).withColumn("returned", C.flag(F.col("l_returnflag") == "R")), "id", "l_returnflag", M.PARTS)
+    model = M.trained_classifier(rows.filter("part = 'train'"), "returned", [*_FACTS, "label"])
+    got = M.classification_metrics(model.transform(rows.filter("part = 'test'")), "returned")
+    return s.createDataFrame([(k, float(v)) for k, v in got.items()], "metric string, value double")
+
+
+@query(None)
+def logistic_curve(s, d):
+    rows = t(s, d, "lineitem").select("l_quantity", C.flag(F.col("l_returnflag") == "R").alias("returned"))
+    return M.logistic_curve(rows, "l_quantity", "returned")
+
+
+@query(None)
+def overall_quality(s, d):
+    rows = P.stratified_split(_lines(s, d), "id", "l_returnflag", {"train": 0.75, "test": 0.25}).withColumns({"a": F.col("label") / 1000, "b": F.col("l_quantity") * F.col("l_tax"), "c": F.sqrt("l_quantity"), "d": F.col("l_discount") * 10})
+    got = M.overall_quality(rows.filter("part = 'test'"), rows.filter("part = 'train'"), ["a", "b", "c", "d"], _FACTS)
+    return got.select("id", *(f"{c}_predicted" for c in "abcd"), "overall")
+
+
+@query(None)
+def elbow(s, d):
+    return S.elbow(t(s, d, "orders").select(lon("o_orderkey").alias("x"), lat("o_orderkey").alias("y")), ["x", "y"])
+
+
+@query(None)
+def encoded_features(s, d):
+    """Correlated columns as principal components, text as codes."""
+    rows = t(s, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_totalprice").alias("top"))
+    return P.encoded(rows, "o_custkey")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import EDGE, edges_of, wkt_rings
+from ..functions.columns import as_json
+from ..functions.geo import EDGE, clipped, edges_of, wkt_rings
 
 #: Layers of tables, from what was landed to what is scored.
 LAYERS = ("raw", "clean", "preprocessed", "features", "observers", "labeled", "score", "encoded", "transformed")
@@ -51,13 +54,21 @@ def field_list(fields: dict) -> str:
     return "(" + ",".join(f"{k}:{field_list(v) if isinstance(v, dict) else '!t'}" for k, v in fields.items()) + ")"
 
 
-def ranges(texts: DataFrame, key: str, wkt: str = "wkt") -> DataFrame:
-    """Polygon texts as edges and bounding boxes: ``key, edges, minx, miny, maxx, maxy``."""
+def ranges(texts: DataFrame, key: str, wkt: str = "wkt", area: str | None = None) -> DataFrame:
+    """Polygon texts as edges and bounding boxes: ``key, edges, minx, miny, maxx, maxy``.
+
+    With an ``area``, a convex polygon's text, rings are clipped to it and ranges outside are left
+    out.  Saved as they are, the boxes let a later scan skip row groups outside a box (:func:`in_box`).
+    """
+    border = wkt_rings(area)[0] if area else None
 
     def parse(batches):
         for pdf in batches:
-            pdf["edges"] = [[dict(zip(("x1", "y1", "x2", "y2"), e, strict=True)) for e in edges_of(wkt_rings(t))] for t in pdf[wkt]]
-            yield pdf[[key, "edges"]]
+            rings = [wkt_rings(t) for t in pdf[wkt]]
+            if border:
+                rings = [[c for c in (clipped(r, border) for r in some) if len(c) > 2] for some in rings]
+            pdf["edges"] = [[dict(zip(("x1", "y1", "x2", "y2"), e, strict=True)) for e in edges_of(some)] for some in rings]
+            yield pdf.loc[[bool(some) for some in rings], [key, "edges"]]
 
     kind = texts.schema[key].dataType.simpleString()
     edges = texts.select(key, wkt).mapInPandas(parse, f"`{key}` {kind}, edges {EDGE}")
@@ -65,11 +76,45 @@ def ranges(texts: DataFrame, key: str, wkt: str = "wkt") -> DataFrame:
     return edges.select(key, "edges", corner(F.array_min, "x1").alias("minx"), corner(F.array_min, "y1").alias("miny"), corner(F.array_max, "x1").alias("maxx"), corner(F.array_max, "y1").alias("maxy"))
 
 
+def in_box(ranges: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
+    """Ranges whose box meets another; plain comparisons, which reach the scan."""
+    return ranges.filter((F.col("maxx") >= minx) & (F.col("minx") <= maxx) & (F.col("maxy") >= miny) & (F.col("miny") <= maxy))
+
+
+def export_features(df: DataFrame, path: str, x: str, y: str, columns: list[str]) -> None:
+    """Points as lines of GeoJSON features with some columns as properties."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*columns).alias("properties"))
+    df.select(F.to_json(feature).alias("value")).write.text(path)
+
+
+def export_sample(df: DataFrame, path: str, rows: int = 100) -> None:
+    """The first rows, by the first column, as one CSV file with a header."""
+    df.orderBy(df.columns[0]).limit(rows).coalesce(1).write.csv(path, header=True)
+
+
+def land(df: DataFrame, item_key: str, path: str) -> None:
+    """Rows as landed responses: their key, and all of them as JSON text."""
+    df.select(F.lit(0).alias("batch_idx"), F.lit(0).alias("chunk_idx"), F.col(item_key).cast("int").alias("item_key"), as_json(df.columns).alias("json")).write.json(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the cluster names in ``spark.checkpoint.dir``; only a local
+    session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return df.checkpoint()
+
+
 def loaded(spark: SparkSession, name: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Columns of a table, ordered by the first of them, up to a limit."""
+    """Columns of a table; with a limit the first rows by the first of them, which is no global sort."""
     df = spark.table(name)
     df = df.select(*columns) if columns else df
-    return df.orderBy(df.columns[0]).limit(limit) if limit else df.orderBy(df.columns[0])
+    return df.orderBy(df.columns[0]).limit(limit) if limit else df
 
 
 def save(df: DataFrame, name: str, append: bool = False) -> None:
