@@ -21,8 +21,9 @@ Lower level.  A node's documents are packed into leaves with their coordinate ma
 then documents and leaves, then documents are tested by the sums of minima.
 
 Large groups of copies cost no more than others: equal sets are one point; each point is first
-tried with the one that it shares most nodes with, which joins near copies in a star; nodes
-that lie in one component need no further test, and the others are searched leaf by leaf.
+tried with the one that it shares most nodes with, which joins near copies in a star, then with
+a few hubs of its nodes for what the star missed; nodes that lie in one component need no
+further test, and the others are searched leaf by leaf.
 Points have about as many coordinates as their documents have shingles, so that the bound is
 sharp enough to keep all but a few unlinked pairs from the verification on sets.
 
@@ -48,6 +49,10 @@ LEAF = 128
 #: Coordinates of a block, and leaves that a task of the leaf search holds on its left.
 FINE = 1 << 20
 STRIPE = 8
+#: Hubs of a node in a round, and rounds of them, before what is left is searched.
+HUBS, ROUNDS = 8, 2
+#: Keys that a document carries in the search of nodes.
+CARRIED = 12
 #: Low bits of a slab's key: its band, and whether its block is empty.
 BAND, EMPTY = 0xFF, 0x100
 
@@ -220,7 +225,7 @@ def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-_MEMBERS = "array<struct<pid:bigint,comp:bigint,n:bigint,vec:binary>>"
+_MEMBERS = "array<struct<pid:bigint,comp:bigint,n:bigint,vec:binary,least:array<bigint>>>"
 
 
 def _near_in_nodes(members: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,9 +236,14 @@ def _near_in_nodes(members: DataFrame, facts: DataFrame, num: int, den: int) ->
     dealt to leaves by whether they are of the node's first component, which most are in a group of
     near copies, and pairs of leaves inside it are never made.  The leaves' boxes are tested
     first; what is left goes to tasks by node and stripe of leaves.
+
+    A pair that shares many nodes is given by one of them: each document carries the least keys of
+    its nodes, and a pair is left to the least key that both carry.
     """
-    member = F.struct("pid", "comp", "n", "vec")
-    one = members.filter(F.col("size") <= LEAF).join(facts, "pid").groupBy("key").agg(F.collect_list(member).alias("pa")).select("pa", F.lit(None).cast(_MEMBERS).alias("pb"))
+    least = members.groupBy("pid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, CARRIED).alias("least"))
+    facts = stored(facts.join(least, "pid"), "carried")
+    member = F.struct("pid", "comp", "n", "vec", "least")
+    one = members.filter(F.col("size") <= LEAF).join(facts, "pid").groupBy("key").agg(F.collect_list(member).alias("pa")).select("key", "pa", F.lit(None).cast(_MEMBERS).alias("pb"))
     main = F.col("comp") == F.col("first")
     leaf = F.pmod(F.xxhash64("pid"), F.ceil(F.col("size") / LEAF).cast("long")) * 2 + F.when(main, 0).otherwise(1)
     leaves = members.filter(F.col("size") > LEAF).join(facts, "pid").select("key", leaf.alias("leaf"), main.alias("main"), member.alias("x")).groupBy("key", "leaf", "main").agg(F.collect_list("x").alias("xs"))
@@ -246,18 +256,19 @@ def _near_in_nodes(members: DataFrame, facts: DataFrame, num: int, den: int) ->
     needed = near.select("key", F.floor(F.col("la") / STRIPE).alias("stripe"), F.col("lb").alias("leaf")).distinct()
     a = leaves.select("key", stripe.alias("stripe"), F.col("leaf").alias("la"), F.col("main").alias("ma"), F.col("xs").alias("pa"))
     b = needed.join(leaves.select("key", "leaf", "main", "xs"), ["key", "leaf"]).select("key", "stripe", F.col("leaf").alias("lb"), F.col("main").alias("mb"), F.col("xs").alias("pb"))
-    several = a.join(b, ["key", "stripe"]).filter("la <= lb and not (ma and mb)").select("pa", "pb")
+    several = a.join(b, ["key", "stripe"]).filter("la <= lb and not (ma and mb)").select("key", "pa", "pb")
 
     def run(batches):
         for batch in batches:
             found = set()
             for i in range(batch.num_rows):
-                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                found.update(_search(left, left if right is None else right, num, den))
+                key, left, right = (batch.column(c)[i].as_py() for c in ("key", "pa", "pb"))
+                found.update(_search(key, left, left if right is None else right, num, den))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], type=pa.int64()), pa.array([y for _, y in found], type=pa.int64())], names=["a", "b"])
 
     out = stored(one.unionAll(several).mapInArrow(run, "a bigint, b bigint").distinct(), "pairs", batch_rows=64)
     discard(leaves)
+    discard(facts)
     return out
 
 
@@ -290,8 +301,9 @@ def _touching(num: int, den: int):
     return run
 
 
-def _search(left: list[dict], right: list[dict], num: int, den: int) -> set[tuple]:
-    """Pairs of two leaves, smaller number first, that the sums of minima let through."""
+def _search(key: int, left: list[dict], right: list[dict], num: int, den: int) -> set[tuple]:
+    """Pairs of two leaves of a node, smaller number first, that the sums of minima let through
+    and that no node of a lesser key gives."""
     points = points_of([x["vec"] for x in left] + [x["vec"] for x in right])
     va, vb = points[: len(left)], points[len(left) :]
     na, nb = (np.array([x["n"] for x in leaf], dtype=np.int64) for leaf in (left, right))
@@ -305,7 +317,8 @@ def _search(left: list[dict], right: list[dict], num: int, den: int) -> set[tupl
         x = left[i]
         js = kb[own[kb] != x["comp"]]
         bound = np.minimum(va[i], vb[js]).sum(axis=1) + np.minimum(cut_a[i], cut_b[js])
-        out.update((min(x["pid"], right[j]["pid"]), max(x["pid"], right[j]["pid"])) for j in js[(num + den) * bound >= num * (na[i] + nb[js])])
+        lesser = {k for k in x["least"] if k < key}
+        out.update((min(x["pid"], right[j]["pid"]), max(x["pid"], right[j]["pid"])) for j in js[(num + den) * bound >= num * (na[i] + nb[js])] if lesser.isdisjoint(right[j]["least"]))
     return out
 
 
@@ -329,33 +342,69 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
 
     # A star: each point with the one that is first in most of its nodes.
     votes = live.filter("pid <> hub").groupBy("pid", "hub").agg(F.count("*").alias("votes"))
-    star = stored(votes.groupBy("pid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("pid").alias("b")), "star")
-    near = stored(_promising(star, facts, num, den), "near", batch_rows=512)
-    links = _verified(near, points, own, words, num, den)
-    found = components(links)
-
-    # What lies in nodes of several components.
-    of = found.select(F.col("node").alias("pid"), F.col("component").alias("c"))
-    state = stored(live.join(of, "pid", "left").select("key", "pid", F.coalesce("c", "pid").alias("comp")), "state")
-    mixed = state.groupBy("key").agg(F.min_by("comp", "pid").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
-    mixed = stored(mixed, "mixed")
-    members = stored(state.join(mixed, "key"), "members")
+    tried = stored(votes.groupBy("pid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("pid").alias("b")), "tried")
+    links = _links(tried, facts, points, own, words, num, den)
+    for left in range(ROUNDS, -1, -1):
+        # What lies in nodes of several components.
+        found = components(links)
+        state = stored(live.join(found.select(F.col("node").alias("pid"), F.col("component").alias("c")), "pid", "left").select("key", "pid", F.coalesce("c", "pid").alias("comp")), "state")
+        mixed = state.groupBy("key").agg(F.min_by("comp", "pid").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "first", "size")
+        mixed = stored(mixed, "mixed")
+        members = stored(state.join(mixed, "key"), "members")
+        for x in (found, state, mixed):
+            discard(x)
+        if not left or members.isEmpty():
+            break
+        pairs = stored(_with_hubs(members, left).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = _links(pairs, facts, points, own, words, num, den)
+        before, old = tried, links
+        tried, links = stored(tried.unionAll(pairs), "tried"), stored(links.unionAll(new), "links")
+        none = new.isEmpty()
+        for x in (before, old, pairs, new):
+            discard(x)
+        if none:
+            break
+        discard(members)
     # Points go with each of their nodes, hence the coarse ones; a pair that is left is tried once on all coordinates.
     rough = _near_in_nodes(members, points.select("pid", "n", F.col("coarse").alias("vec")), num, den)
-    rest = stored(_promising(rough.join(star, ["a", "b"], "left_anti"), facts, num, den), "rest", batch_rows=512)
-    more = _verified(rest, points, own, words, num, den)
+    more = _links(rough.join(tried, ["a", "b"], "left_anti"), facts, points, own, words, num, den)
     reach = components(links.unionAll(more))
     known = stored(points.select("pid", "id", "fp").join(reach.withColumnRenamed("node", "pid"), "pid"), "known")
     firsts = stored(known.groupBy("component").agg(F.min("id").alias("first")), "first")
     named = stored(known.join(firsts, "component").select("fp", F.col("first").alias("component_id")), "named")
     # What has no link is the smallest id of its text.
     alone = stored(points.select("fp", F.col("id").alias("own")), "alone")
-    for x in (live, star, near, links, found, state, mixed, members, rough, rest, more, reach, known, firsts, points):
+    for x in (live, tried, links, members, rough, more, reach, known, firsts, points):
         discard(x)
     out = slim.join(alone, "fp", "left").join(named, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "own", "id")).alias("component_id"))
 
 
+def _links(pairs: DataFrame, facts: DataFrame, points: DataFrame, own: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that are linked, stored: bound first, then sets."""
+    near = stored(_promising(pairs, facts, num, den), "near", batch_rows=512)
+    out = _verified(near, points, own, words, num, den)
+    discard(near)
+    return out
+
+
+def _with_hubs(members: DataFrame, salt: int) -> DataFrame:
+    """Pairs ``a, b``, the smaller number first: each point with some that it shares nodes with, of other components.
+
+    A node has ``HUBS`` hubs, the smallest by as many hashes, so that nodes of one group of near copies
+    mostly have the same; a point meets the hub of each hash that most of its nodes have.  A point that
+    is near enough to a fair share of its group is thus joined to it without a search of the group's pairs.
+    """
+    hub = lambda j: F.min_by(F.struct("pid", "comp"), F.xxhash64("pid", F.lit(salt * HUBS + j)))
+    hubs = stored(members.groupBy("key").agg(F.array(*(F.struct(F.lit(j).alias("j"), hub(j).alias("h")) for j in range(HUBS))).alias("hubs")), "hubs")
+    met = members.join(hubs, "key").select("pid", "comp", F.explode("hubs").alias("x")).filter(F.col("comp") != F.col("x.h.comp"))
+    votes = met.groupBy("pid", "x.j", F.col("x.h.pid").alias("hub")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("pid", "j").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
+    out = stored(best.select(F.least("pid", "hub").alias("a"), F.greatest("pid", "hub").alias("b")).distinct(), "pairs")
+    discard(hubs)
+    return out
+
+
 def _first_slabs(points: DataFrame) -> DataFrame:
     """``key, pid, hub``: the slabs that each point has to be in, as far as others are in them,
     and the first point of each."""
