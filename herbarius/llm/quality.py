@@ -6,7 +6,8 @@ fitted again.  At the end each view is calibrated on labelled documents kept out
 and the calibrated views are combined by a third logistic model, fitted there as well.
 
 Models are fitted on the driver, on arrays of a fixed size: at most ``max_labelled`` labelled
-documents and ``grow`` pseudo-labels per class, view and round.  Scoring runs over all rows.
+documents and ``grow`` pseudo-labels per class, view and round, each of a document unlike the
+others, so that copies don't crowd them out.  Scoring runs over all rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import operator
 import sys
 import unicodedata
+import warnings
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -148,6 +150,18 @@ def _arrays(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["text_view"] for r in rows]), np.array([r["metadata"] for r in rows])
 
 
+def _held_out(ids: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to train on and rows to calibrate on: of each class every fifth by hash of the id,
+    one at least, is for calibration; a class's only row is for both."""
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(f"calibrate {ids[i]}".encode()), str(ids[i])))
+    train, held = np.zeros(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
+    for label in (0.0, 1.0):
+        own = np.array([i for i in order if y[i] == label], dtype=int)
+        held[own[::5]] = True
+        train[own if len(own) == 1 else np.delete(own, np.arange(0, len(own), 5))] = True
+    return train, held
+
+
 def fit(
     df: DataFrame,
     labels: DataFrame,
@@ -162,44 +176,48 @@ def fit(
     source_col: str = "source",
     size_col: str = "n_chars",
 ) -> Model | None:
-    """Co-train on ``df``; None if the labels at hand don't hold both classes in each part.
+    """Co-train on ``df``; None, with a warning, if its labelled rows aren't of both classes.
 
-    Of the labelled rows those of the smallest hash are taken, at most ``max_labelled``; a
-    fifth of them is kept for calibration.  Rows with null or conflicting labels are left out.
+    Of the labelled ids those of the smallest hash are taken, at most ``max_labelled``; a
+    fifth of each class, one row at least, is kept for calibration.  Of an id with several
+    texts one is learned from.  Ids with null or conflicting labels are left out.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).filter("label = most").select("id", "label")
     sample = stored(usable.orderBy(F.xxhash64("id"), "id").limit(max_labelled), "sample")
-    views = stored(_views(df, id_col, text_col, lang_col, source_col, size_col), "views")
-    # The hash of the views orders rows of equal id, so that the fit doesn't hang on how rows are dealt.
-    known = views.join(F.broadcast(sample), "id").select("id", "label", "text_view", "metadata").orderBy("id", F.xxhash64("text_view", "metadata")).limit(2 * max_labelled).collect()
-    fold = np.array([zlib.crc32(f"calibrate {r['id']}".encode()) % 5 for r in known])
+    views = stored(_views(df, id_col, text_col, lang_col, source_col, size_col).withColumn("h", F.xxhash64("text_view", "metadata")), "views")
+    known = views.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by(F.struct("text_view", "metadata"), "h").alias("x")).select("id", "label", "x.*").orderBy("id").collect()
     text, meta = _arrays(known)
     y = np.array([float(r["label"]) for r in known])
-    if not len(y) or any(len(set(y[part])) < 2 for part in (fold == 0, fold != 0)):
+    if len(set(y)) < 2:
+        warnings.warn("labelled documents of both classes are needed; every score is 1", stacklevel=2)
         discard(views)
+        discard(sample)
         return None
-    train = fold != 0
+    train, held = _held_out([r["id"] for r in known], y)
     data = [[x[train]] for x in (text, meta)]
     targets = [[y[train]], [y[train]]]
     models = [fit_logistic(x[0], t[0]) for x, t in zip(data, targets, strict=True)]
-    open_ = views.join(F.broadcast(sample.select("id")), "id", "left_anti")
+    open_ = views.filter("id is not null").join(F.broadcast(sample.select("id")), "id", "left_anti")
     taken: set = set()
     for _ in range(rounds):
         for own in (0, 1):
             p = _score_column(models[own], ("text_view", "metadata")[own])
-            scored = open_.select("id", "text_view", "metadata", p.alias("p"))
-            for label, order in ((1.0, F.desc("p")), (0.0, F.asc("p"))):
+            scored = open_.select("id", "h", p.alias("p"))
+            for label in (1.0, 0.0):
                 sure_of = F.col("p") >= sure if label else F.col("p") <= 1 - sure
-                rows = [r for r in scored.filter(sure_of).orderBy(order, F.xxhash64("id")).limit(grow + len(taken)).collect() if (own, r["id"]) not in taken][:grow]
-                taken.update((own, r["id"]) for r in rows)
-                if rows:
+                # Documents of equal views count once, by their smallest id.
+                unlike = scored.filter(sure_of).groupBy("h").agg(F.min("id").alias("id"), F.max("p").alias("p"))
+                best = unlike.orderBy(F.desc("p") if label else F.asc("p"), "h").limit(grow + len(taken)).select("h", "id").collect()
+                new = [r for r in best if (own, r["h"]) not in taken][:grow]
+                taken.update((own, r["h"]) for r in new)
+                if new:
+                    rows = open_.join(F.broadcast(df.sparkSession.createDataFrame(new, open_.select("h", "id").schema)), ["h", "id"]).dropDuplicates(["h"]).orderBy("h").collect()
                     data[1 - own].append(_arrays(rows)[1 - own])
                     targets[1 - own].append(np.full(len(rows), label))
         models = [fit_logistic(np.concatenate(x), np.concatenate(t)) for x, t in zip(data, targets, strict=True)]
     discard(views)
     discard(sample)
-    held = fold == 0
     logits = [m.logit(x[held]) for m, x in zip(models, (text, meta), strict=True)]
     calibrated = [fit_logistic(z[:, None], y[held], 0.1) for z in logits]
     both = fit_logistic(np.column_stack([c.logit(z[:, None]) for c, z in zip(calibrated, logits, strict=True)]), y[held], 0.1)
@@ -241,7 +259,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_
     score is at least ``threshold``.
 
     Null texts and metadata count as empty ones; null and repeated ids are passed on.  Other
-    columns are left out.
+    columns are left out.  Without labelled documents of both classes there is a warning, and
+    every score is 1.
     """
     model = fit(df, labels, id_col=id_col, text_col=text_col, **options)
     scored = with_scores(df.select(id_col, text_col, "lang", "source", "n_chars"), model, text_col=text_col)
