@@ -78,7 +78,7 @@ def test_regressions_fit_on_the_training_part_of_all_rows(spark, monkeypatch, na
     monkeypatch.setattr(models, "trained", trained)
     got = {r.part: r for r in QUERIES[name](spark, DATA).collect()}
     n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
-    assert len(seen) == 1 and abs(seen[0][0] - 0.7 * n) <= 3 and seen[0][1:] == (kind, 500)
+    assert len(seen) == 1 and abs(seen[0][0] - 0.7 * n) <= 3 and seen[0][1:] == (kind, 50)
     assert set(got) == {"validate", "test"} and all(-0.2 < r.r2 <= 1 and abs(r.rmse - math.sqrt(r.mse)) < 1e-6 for r in got.values())
 
 
