@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import discard, slices, stored
 
 #: Look-alikes and the letters that they may stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 SIGNS = "@$!|+€£¡"
 GAP = r"[\s.\-_*~,]"
 #: Four or more single characters or runs of one, each a letter, digit or sign, with gaps between.
-SPACED = re.compile(rf"(?<![^\W_])((?<![{SIGNS}])[{SIGNS}]|[^\W_])\1*+(?:{GAP}++([^\W_]|[{SIGNS}])\2*+){{3,}}(?![^\W_])")
+SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’])((?<![{SIGNS}])[{SIGNS}]|[^\W_])\1*+(?:{GAP}++([^\W_]|[{SIGNS}])\2*+){{3,}}(?![^\W_])")
 RUN = re.compile(rf"({GAP})(?:{GAP})*|(.)\2*", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+€£¡]|[0-9@$!|+€£¡][^\W\d_]|([^\W\d_])\1\1")
@@ -54,8 +54,8 @@ def _bucket(x: str) -> int:
 class Channel:
     """Character language model and decoder."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray, restore: bool = True):
+        self.counts, self.restore = counts, restore
         self.seen: dict[str, float] = {}
         self.restored: dict[str, str] = {}
 
@@ -95,12 +95,12 @@ class Channel:
                 if k == 1 and not gaps:
                     some = [(c, 1.0)]
                 if alike > 1:  # a repeat over a gap
-                    some = [(x, price + 4.0 * (alike > 2)) for x, price in some] + [("", 1.5 * (alike == 2))]
+                    some = [(x, price + 4.0 * (alike > 2)) for x, price in some] + [("", 5.0 * (alike == 2))]
             else:
                 letters = LOOKALIKES.get(c, "")
-                drop = 5.0 if letters and k == 1 else 3.0
+                drop = 10.0 if letters else 3.0
                 if not c.isalnum() and (i > last or i < first and not letters):
-                    drop = 0.0  # punctuation
+                    drop = 4.0 if letters and c != "!" else 0.0  # punctuation
                 some = [(x * n, 1.0 * min(k, 3) + min(k - n, 2)) for x in letters for n in ({1, k} if k < 3 else {1})] + [("", drop)]
             out.append(some)
         return out
@@ -132,6 +132,12 @@ class Channel:
 
     def undoubled(self, word: str) -> str:
         """The likeliest word with doubled letters as one, if it is likelier by ``GAIN``."""
+        found = DOUBLED.findall(word)
+        if len(found) == 1:  # one choice: the trigrams that differ tell, with no search
+            i, x = word.index(2 * found[0]), found[0]
+            before, after = word[i - 1] if i else "^", word[i + 2] if i + 2 < len(word) else "$"
+            gain = self.cost(before, x, x) + self.cost(x, x, after) - self.cost(before, x, after) - 1.5
+            return word[:i] + word[i + 1 :] if gain >= GAIN else word
 
         def run():
             arcs = [[(out, price - (len(c) == 1)) for out, price in c] for c in self.arcs(word, False)]
@@ -150,11 +156,13 @@ class Channel:
             self.restored[key] = text
         return text
 
-    def words(self, chunk: str) -> tuple[str, ...]:
-        """Words of a lower-case part between white space, restored if it looks odd."""
+    def split(self, chunk: str) -> tuple[list[str], list[str]]:
+        """(words as they stand, words restored) of a lower-case part between white space."""
+        if not self.restore:
+            return WORD.findall(chunk), []
         doubled = DOUBLED.search(chunk)
         if chunk.isalpha() and not doubled:
-            return (chunk,)
+            return [chunk], []
         found, i, j = WORD.findall(chunk), 0, len(chunk)
         while i < j and not (chunk[i].isalnum() or chunk[i] in LOOKALIKES):
             i += 1
@@ -162,13 +170,19 @@ class Channel:
             j -= 1
         core = chunk[i:j]
         if ODD.search(core):
-            found.append(self.decode(core))
-        elif doubled:
-            found += [x for w in found if DOUBLED.search(w) and (x := self.undoubled(w)) != w]
-        return tuple(found)
+            return found, [self.decode(core)]
+        if doubled:
+            return found, [x for w in found if DOUBLED.search(w) and (x := self.undoubled(w)) != w]
+        return found, []
+
+    def words(self, chunk: str) -> tuple[str, ...]:
+        plain, restored = self.split(chunk)
+        return (*plain, *restored)
 
     def spaced(self, text: str) -> list[str]:
         """Words written with marks or spaces between their letters."""
+        if not self.restore:
+            return []
         return [w for m in SPACED.finditer(text) for w in self.kept(m[0], lambda m=m: self.best(self.arcs(m[0], True))[1]).split("$") if w]
 
 
@@ -182,8 +196,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             words: Counter = Counter()
             for chunk, n in held.items():
                 for w in [chunk] if chunk.isalpha() else WORD.findall(chunk):
-                    if len(w) <= 64:
-                        words[w] += n
+                    words[w] += n
             held.clear()
             keys = list(words)
             for at in range(0, len(keys), 50_000):
@@ -226,26 +239,46 @@ def language_model(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _features(channel: Channel, text: str | None, cache: dict) -> set[str]:
-    """Restored words and the beginnings (five letters) of the longer ones."""
+def _single(word: str) -> str:
+    """The mark of a restored word whose doubled letters may have been lost or added."""
+    return "~" + DOUBLED.sub(r"\1", word)
+
+
+def _forms(word: str, restored: bool) -> tuple[str, ...]:
+    """A word, its beginning (five letters) if it is longer, and its mark if it was restored."""
+    return (word, *(("^" + word[:5],) if len(word) > 5 else ()), *((_single(word),) if restored else ()))
+
+
+def _of_chunk(channel: Channel, chunk: str) -> tuple[str, ...]:
+    plain, restored = channel.split(chunk)
+    return tuple(x for words, odd in ((plain, False), (restored, True)) for w in words if w for x in _forms(w, odd))
+
+
+def _features(channel: Channel, text: str | None, cache: dict, known=None) -> set[str]:
+    """Restored words of a text in all their forms; with ``known`` those of them that it holds.
+
+    ``cache`` keeps what a part between white space gives, so a cache goes with one ``known``.
+    """
     if not text:
         return set()
     low, out = text.lower(), set()
     for chunk in set(low.split()):
         got = cache.get(chunk)
         if got is None:
-            got = channel.words(chunk)
-            got = got + tuple("^" + w[:5] for w in got if len(w) > 5)
+            got = _of_chunk(channel, chunk)
+            if known is not None:
+                got = tuple(w for w in got if w in known)
             if len(cache) > CACHE:
                 cache.clear()
             cache[chunk] = got
-        out.update(got)
+        if got:
+            out.update(got)
     for w in channel.spaced(low):
-        out.update((w, "^" + w[:5]) if len(w) > 5 else (w,))
+        out.update(x for x in _forms(w, True) if known is None or x in known)
     return out
 
 
-def fit_lexicon(train: DataFrame, counts: np.ndarray, text_col: str, label_col: str, min_support: int = 3, least: float = 0.7, size: int = 5_000) -> tuple[dict[str, float], float]:
+def fit_lexicon(train: DataFrame, counts: np.ndarray, text_col: str, label_col: str, min_support: int = 3, least: float = 0.7, size: int = 5_000, restore: bool = True) -> tuple[dict[str, float], float]:
     """(probability of the label given a word, probability without any such word).
 
     Candidates are the ``size`` most frequent words of at least ``min_support`` texts of label
@@ -257,11 +290,11 @@ def fit_lexicon(train: DataFrame, counts: np.ndarray, text_col: str, label_col:
     shared = train.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        channel, cache, pos, neg = Channel(shared.value), {}, Counter(), Counter()
+        channel, cache, pos, neg = Channel(shared.value, restore), {}, Counter(), Counter()
         for batch in batches:
             for part in slices(batch, text_col):
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    (pos if label == 1 else neg).update(_features(channel, text, cache))
+                    (pos if label == 1 else neg).update(x for x in _features(channel, text, cache) if x[0] != "~")
         words = list(pos | neg)
         for at in range(0, len(words), 50_000):
             some = words[at : at + 50_000]
@@ -273,10 +306,10 @@ def fit_lexicon(train: DataFrame, counts: np.ndarray, text_col: str, label_col:
     number = train.sparkSession.sparkContext.broadcast({r["word"]: i for i, r in enumerate(rows)})
 
     def contained(batches):
-        channel, cache = Channel(shared.value), {}
+        channel, cache = Channel(shared.value, restore), {}
         for batch in batches:
             for part in slices(batch, text_col):
-                found = [sorted(number.value[w] for w in _features(channel, t, cache) & number.value.keys()) for t in part.column(0).to_pylist()]
+                found = [sorted(number.value[w] for w in _features(channel, t, cache, number.value)) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.list_(pa.int32()))], names=["words"])
 
     open_ = [set(r["words"]) for r in train.filter(F.col(label_col) == 1).select(text_col).mapInArrow(contained, "words array<int>").collect()]
@@ -289,13 +322,17 @@ def fit_lexicon(train: DataFrame, counts: np.ndarray, text_col: str, label_col:
         r = rows[-best[2]]
         lexicon[r["word"]] = max(0.5, r["pos"] / (r["pos"] + r["neg"] + 1))
         open_ = [words for words in open_ if -best[2] not in words]
+    # A restored word is also known by its letters without doubling, but for short words, which would be mistaken.
+    for word, p in list(lexicon.items()):
+        if len(word) >= 5 and word[0] != "^":
+            lexicon[_single(word)] = max(p, lexicon.get(_single(word), 0.0))
     known = train.sparkSession.sparkContext.broadcast(set(lexicon))
 
     def rest(batches):
-        channel, cache = Channel(shared.value), {}
+        channel, cache = Channel(shared.value, restore), {}
         for batch in batches:
             for part in slices(batch, text_col):
-                labels = [label for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not (_features(channel, text, cache) & known.value)]
+                labels = [label for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not _features(channel, text, cache, known.value)]
                 yield pa.RecordBatch.from_arrays([pa.array([sum(x == 1 for x in labels)], type=pa.int64()), pa.array([len(labels)], type=pa.int64())], names=["pos", "n"])
 
     left = train.select(text_col, label_col).mapInArrow(rest, "pos bigint, n bigint").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).first()
@@ -310,6 +347,8 @@ def toxicity_scores(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labelled: int = 20_000,
+    lexicon_size: int = 5_000,
+    restore: bool = True,
 ) -> DataFrame:
     """``id, held_out, score, predicted`` of every row.
 
@@ -317,7 +356,9 @@ def toxicity_scores(
     from at most ``max_labelled`` of them, those of the smallest hash.  A document's score is
     1 less the product, over its words in the lexicon, of 1 less their probability; without
     any such word it is the rate of label 1 among such training texts, under one half.  Equal
-    texts of equal label are learned from once.  Null
+    texts of equal label are learned from once.  The lexicon is taken from the ``lexicon_size`` most
+    frequent words that training texts of label 1 have nearly to themselves.  Without ``restore``
+    words count as they are written, which is for comparison.  Null
     and empty texts have no words.  Rows with null or conflicting labels are left out of the
     training; ids are passed on, null or repeated, other columns are left out.
     """
@@ -327,7 +368,8 @@ def toxicity_scores(
     usable = usable.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__most")).filter("__label = __most").select("__id", "__label")
     sample = usable.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     train = stored(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("text", F.col("__label").alias("label")).dropDuplicates(), "labelled")
-    lexicon, base = fit_lexicon(train, counts, "text", "label")
+    lexicon, base = fit_lexicon(train, counts, "text", "label", size=lexicon_size, restore=restore)
+    discard(train)
     shared = spark.sparkContext.broadcast((counts, lexicon, base))
 
     id_type = df.schema[id_col].dataType.simpleString()
@@ -335,13 +377,14 @@ def toxicity_scores(
 
     def run(batches):
         counts, lexicon, base = shared.value
-        channel, cache = Channel(counts), {}
+        channel, cache = Channel(counts, restore), {}
 
         def score(text):
-            hits = _features(channel, text, cache) & lexicon.keys()
+            hits = _features(channel, text, cache, lexicon)
             if not hits:
                 return base
-            return 1 - math.prod(1 - lexicon[w] for w in sorted(hits))
+            told = {_single(w) for w in hits if w[0] != "~"}  # a word and its mark are one finding
+            return 1 - math.prod(1 - lexicon[w] for w in sorted(hits - told))
 
         for batch in batches:
             for part in slices(batch, text_col):
