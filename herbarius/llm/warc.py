@@ -113,10 +113,10 @@ def member_at(data: _Bytes, at: int) -> tuple[bytes, int] | None:
             out.append(unpacker.decompress(chunk))
         except zlib.error:
             return None
-        if len(out) == 1 and len(out[0]) >= 7 and not out[0].startswith(b"WARC/1."):
+        if len(out) == 1 and len(out[0]) >= 5 and not out[0].startswith(b"WARC/"):
             return None
     content, end = b"".join(out), pos - len(unpacker.unused_data)
-    if not content.startswith(b"WARC/1.") or b"\r\n\r\n" not in content:
+    if not content.startswith(b"WARC/") or b"\r\n\r\n" not in content:
         return None
     return (content, end) if end == data.size or data.get(end, 3) == MAGIC else None
 
@@ -139,31 +139,76 @@ def members(data: _Bytes, start: int, stop: int) -> Iterator[bytes]:
         yield content
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch("[0-9]{1,18}", text) else None
+
+
 def parse(content: bytes) -> dict:
-    """Headers and payload of a record."""
+    """Headers and payload of a record, and what follows it.
+
+    The payload of an HTTP message is its body, as it was sent, and that of any other record its
+    block.  Without a length that can be read the block goes on to the blank line at the end.
+    """
     head, _, rest = content.partition(b"\r\n\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(headers["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
-    return {"headers": headers, "http": fields, "payload": payload}
+    headers = _fields(head.decode("utf-8", "replace").split("\r\n")[1:])
+    n = _number(headers.get("content-length"))
+    block = rest.removesuffix(b"\r\n\r\n") if n is None else rest[:n]
+    http, payload = {}, block
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(top.decode("latin-1").split("\r\n")[1:])
+    return {"headers": headers, "http": http, "payload": payload, "rest": b"" if n is None else rest[n:].lstrip(b"\r\n")}
+
+
+def records(content: bytes) -> Iterator[dict]:
+    """The records of a member, which mostly is one."""
+    while content.startswith(b"WARC/"):
+        r = parse(content)
+        yield r
+        content = r["rest"]
 
 
 def _page(uri: str | None) -> int | None:
-    digits = (uri or "").strip("<>").removeprefix(RECORD)
-    return int(digits) if digits else None
+    """The page behind a record id of :func:`write_warc`; null for others."""
+    name = (uri or "").strip("<>")
+    digits = name.removeprefix(RECORD)
+    return int(digits) if name != digits and re.fullmatch("-?[0-9]{1,19}", digits) else None
+
+
+def _row(r: dict) -> dict:
+    h, kind = r["headers"], r["headers"].get("warc-type")
+    whole = None if kind == "revisit" else r["payload"]
+    digest = h.get("warc-payload-digest", "").partition(":")
+    return {
+        "record_id": h.get("warc-record-id", "").strip("<>") or None,
+        "page_id": _page(h.get("warc-record-id")),
+        "url": h.get("warc-target-uri", "").strip("<>") or None,
+        "record_type": kind,
+        "payload": whole,
+        "payload_bytes": _number(r["http"].get("content-length")) if whole is None else len(whole),
+        "payload_digest": ((digest[2] if digest[0].lower() == "sha1" else None) or None) if whole is None else base32_sha1(whole),
+        "refers_to": _page(h.get("warc-refers-to")),
+        "refers_to_record": h.get("warc-refers-to", "").strip("<>") or None,
+    }
 
 
 def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> DataFrame:
-    """``page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to`` of each
-    record under ``path``.
-
-    ``payload`` is null for revisits, whose length and digest come from their headers; those
-    of responses are computed from what was read.
+    """``record_id, page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to,
+    refers_to_record`` of each record of any type under ``path``.
+
+    ``payload`` is null for revisits, whose length and digest come from their headers (null
+    if these lack them); those of others are computed from what was read.  ``page_id`` and
+    ``refers_to`` are null unless :func:`write_warc` made the record.  Headers that are missing
+    give nulls; bytes that don't decode to a record are passed over.  A member is held in
+    memory, so an archive packed as one member can't be split.
     """
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+    arrow = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("refers_to_record", pa.string())])
 
     def scan(batches):
         for batch in batches:
@@ -171,12 +216,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> Da
                 with _opened(x["path"]) as file:
                     rows, held = [], 0
                     for content in members(data := _Bytes(file), x["start"], min(x["start"] + split_bytes, data.size)):
-                        r = parse(content)
-                        h, whole = r["headers"], r["headers"].get("warc-type") == "response"
-                        rows.append({
-                            "page_id": _page(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "payload": r["payload"] if whole else None,
-                            "payload_bytes": len(r["payload"]) if whole else int(r["http"]["content-length"]), "payload_digest": base32_sha1(r["payload"]) if whole else h["warc-payload-digest"].removeprefix("sha1:"), "refers_to": _page(h.get("warc-refers-to")),
-                        })
+                        rows += map(_row, records(content))
                         held += len(content)
                         if held > 4 * CHUNK:
                             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -185,7 +225,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> Da
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     n = max(1, min(10_000, ranges.count()))
-    return ranges.repartition(n).mapInArrow(scan, "page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint")
+    return ranges.repartition(n).mapInArrow(scan, "record_id string, page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint, refers_to_record string")
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
