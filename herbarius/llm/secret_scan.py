@@ -3,7 +3,8 @@
 Patterns give base spans.  Beyond those, base64 and hex candidates are decoded and reported
 only where what they hold parses as a key or a signed token:
 
-* ``pem``: a BEGIN/END block whose body decodes to a DER key or an OpenSSH key;
+* ``pem``: a BEGIN/END block whose body decodes to a DER key or an OpenSSH key, or whose
+  headers name a cipher and whose body decodes to whole blocks of it;
 * ``jwt``: three base64url parts, the first two JSON objects, the header naming ``alg``;
 * ``der``: base64 or hex of a DER sequence whose nested lengths fill it and which has the
   shape of a private key (PKCS#1, PKCS#8 or SEC 1);
@@ -153,6 +154,19 @@ def unhex(s: str) -> bytes | None:
     return bytes.fromhex(s) if len(s) % 2 == 0 else None
 
 
+def is_pem_key(body: str) -> bool:
+    """What stands between BEGIN and END: headers, if any, and base64 of a key or, as headers say, of its cipher text."""
+    body = re.sub(r"\\+[rn]", "\n", body)
+    data = decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$|\s", "", body))
+    if key_kind(data):
+        return True
+    cipher = re.search(r"(?m)^[ \t]*DEK-Info:[ \t]*([A-Za-z0-9-]+),[ \t]*([0-9A-Fa-f]+)[ \t]*$", body)
+    if not data or not cipher or not re.search(r"(?m)^[ \t]*Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t]*$", body):
+        return False
+    block = 8 if cipher[1].upper().startswith("DES-") else 16
+    return len(cipher[2]) == 2 * block and len(data) >= 32 and len(data) % block == 0
+
+
 def der_size(data: bytes | None) -> int:
     """Bytes of the DER sequence that ``data`` begins; 0 if it doesn't begin one."""
     if not data or len(data) < 6 or data[0] != 0x30:
@@ -197,7 +211,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     out += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        out += [(*m.span(), "pem") for m in PEM.finditer(text) if key_kind(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$|\s", "", re.sub(r"\\+[rn]", "\n", m[2]))))]
+        out += [(*m.span(), "pem") for m in PEM.finditer(text) if is_pem_key(m[2])]
     if "." in text:
         out += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     taken = [(a, b) for a, b, kind in out if kind in ("pem", "jwt")]
