@@ -4,11 +4,13 @@ Passages of all documents are TF-IDF vectors over the words of the benchmark.  A
 singular value decomposition of all these passages, from one pass over them, gives a latent
 space; document windows close to a benchmark passage in it are candidates.  A candidate is
 confirmed by the longest common subsequence of words: most of the passage makes a copy, at
-least half of it together with its answer makes a paraphrase.
+least half of it together with its answer makes a paraphrase.  An item without an answer is
+asked for most of its rarest words, out of those that documents hold at all.
 
 Document frequencies, the decomposition and the search cover all documents and whole texts.
 Every task holds the benchmark's words and vectors, so the benchmark is taken in blocks of a
-fixed number of items, each with a pass of its own.
+bounded number of items and words, each with a pass over all documents of its own: some tens
+of blocks are sound, larger benchmarks want a larger block.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BLOCK = 8
 SCALES = (16, 32, 64)
 #: Size of a passage's windows against its own, as paraphrases may be longer.
 ROOM = 1.3
+#: Rarest words that stand for the answer of a passage that has none.
+RARE = 5
 #: ASCII punctuation separates words, as white space does.
 _SPACED = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 
@@ -44,6 +48,7 @@ class Passage:
     item: object
     ids: np.ndarray
     answer: frozenset
+    need: int  # words of the answer that a paraphrase has to hold
     scale: int
     masks: dict
 
@@ -171,9 +176,9 @@ def fit_space(df: DataFrame, items: list, text_col: str, rank: int, common: floa
     terms = (vectors * idf[:, None]).astype(np.float32)
     passages = []
     for item, ids, answer in parts:
-        rare = sorted(set(ids.tolist()), key=lambda i: (frequency[i], i))[:3]
+        rare = sorted((i for i in set(ids.tolist()) if frequency[i]), key=lambda i: (frequency[i], i))[:RARE]
         known = frozenset(number.get(w, -2) for w in answer) if answer else frozenset(rare)
-        passages.append(Passage(item, ids, known, next((s for s in SCALES if ROOM * len(ids) <= s), SCALES[-1]), _masks(ids)))
+        passages.append(Passage(item, ids, known, len(known) if answer else len(rare) // 2 + 1, next((s for s in SCALES if ROOM * len(ids) <= s), SCALES[-1]), _masks(ids)))
     where = np.array([terms[p.ids].sum(axis=0) for p in passages]).reshape(len(passages), -1)
     lengths = np.maximum(np.linalg.norm(where, axis=1), 1e-9)
     return Space(number, passages, np.append(useful, False), terms, (where / lengths[:, None]).astype(np.float32), lengths.astype(np.float32))
@@ -204,7 +209,7 @@ def confirm(p: Passage, region: list[int], copy: float, half: float) -> tuple[in
     n = common_subsequence(p.masks, len(p.ids), inside)
     if n >= copy * len(p.ids):
         return n, "copy"
-    if n >= half * len(p.ids) and p.answer <= set(region):
+    if n >= half * len(p.ids) and len(p.answer & set(region)) >= min(p.need, len(p.answer)):
         return n, "paraphrase"
     return None
 
@@ -260,10 +265,11 @@ def search(space: Space, texts: list, cosine: float, held: float, copy: float, h
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, answer_col: str | None, size: int):
-    """Lists of about ``size`` items, dealt by hash, without null ids or texts."""
+    """Lists of about ``size`` items or of 64 times as many words, dealt by hash, without null ids or texts."""
     chosen = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
     chosen = chosen.filter("id is not null and text is not null").distinct()
-    blocks = max(1, -(-chosen.count() // size))
+    n, words = chosen.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
+    blocks = max(1, -(-n // size), -(-(words or 0) // (size * SCALES[-1])))
     for b in range(blocks):
         rows = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         yield [tuple(r) for r in rows.orderBy("id", "text").collect()]
@@ -290,7 +296,7 @@ def leaks(
     item that it holds, with the item's best confirmed passage.
 
     Items longer than 64 words are cut into passages; one of them is enough.  Without an
-    ``answer_col`` an item's answer is its three rarest words.  Null and empty texts hold
+    ``answer_col`` a paraphrase has to hold most of the passage's five rarest words.  Null and empty texts hold
     nothing, items without id, text or words are in nothing; repeated documents give
     repeated rows, null ids are passed on.
     """
