@@ -119,6 +119,12 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_extra_columns_and_a_long_page(spark):
+    pages = spark.createDataFrame([(1, "u", LONG * 8, 9, "x", "y"), (2, "v", LONG * 8, 9, "x", "y"), (3, "w", "\x00\x1f\x8b\x08" * 1000, None, None, None)], "page_id long, url string, html string, payload_bytes int, sha string, first string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [(1, len(LONG) * 8, "response", None), (2, len(LONG) * 8, "revisit", 1), (3, 5000, "response", None)]
+
+
 def test_hamming(spark):
     vectors = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, None]), (2, [1.0, None]), (3, None), (None, [1.0, 1.0]), (4, [])], "vec_id long, embedding array<float>")
     codes = hamming_topk.binary_codes(vectors)

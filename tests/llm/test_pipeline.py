@@ -53,3 +53,15 @@ def test_secrets_go_and_documents_stay(steps):
 def test_run(spark, steps):
     got = {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect()}
     assert got == {(r.doc_id, tuple(r.ids)) for r in steps[5].collect()}
+
+
+def test_run_over_nulls_empty_tables_and_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, leaks boolean, keys int"
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "web", len(t or ""), "x", 0.5, True, 1) for i, t in enumerate([None, "", "  ", "one two three four five six", "one two three four five six", "token=abcdefgh12 and more words here"])]
+    for name, some in (("full", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (None, 0, 1)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")][: len(some)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = {r.doc_id for r in corpus_pipeline.run(spark, at).collect()}
+        assert got == ({0, 1, 2, 3, 5} if some else set())
