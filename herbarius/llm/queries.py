@@ -14,6 +14,7 @@ from .pii import personal_data
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .sentencepiece_dropout import decode_ids, encode
+from .token_align import align_tokens
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 from .warc import round_trip
@@ -63,6 +64,10 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_topk(codes, codes.filter(F.col("id") % 100 == 0), k=10)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_quality_cotraining": op8_quality_cotraining,
     "op9_toxicity": op9_toxicity,
     "op10_hamming_topk": op10_hamming_topk,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
