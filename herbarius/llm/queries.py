@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import leaks
 from .hamming_topk import binary_codes, hamming_topk
+from .lexical_topk import lexical_topk
 from .ngram_jaccard import jaccard_components
 from .pii import personal_data
 from .quality import quality_scores
@@ -64,6 +65,10 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_topk(codes, codes.filter(F.col("id") % 100 == 0), k=10)
 
 
+def op11_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_quality_cotraining": op8_quality_cotraining,
     "op9_toxicity": op9_toxicity,
     "op10_hamming_topk": op10_hamming_topk,
+    "op11_lexical_topk": op11_lexical_topk,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -109,4 +115,29 @@ ORACLE_SQL = {
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)
         WHERE rank <= 10
     """,
+    "op11_lexical_topk": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+          FROM documents WHERE text IS NOT NULL),
+        flat AS (SELECT r, doc_id, unnest(ts) AS t FROM docs),
+        held AS (SELECT r, doc_id, t, count(*) AS tf FROM flat GROUP BY r, doc_id, t),
+        lengths AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY r),
+        totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+        weights AS (
+          SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM held, totals GROUP BY t, n_docs),
+        asked AS (
+          SELECT q, item_id, unnest(ts) AS t FROM (
+            SELECT row_number() OVER () AS q, item_id,
+              regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+            FROM benchmark WHERE text IS NOT NULL)),
+        scores AS (
+          SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+          FROM asked JOIN weights USING (t) JOIN held USING (t) JOIN lengths USING (r), totals
+          GROUP BY q, item_id, doc_id, r)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 20
+    """,
 }
