@@ -15,6 +15,7 @@ from .pii import personal_data
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .sentencepiece_dropout import decode_ids, encode
+from .suffix_dedup import remove_repeats
 from .token_align import align_tokens
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
@@ -69,6 +70,10 @@ def op11_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_hamming_topk": op10_hamming_topk,
     "op11_lexical_topk": op11_lexical_topk,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
 
