@@ -419,8 +419,10 @@ def spatial_logistic_score(s, d):
 
 @query(f"{_PAIRS} SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM p WHERE {_METRES}) THEN 1 ELSE 0 END AS expert_match FROM orders")
 def spatial_label(s, d):
-    near = _near_pairs(s, d).filter(G.distance(G.mercator_x("cx"), G.mercator_y("cy"), G.mercator_x("ex"), G.mercator_y("ey")) <= METRES)
-    return R.with_existence(t(s, d, "orders").select("o_orderkey"), "o_orderkey", near, "o_orderkey", "expert_match")
+    plane = lambda k, x, y: (G.mercator_x(lon(k)).alias(x), G.mercator_y(lat(k)).alias(y))
+    orders = t(s, d, "orders").select("o_orderkey", *plane("o_orderkey", "cx", "cy"))
+    customers = t(s, d, "customer").select(*plane("c_custkey", "ex", "ey"))
+    return S.exists_within(orders, customers, METRES, [], ("cx", "cy"), ("ex", "ey"), "expert_match").select("o_orderkey", "expert_match")
 
 
 #: A square with a hole and a triangle (fixed values).
@@ -436,6 +438,31 @@ def point_in_polygon(s, d):
     return S.with_range(points, shape, "taxon", "x", "y").select("o_orderkey", "in_range")
 
 
+#: A ring for each market segment: its customers in order of key around a centre, at distances by their keys.
+_RING = """SELECT c_mktsegment AS taxon, -72 + (0.3 + (c_custkey * 7919 % 1000) / 800.0) * cos(2 * pi() * (i - 1) / n) AS x, 46 + (0.2 + (c_custkey * 7919 % 1000) / 1200.0) * sin(2 * pi() * (i - 1) / n) AS y, i, n
+FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)"""
+
+
+def _segment_ranges(s, d):
+    """``taxon, edges``: a polygon with as many edges as the segment has customers."""
+    t(s, d, "customer").createOrReplaceTempView("__customer")
+    ring = s.sql(_RING.replace("FROM customer", "FROM __customer"))
+    points = ring.groupBy("taxon").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    turned = F.concat(F.slice("p", F.lit(2), F.size("p") - 1), F.slice("p", 1, 1))
+    edge = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    return points.select("taxon", F.zip_with("p", turned, edge).alias("edges"))
+
+
+@query(f"""WITH r AS ({_RING}), e AS (SELECT taxon, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM r WINDOW w AS (PARTITION BY taxon ORDER BY i)),
+o AS (SELECT o_orderkey, c_mktsegment AS taxon, {LON.format(k='o_orderkey')} AS x, {LAT.format(k='o_orderkey')} AS y FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT o_orderkey, CAST(count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 AS INTEGER) AS in_range FROM o JOIN e USING (taxon) GROUP BY 1""")
+def range_tiles(s, d):
+    """Orders in the range of their customer's segment."""
+    taxon = t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("taxon"))
+    points = t(s, d, "orders").select("o_orderkey", "o_custkey", lon("o_orderkey").alias("x"), lat("o_orderkey").alias("y")).join(taxon, "o_custkey")
+    return S.with_range(points, _segment_ranges(s, d), "taxon", "x", "y").select("o_orderkey", "in_range")
+
+
 @query(f"SELECT o_custkey, min({LON.format(k='o_orderkey')}) AS minx, min({LAT.format(k='o_orderkey')}) AS miny, max({LON.format(k='o_orderkey')}) AS maxx, max({LAT.format(k='o_orderkey')}) AS maxy FROM orders GROUP BY 1")
 def bbox(s, d):
     return S.bounding_boxes(t(s, d, "orders").select("o_custkey", lon("o_orderkey").alias("x"), lat("o_orderkey").alias("y")), "o_custkey", "x", "y")
