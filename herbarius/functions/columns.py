@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,11 @@ def json_entries(x: str | Column) -> Column:
 def first_or_scalar(x: Column) -> Column:
     """The first element of a JSON array's text, else the text itself."""
     return F.when(x.startswith("["), F.get_json_object(x, "$[0]")).otherwise(x)
+
+
+def json_members(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a row for each member of a JSON object or item of an array: ``pos, key, value`` (a variant, so that
+    types are kept and nested values can be reached), ``kind``, the value's type; none for null and bad text."""
+    parsed = df.withColumn("__v", F.try_parse_json(F.col(column)))
+    members = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    return members.drop("__v").withColumn("kind", F.schema_of_variant("value"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.zorder import Area
+
 
 def in_values(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key is in the other table (SQL IN)."""
@@ -54,12 +56,15 @@ def column_list(**tables: DataFrame) -> DataFrame:
 
 def predicate(fields: dict, joined: str = "and") -> Column:
     """A condition from a description: a list means one of, a (op, value) pair a comparison
-    (``>``, ``>=``, ``<``, ``<=``, ``!=``), anything else equality; joined by and / or."""
+    (``>``, ``>=``, ``<``, ``<=``, ``!=``), an :class:`Area` a place within it, anything else equality;
+    joined by and / or."""
     compare = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__, "!=": Column.__ne__}
 
     def one(name, value):
         if isinstance(value, list):
             return F.col(name).isin(value)
+        if isinstance(value, Area):
+            return value.condition()
         if isinstance(value, tuple):
             return compare[value[0]](F.col(name), value[1])
         return F.col(name) == value
@@ -68,6 +73,19 @@ def predicate(fields: dict, joined: str = "and") -> Column:
     return reduce((lambda a, b: a & b) if joined == "and" else (lambda a, b: a | b), parts)
 
 
+def occurrence_predicate(settings: dict, x: str = "decimalLongitude", y: str = "decimalLatitude", key: str | None = None) -> Column:
+    """A condition from settings by field in capitals: GEOMETRY is an area's text, YEAR the last one before, LIMIT no condition,
+    a list one of; records have coordinates and are present."""
+    fields = {"hasCoordinate": True, "occurrenceStatus": "PRESENT"}
+    for name, value in settings.items():
+        if name == "GEOMETRY":
+            fields[name] = Area(value, x, y, key)
+        elif name != "LIMIT":
+            first, *rest = name.lower().split("_")
+            fields[first + "".join(w.capitalize() for w in rest)] = (">", value) if name == "YEAR" else value
+    return predicate(fields)
+
+
 def top_or_other(df: DataFrame, column: str, k: int, other: str = "Other", name: str = "category") -> DataFrame:
     """``df`` with the column's value if it is one of its k most frequent (ties by value), else ``other``."""
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))

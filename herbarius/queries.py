@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import geo as G
+from .functions.zorder import Area
 from .operators import aggregates as A
 from .operators import models as M
 from .operators import prep as P
@@ -18,6 +19,11 @@ from .operators import relational as R
 from .operators import spatial as S
 from .plans import clean
 from .plans.score import DEGREES, METRES
+from .sources.keyed import KeyedTable
+from .sources.landed import fresh_folder
+from .sources.places import save_places
+from .sources.sniffed import sniffed_csv
+from .streaming.landing import keep_once, kept, landing_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -463,6 +469,21 @@ def range_tiles(s, d):
     return S.with_range(points, _segment_ranges(s, d), "taxon", "x", "y").select("o_orderkey", "in_range")
 
 
+#: An area with a hole, far from square (fixed values).
+_AREA = "POLYGON ((-73.6 45.2, -71.4 45.3, -70.9 46.4, -72.2 46.0, -73.1 46.8, -73.6 45.2), (-72.9 45.5, -72.3 45.5, -72.5 45.9, -72.9 45.5))"
+_AREA_EDGES = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({e} AS DOUBLE))" for a, b, c, e in G.edges_of(G.wkt_rings(_AREA)))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_totalprice, {LON.format(k='o_orderkey')} AS x, {LAT.format(k='o_orderkey')} AS y FROM orders WHERE o_totalprice > 100000), f(x1, y1, x2, y2) AS (VALUES {_AREA_EDGES})
+SELECT o_orderkey, o_totalprice FROM o CROSS JOIN f GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1""")
+def area_predicate(s, d):
+    """Orders of an area above a price, from a table by Z-order key."""
+    path = fresh_folder(s, "places")
+    save_places(t(s, d, "orders").select("o_orderkey", "o_totalprice", lon("o_orderkey").alias("x"), lat("o_orderkey").alias("y")), path, "x", "y")
+    found = s.read.parquet(path).filter(R.predicate({"o_totalprice": (">", 100_000), "place": Area(_AREA, "x", "y", "z")}))
+    return found.select("o_orderkey", "o_totalprice")
+
+
 @query(f"SELECT o_custkey, min({LON.format(k='o_orderkey')}) AS minx, min({LAT.format(k='o_orderkey')}) AS miny, max({LON.format(k='o_orderkey')}) AS maxx, max({LAT.format(k='o_orderkey')}) AS maxy FROM orders GROUP BY 1")
 def bbox(s, d):
     return S.bounding_boxes(t(s, d, "orders").select("o_custkey", lon("o_orderkey").alias("x"), lat("o_orderkey").alias("y")), "o_custkey", "x", "y")
@@ -474,6 +495,47 @@ def haversine_distance(s, d):
     return t(s, d, "orders").select("o_orderkey", C.round_half_away(G.haversine_km(lon("o_orderkey"), lat("o_orderkey"), F.lit(-73.6), F.lit(45.5)), 4).alias("km"))
 
 
+# Tables that are updated, landed and read again
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS orders, max(o_orderdate) AS latest, max(o_totalprice) AS top FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN top IS NULL THEN c_acctbal ELSE top END AS c_acctbal, CAST(orders AS BIGINT) AS orders, CAST(latest AS DATE) AS latest FROM customer LEFT JOIN a ON k = c_custkey WHERE coalesce(orders, 0) <> 7""")
+def keyed_upsert(s, d):
+    """Customers, updated by what their orders say; those of seven orders go."""
+    table = KeyedTable(s, fresh_folder(s, "customers"), ["c_custkey"], 16)
+    table.upsert(t(s, d, "customer").select("c_custkey", "c_acctbal"))
+    sums = t(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("orders"), F.max("o_orderdate").cast("date").alias("latest"))
+    known = sums.join(t(s, d, "customer").select("c_custkey"), "c_custkey", "left_semi").withColumn("gone", F.col("orders") == 7)
+    for _ in range(2):  # the same again changes nothing
+        table.upsert(known, delete="gone")
+    return table.read()
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def events_once(s, d):
+    """Kinds of events of each user, taken in by a stream that is started twice."""
+    rows = t(s, d, "events").schema
+    stream = landing_stream(s, d, rows, ["user_id", "event_type"], "ts", format="parquet", pathGlobFilter="events.parquet").select("user_id", "event_type", "ts")
+    target, checkpoint = fresh_folder(s, "events"), fresh_folder(s, "progress")
+    for _ in range(2):
+        keep_once(stream, target, checkpoint, ["user_id", "event_type"])
+    return kept(s, target, stream.schema).select("user_id", "event_type")
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+def detected_csv(s, d):
+    """Orders as delimited text and back, with types found out."""
+    path = fresh_folder(s, "orders")
+    t(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate")).write.option("sep", ";").option("header", True).csv(path)
+    return sniffed_csv(s, path).filter("malformed is null").drop("malformed")
+
+
+@query("SELECT event_id, key, CAST(value AS BIGINT) AS value FROM events, json_each(props) WHERE type IN ('BIGINT', 'UBIGINT')")
+def json_members(s, d):
+    found = C.json_members(t(s, d, "events").select("event_id", "props"), "props")
+    return found.filter("kind = 'BIGINT'").select("event_id", "key", F.try_variant_get("value", "$", "bigint").alias("value"))
+
+
 # Scores and preparation
 
 
