@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import days_between, ratio, round_half_away, to_date
+from ..sources.landed import checkpointed
 
 
 def entropy(df: DataFrame, by: str, value: str, name: str = "entropy", places: int = 4) -> DataFrame:
@@ -100,26 +101,37 @@ def log_z_scores(df: DataFrame, columns: list[str], suffix: str = "_log_z") -> D
     return df.join(F.broadcast(stats)).select(*df.columns, *(((x - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0))).alias(f"{c}{suffix}") for c, x in logs.items()))
 
 
-def running_counts(df: DataFrame, column: str, slices: int = 200) -> DataFrame:
+def in_slices(values: DataFrame, column: str) -> DataFrame:
+    """Different values of a column, nulls last, sorted over all partitions: ``__p`` numbers the slices in their order.
+
+    The slices are Spark's own range partitions, so there are as many as the session's shuffle partitions ask for.
+    They are written to the shared folder, as a second sort might cut them elsewhere.
+    """
+    return checkpointed(values.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("__p", F.spark_partition_id()))
+
+
+def before_slices(totals: DataFrame) -> DataFrame:
+    """Of a row ``__p, __t`` for each slice, what the slices before have as ``__s``, and all of them as ``__all``."""
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("__p", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__s"), F.sum("__t").over(Window.partitionBy()).alias("__all"))
+
+
+def running_counts(df: DataFrame, column: str) -> DataFrame:
     """``__v, __n, __before, __all``: each value of a column, its rows, rows of smaller values, all rows; nulls last.
 
-    Rows are counted by value; values are cut into slices at approximate quantiles, so that
-    running counts form within slices and only the slices' totals meet in one place.
+    Rows are counted by value; running counts form within slices of values (:func:`in_slices`), and
+    only the slices' totals meet in one place.
     """
-    counts = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    cuts = df.filter(F.col(column).isNotNull()).approxQuantile(column, [i / slices for i in range(1, slices)], 0.002)
-    part = F.when(F.col("__v").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col("__v")))) if cuts else F.when(F.col("__v").isNull(), 1).otherwise(0)
-    counts = counts.withColumn("__p", part)
+    counts = in_slices(df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")), "__v")
     before = Window.partitionBy("__p").orderBy(F.col("__v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     sliced = counts.withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    totals = counts.groupBy("__p").agg(F.sum("__n").alias("__t"))
-    starts = totals.withColumns({"__s": F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__t").over(Window.partitionBy())})
+    starts = before_slices(counts.groupBy("__p").agg(F.sum("__n").alias("__t")))
     return sliced.join(F.broadcast(starts), "__p").select("__v", "__n", (F.col("__s") + F.col("__b")).alias("__before"), "__all")
 
 
-def percent_rank(df: DataFrame, column: str, name: str, places: int = 3, slices: int = 200) -> DataFrame:
+def percent_rank(df: DataFrame, column: str, name: str, places: int = 3) -> DataFrame:
     """``df`` with the global percent rank of a column, nulls last (see :func:`running_counts`)."""
-    ranks = running_counts(df, column, slices).select("__v", F.coalesce(ratio("__before", F.col("__all") - 1), F.lit(0.0)).alias(name))
+    ranks = running_counts(df, column).select("__v", F.coalesce(ratio("__before", F.col("__all") - 1), F.lit(0.0)).alias(name))
     return df.join(ranks, F.col(column).eqNullSafe(F.col("__v"))).drop("__v").withColumn(name, round_half_away(name, places))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import joined_key, ratio
-from .aggregates import exact_quantiles
+from .aggregates import before_slices, exact_quantiles, in_slices
 
 
 def scaled(df: DataFrame, linear: list[str] = (), log: list[str] = ()) -> DataFrame:
@@ -68,16 +68,13 @@ def encoded_table(spark: SparkSession, name: str, record: str, **options) -> Dat
     return encoded(spark.table(f"{layer}.{name}"), record, **options)
 
 
-def dense_codes(values: DataFrame, column: str, name: str, slices: int = 200) -> DataFrame:
+def dense_codes(values: DataFrame, column: str, name: str) -> DataFrame:
     """``column, name``: the place, from 0, of each of some different values in their order.
 
-    Slices are cut at the values of smallest hash, an even sample that doesn't depend on how
-    rows are dealt; places count within slices, and only the slices' sizes meet in one place.
+    Places count within slices of the values, and only the slices' sizes meet in one place.
     """
-    cuts = [r[0] for r in values.orderBy(F.xxhash64(column), column).limit(slices - 1).collect()]
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(column))) if cuts else F.lit(0)
-    dealt = values.select(column, part.alias("__p"))
-    starts = dealt.groupBy("__p").agg(F.count("*").alias("__t")).select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    dealt = in_slices(values.select(column), column)
+    starts = before_slices(dealt.groupBy("__p").agg(F.count("*").alias("__t"))).drop("__all")
     place = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
     return dealt.withColumn("__i", place).join(F.broadcast(starts), "__p").select(column, (F.col("__s") + F.col("__i")).cast("int").alias(name))
 

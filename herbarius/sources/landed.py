@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_json
-from ..functions.geo import EDGE, clipped, edges_of, wkt_rings
+from ..functions.geo import EDGE, clipped_edges, edges_of, wkt_rings
 
 #: Layers of tables, from what was landed to what is scored.
 LAYERS = ("raw", "clean", "preprocessed", "features", "observers", "labeled", "score", "encoded", "transformed")
@@ -58,18 +58,18 @@ def field_list(fields: dict) -> str:
 def ranges(texts: DataFrame, key: str, wkt: str = "wkt", area: str | None = None) -> DataFrame:
     """Polygon texts as edges and bounding boxes: ``key, edges, minx, miny, maxx, maxy``.
 
-    With an ``area``, a convex polygon's text, rings are clipped to it and ranges outside are left
+    With an ``area``, a polygon's text of any shape, ranges are clipped to it and those outside are left
     out.  Saved as they are, the boxes let a later scan skip row groups outside a box (:func:`in_box`).
     """
-    border = wkt_rings(area)[0] if area else None
+    border = edges_of(wkt_rings(area)) if area else None
 
     def parse(batches):
         for pdf in batches:
-            rings = [wkt_rings(t) for t in pdf[wkt]]
+            edges = [edges_of(wkt_rings(t)) for t in pdf[wkt]]
             if border:
-                rings = [[c for c in (clipped(r, border) for r in some) if len(c) > 2] for some in rings]
-            pdf["edges"] = [[dict(zip(("x1", "y1", "x2", "y2"), e, strict=True)) for e in edges_of(some)] for some in rings]
-            yield pdf.loc[[bool(some) for some in rings], [key, "edges"]]
+                edges = [clipped_edges(e, border) for e in edges]
+            pdf["edges"] = [[dict(zip(("x1", "y1", "x2", "y2"), e, strict=True)) for e in some] for some in edges]
+            yield pdf.loc[[bool(some) for some in edges], [key, "edges"]]
 
     kind = texts.schema[key].dataType.simpleString()
     edges = texts.select(key, wkt).mapInPandas(parse, f"`{key}` {kind}, edges {EDGE}")
@@ -130,11 +130,19 @@ def loaded(spark: SparkSession, name: str, columns: list[str] | None = None, lim
     return df.orderBy(df.columns[0]).limit(limit) if limit else df
 
 
-def save(df: DataFrame, name: str, append: bool = False) -> None:
-    """Write a table ``layer.name``, replacing it or appending to it."""
+def save(df: DataFrame, name: str, append: bool = False, key: str | None = None, buckets: int = 64) -> None:
+    """Write a table ``layer.name``, replacing it or appending to it.
+
+    With a ``key`` its rows are dealt to ``buckets`` by the key and sorted; tables of one key and
+    number of buckets are joined and counted by it without another exchange.
+    """
     layer = name.partition(".")[0]
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
-    df.write.mode("append" if append else "overwrite").saveAsTable(name)
+    writer = df.write.mode("append" if append else "overwrite")
+    if key:
+        # A bucket's rows come from one task each, or there would be as many files as tasks in each bucket.
+        writer = df.repartition(buckets, key).write.mode("append" if append else "overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.saveAsTable(name)
 
 
 def observation(spark: SparkSession, path: str) -> DataFrame:
