@@ -5,7 +5,7 @@ singular value decomposition of all these passages, from one pass over them, giv
 space; document windows close to a benchmark passage in it are candidates.  A candidate is
 confirmed by the longest common subsequence of words: most of the passage makes a copy, at
 least half of it together with its answer makes a paraphrase.  An item without an answer is
-asked for most of its rarest words, out of those that documents hold at all.
+asked for half of its words by their weight, the inverse document frequency, out of those that documents hold at all.
 
 Document frequencies, the decomposition and the search cover all documents and whole texts.
 Every task holds the benchmark's words and vectors, so the benchmark is taken in blocks of a
@@ -31,8 +31,8 @@ BLOCK = 8
 SCALES = (16, 32, 64)
 #: Size of a passage's windows against its own, as paraphrases may be longer.
 ROOM = 1.3
-#: Rarest words that stand for the answer of a passage that has none.
-RARE = 5
+#: Share of the words' weight that stands for the answer of a passage that has none.
+WEIGHT = 0.5
 #: ASCII punctuation separates words, as white space does.
 _SPACED = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 
@@ -47,8 +47,8 @@ class Passage:
 
     item: object
     ids: np.ndarray
-    answer: frozenset
-    need: int  # words of the answer that a paraphrase has to hold
+    answer: frozenset  # words that a paraphrase has to hold, all of them
+    weights: dict  # without an answer, its different words by weight
     scale: int
     masks: dict
 
@@ -176,9 +176,9 @@ def fit_space(df: DataFrame, items: list, text_col: str, rank: int, common: floa
     terms = (vectors * idf[:, None]).astype(np.float32)
     passages = []
     for item, ids, answer in parts:
-        rare = sorted((i for i in set(ids.tolist()) if frequency[i]), key=lambda i: (frequency[i], i))[:RARE]
-        known = frozenset(number.get(w, -2) for w in answer) if answer else frozenset(rare)
-        passages.append(Passage(item, ids, known, len(known) if answer else len(rare) // 2 + 1, next((s for s in SCALES if ROOM * len(ids) <= s), SCALES[-1]), _masks(ids)))
+        known = frozenset(number.get(w, -2) for w in answer) if answer else frozenset()
+        weights = {} if answer else {i: float(np.log((1 + total) / (1 + frequency[i])) + 0.1) for i in set(ids.tolist()) if frequency[i]}
+        passages.append(Passage(item, ids, known, weights, next((s for s in SCALES if ROOM * len(ids) <= s), SCALES[-1]), _masks(ids)))
     where = np.array([terms[p.ids].sum(axis=0) for p in passages]).reshape(len(passages), -1)
     lengths = np.maximum(np.linalg.norm(where, axis=1), 1e-9)
     return Space(number, passages, np.append(useful, False), terms, (where / lengths[:, None]).astype(np.float32), lengths.astype(np.float32))
@@ -209,8 +209,9 @@ def confirm(p: Passage, region: list[int], copy: float, half: float) -> tuple[in
     n = common_subsequence(p.masks, len(p.ids), inside)
     if n >= copy * len(p.ids):
         return n, "copy"
-    if n >= half * len(p.ids) and len(p.answer & set(region)) >= min(p.need, len(p.answer)):
-        return n, "paraphrase"
+    if n >= half * len(p.ids) and p.answer <= (there := set(region)):
+        if sum(p.weights[i] for i in p.weights.keys() & there) >= WEIGHT * sum(p.weights.values()):
+            return n, "paraphrase"
     return None
 
 
@@ -296,7 +297,7 @@ def leaks(
     item that it holds, with the item's best confirmed passage.
 
     Items longer than 64 words are cut into passages; one of them is enough.  Without an
-    ``answer_col`` a paraphrase has to hold most of the passage's five rarest words.  Null and empty texts hold
+    ``answer_col`` a paraphrase has to hold half of the passage's words by weight.  Null and empty texts hold
     nothing, items without id, text or words are in nothing; repeated documents give
     repeated rows, null ids are passed on.
     """

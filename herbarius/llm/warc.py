@@ -1,9 +1,9 @@
 """WARC archives: a writer with revisit records, and a reader that splits compressed files.
 
 Each record is a gzip member of its own.  The reader cuts files into byte ranges; a task looks
-for gzip magic inside its range, takes a candidate for a member only if its beginning
-decodes to a WARC header and it ends where another member or the file's end follows, and owns
-the records that start inside its range, reading past the range's end to finish the last.
+for gzip magic inside its range, takes a candidate for a member only if it decodes, its checksum
+and length included, to records whose headers and lengths are sound, and owns the records that start inside its
+range, reading past the range's end to finish the last.  What stands between members, padding or damage, is passed over.
 """
 
 from __future__ import annotations
@@ -116,9 +116,25 @@ def member_at(data: _Bytes, at: int) -> tuple[bytes, int] | None:
         if len(out) == 1 and len(out[0]) >= 5 and not out[0].startswith(b"WARC/"):
             return None
     content, end = b"".join(out), pos - len(unpacker.unused_data)
-    if not content.startswith(b"WARC/") or b"\r\n\r\n" not in content:
-        return None
-    return (content, end) if end == data.size or data.get(end, 3) == MAGIC else None
+    return (content, end) if _sound(content) else None
+
+
+def _sound(content: bytes) -> bool:
+    """Whether a member is records from beginning to end: headers, and as many bytes as they say.
+
+    A record without a length that can be read is the last one.
+    """
+    while content.startswith(b"WARC/") and b"\r\n\r\n" in content:
+        head, _, rest = content.partition(b"\r\n\r\n")
+        n = _number(_fields(head.decode("utf-8", "replace").split("\r\n")[1:]).get("content-length"))
+        if n is None:
+            return True
+        if n > len(rest):
+            return False
+        content = rest[n:].lstrip(b"\r\n")
+        if not content:
+            return True
+    return False
 
 
 def members(data: _Bytes, start: int, stop: int) -> Iterator[bytes]:

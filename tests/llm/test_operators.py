@@ -339,6 +339,28 @@ def test_paraphrases_without_answers(spark, docs):
     assert all(brute_confirmed(held[d], items[i][1], 0.5, 2) for d, i in got)  # the tables have near copies
 
 
+@pytest.mark.parametrize("kind", ["fixed", "random", "swapped"])
+def test_recall_of_paraphrases(spark, docs, kind):
+    """Nine in ten at least: a third of the words replaced at fixed or random places, a quarter with two clauses swapped."""
+    r = random.Random(5)
+    texts_ = [x.text for x in docs.filter("length(text) between 400 and 4000").orderBy("doc_id").limit(500).collect()]
+    others, items, rows = [w for t in texts_[400:450] for w in t.split()], [], []
+    for i in range(100):
+        words = [w.decode() for w in decontaminate.words_of(texts_[i])][:30]
+        items.append((i, " ".join(words) + f" uniquely{i}"))
+        out = {j for j in range(30) if j % 3 == 1} if kind == "fixed" else set(r.sample(range(30), 10 if kind == "random" else 7))
+        changed = [r.choice(others) if j in out else w for j, w in enumerate(words)]
+        if kind == "swapped":
+            k = r.randint(4, 8)
+            changed = changed[:10] + changed[10 + k : 10 + 2 * k] + changed[10 : 10 + k] + changed[10 + 2 * k :]
+        rows.append((i, " ".join(texts_[150 + i].split()[:40] + changed + texts_[270 + i].split()[:40])))
+    rows += [(1000 + i, x) for i, x in enumerate(texts_[300:])]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    held = dict(rows)
+    assert len(got & {(i, i) for i in range(100)}) >= 90
+    assert all(brute_confirmed(held[d], items[i][1], 0.5, 2) for d, i in got if d != i)  # the tables have near copies
+
+
 def brute_confirmed(doc, item, copy=0.8, room=1):
     """Whether some window of a text holds most of an item in order, by dynamic programming over all windows."""
     a, b = decontaminate.words_of(item), decontaminate.words_of(doc)
@@ -431,6 +453,20 @@ def test_foreign_warc(spark, tmp_path):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_warc_records_beside_damage(spark, tmp_path):
+    good = [warc.record(str(i), f"http://e/{i}", f"<p>{i}</p>".encode() * 50, None, "2024-01-01T00:00:00Z") for i in range(4)]
+    bad = bytearray(good[1])
+    bad[len(bad) // 2] ^= 0xFF
+    lied = good[1][:-4] + b"\1\2\3\4"  # another length than it has
+    cases = {"zeros": good[0] + good[1] + bytes(16), "garbage": good[0] + good[1] + b"\x1f\x8b\x08 no member", "damaged": good[0] + bytes(bad) + good[2], "length": good[0] + lied + good[2], "cut": good[0] + good[3] + good[2][:-9], "between": good[0] + bytes(5) + good[1] + b"x" * 7 + good[2]}
+    want = {"zeros": [0, 1], "garbage": [0, 1], "damaged": [0, 2], "length": [0, 2], "cut": [0, 3], "between": [0, 1, 2]}
+    for name, data in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(data)
+        for size in (50, 1 << 20):
+            assert sorted(r.page_id for r in warc.read_warc(spark, str(tmp_path / name), size).collect()) == want[name]
+
+
 def base_personal(text):
     def luhn(d):
         s = 0
