@@ -5,10 +5,10 @@ shuffle every byte some dozen times over, so texts are first parsed into phrases
 that their content alone chooses (a hash of ``GRAM`` bytes), and suffixes that start at such cuts are sorted as
 strings of phrase names.  What a cut can't decide is decided by bytes, so results are exact.
 
-1. Parse.  A phrase runs from a cut over the next one's gram; its name is a hash.  A window (a string of ``length``
-   bytes) that has its first cut within ``GAP`` and the next within ``GAP`` of that holds the
-   *core* of its first cut, some whole phrases.  Where no other cut has this core, the window is unique.
-   Windows with longer gaps are ``bare`` and compared as they are.
+1. Parse.  A phrase runs from a cut over the next one's gram; its name is a hash.  Whether a place is a cut depends on
+   the bytes around it alone.  A window (a string of ``length`` bytes) that has its first cut, and the next from there, within
+   a gap holds the *core* of its first cut, some whole phrases.  Where no other cut has this core, the
+   window is unique.  Windows with longer gaps are ``bare`` and compared as they are.
 2. Sort the suffixes of the cuts whose core repeats, by difference cover: the triples at places 1 and 2
    modulo 3 are sorted and named, the strings of names sorted in turn, until names are long
    enough for a window; then the suffixes at places 0 modulo 3 are merged with them by (name, rank of the next).  The merge
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,21 +37,20 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, stored
 
-#: Bytes whose hash makes a cut, and one of how many places is one.
-GRAM, EVERY = 12, 32
-#: Suffixes of a string that is sorted, besides those that only follow.
-PIECE = 64
-_MIX = np.uint32(2654435761)
+#: A cut is where the hash of ``GRAM`` bytes is less than at all places up to ``WING`` on either side.
+GRAM, WING = 12, 16
+#: Names of a string that is sorted at most, and one of how many names begins one.
+PIECE, BREAK = 36, 16
 
 
 def gap_of(length: int) -> int:
     """Bytes within which a window's first cut has to come, and from there the second."""
-    return (length - GRAM) // 2
+    return (length - GRAM) // 2 - WING
 
 
 def cut_places(data: np.ndarray) -> np.ndarray:
-    """Places whose next ``GRAM`` bytes make a cut."""
-    if len(data) < GRAM:
+    """The cuts of a text, or of several behind each other, of which those within ``WING`` of either end are to be left out."""
+    if len(data) < GRAM + 2 * WING:
         return np.zeros(0, dtype=np.int64)
     h, p = data.astype(np.uint32), np.uint32(1000003)
     with np.errstate(over="ignore"):
@@ -58,57 +58,108 @@ def cut_places(data: np.ndarray) -> np.ndarray:
         four = h[:-2] + h[2:] * (p * p)
         eight = four[:-4] + four[4:] * (p**4)
         h = eight[: len(data) - GRAM + 1] + four[8:] * (p**8)
-        h = (h ^ (h >> np.uint32(15))) * _MIX
-    return np.flatnonzero((h >> np.uint32(7)) % np.uint32(EVERY) == 0)
-
-
-def _name(data: bytes, last: bool) -> int:
-    """From 1 to 2**63 - 1; of a text's last phrase another than of the same bytes elsewhere."""
-    return (xxhash.xxh3_64_intdigest(data, seed=int(last)) >> 1) or 1
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(2654435761)
+        h ^= h >> np.uint32(13)
+    least = h
+    for k in (1, 2, 4, 8):  # of WING places from each on
+        least = np.minimum(least[:-k], least[k:])
+    inner = h[WING : len(h) - WING]
+    return np.flatnonzero((inner < least[: len(inner)]) & (inner < least[WING + 1 : WING + 1 + len(inner)])) + WING
 
 
 def window_hash(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def parsed(text: bytes, length: int) -> dict:
-    """``cuts`` of a text, whether the first is one by ``real``, ``names`` of the phrases from each, ``cores``
-    (0 for none), and ``bare`` windows with their ``hashes``."""
-    n, gap = len(text), gap_of(length)
-    if n < length:
-        return {"cuts": [], "real": False, "names": [], "cores": [], "bare": [], "hashes": []}
-    found = cut_places(np.frombuffer(text, dtype=np.uint8))
-    real = len(found) > 0 and found[0] == 0
-    cuts = found if real else np.concatenate([[0], found])
-    ends = [*(cuts[1:] + GRAM).tolist(), n]
-    names = np.array([_name(text[a:b], False) for a, b in zip(cuts[:-1].tolist(), ends, strict=False)] + [_name(text[int(cuts[-1]) :], True)], dtype=np.int64)
-    # A core ends with the last gram within what every window of the cut holds.
-    held = length - gap
-    last = np.searchsorted(cuts, cuts + held - GRAM, side="right") - 1
-    raw = names.tobytes()
-    cores = [_name(raw[8 * i : 8 * j], False) if j > i and c + held <= n else 0 for i, (j, c) in enumerate(zip(last.tolist(), cuts.tolist(), strict=True))]
-    # Windows by their first cut.
-    p = np.arange(n - length + 1)
-    far = np.concatenate([found, [4 * n, 8 * n]])
-    first = np.searchsorted(found, p)
-    bare = np.flatnonzero((far[first] - p > gap) | (far[first + 1] - far[first] > gap))
-    return {"cuts": cuts, "real": real, "names": names, "cores": cores, "bare": bare, "hashes": [window_hash(text[i : i + length]) for i in bare.tolist()]}
-
-
-_PARSED = "fp binary, uid bigint, n int, real boolean, cuts array<int>, names array<bigint>, cores array<bigint>, bare array<int>, hashes array<binary>"
+def parsed(texts: list[bytes], length: int) -> dict[str, list]:
+    """For each text the places of its ``cuts``, 0 first, ``names`` of the phrases from each, ``cores`` (0 for
+    none), ``bare`` windows with their ``hashes``, and whether a text has one ``again``, which then is listed once; all such start in
+    the ranges from ``lo`` to ``hi``.  Nothing for texts shorter than a window."""
+    buffer = b"".join(texts)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(size) - size
+    found = cut_places(np.frombuffer(buffer, dtype=np.uint8))
+    owner = np.searchsorted(start, found, side="right") - 1
+    sound = (found - start[owner] >= WING) & (found + WING + GRAM <= (start + size)[owner]) & (size[owner] >= length)
+    found, owner = found[sound], owner[sound]
+    held = length - WING - gap_of(length)
+    out: dict[str, list] = {c: [] for c in LISTS}
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    name = xxhash.xxh3_64_intdigest
+    for k, (n, at) in enumerate(zip(size.tolist(), start.tolist(), strict=True)):
+        if n < length:
+            for c in out.values():
+                c.append([])
+            continue
+        real = found[ends[k] : ends[k + 1]] - at
+        cuts = np.concatenate([[0], real])
+        stops = (cuts + (at + GRAM)).tolist()
+        names = [name(buffer[a - GRAM : b]) >> 1 or 1 for a, b in zip(stops, stops[1:], strict=False)]
+        names.append(name(buffer[stops[-1] - GRAM : at + n], seed=1) >> 1 or 1)  # the last one is another than of the same bytes elsewhere
+        names = np.array(names, dtype=np.int64)
+        # A core ends with the last cut within what every window of the first holds, with all that makes it a cut.
+        last = np.searchsorted(cuts, cuts + (held - GRAM - WING), side="right") - 1
+        last[cuts + held > n] = 0
+        raw = names.tobytes()
+        out["cuts"].append(cuts)
+        out["names"].append(names)
+        out["cores"].append([name(raw[8 * i : 8 * j]) >> 1 or 1 if j > i else 0 for i, j in enumerate(last.tolist())])
+        # Where text repeats itself at short distances there are no cuts, but few different windows.
+        first: dict[bytes, int] = {}
+        twice: dict[bytes, None] = {}
+        starts = _bare(real, n, length)
+        own = [window_hash(buffer[at + i : at + i + length]) for i in starts]
+        for i, x in zip(starts, own, strict=True):
+            if first.setdefault(x, i) != i:
+                twice[x] = None
+        sure = np.array([i for i, x in zip(starts, own, strict=True) if x in twice], dtype=np.int64)
+        edge = np.flatnonzero(np.diff(sure) != 1)
+        out["bare"].append(list(first.values()))
+        out["hashes"].append(list(first))
+        out["again"].append([x in twice for x in first])
+        out["lo"].append(sure[np.append(0, edge + 1)] if len(sure) else sure)
+        out["hi"].append(sure[np.append(edge, len(sure) - 1)] if len(sure) else sure)
+    return out
+
+
+def _bare(real: np.ndarray, n: int, length: int) -> list[int]:
+    """Windows whose first cut, ``WING`` in at least, or the next from there, is too far."""
+    gap, last = gap_of(length), n - length
+    # Windows of a cut start after ``before``, and those up to ``upto`` are bare.
+    before, after = np.concatenate([[-1], real - WING]), np.concatenate([np.diff(real), [2 * n]])[: len(real)]
+    upto = np.concatenate([np.where(after > gap, real - WING, real - WING - gap - 1), [n]])
+    out: list[int] = []
+    for k in np.flatnonzero(np.minimum(upto, last) > before):
+        out.extend(range(int(before[k]) + 1, min(int(upto[k]), last) + 1))
+    return out
+
+
+LISTS = {"cuts": pa.int32(), "names": pa.int64(), "cores": pa.int64(), "bare": pa.int32(), "hashes": pa.binary(), "again": pa.bool_(), "lo": pa.int32(), "hi": pa.int32()}
+_PARSED = "fp binary, uid bigint, n int, cuts array<int>, names array<bigint>, cores array<bigint>, bare array<int>, hashes array<binary>, again array<boolean>, lo array<int>, hi array<int>"
+
+
+def _lists_of(values: list, kind: pa.DataType) -> pa.Array:
+    """A list column of arrays or lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    if pa.types.is_binary(kind):
+        return pa.ListArray.from_arrays(offsets, pa.array([x for v in values for x in v], type=kind))
+    flat = np.concatenate([np.asarray(v, dtype=kind.to_pandas_dtype()) for v in values]) if values else []
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, type=kind))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values and the lengths of its lists, null as none."""
+    return column.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _parse(length: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [parsed(t, length) for t in part.column("text").to_pylist()]
-                size = pa.array([len(t) for t in part.column("text").to_pylist()], type=pa.int32())
-                column = lambda c, kind: pa.array([list(x[c]) for x in got], type=pa.list_(kind))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("fp"), part.column("uid"), size, pa.array([bool(x["real"]) for x in got]), column("cuts", pa.int32()), column("names", pa.int64()), column("cores", pa.int64()), column("bare", pa.int32()), column("hashes", pa.binary())],
-                    names=["fp", "uid", "n", "real", "cuts", "names", "cores", "bare", "hashes"],
-                )
+                texts = part.column("text").to_pylist()
+                got = parsed(texts, length)
+                lists = [_lists_of(got[c], kind) for c, kind in LISTS.items()]
+                yield pa.RecordBatch.from_arrays([part.column("fp"), part.column("uid"), pa.array([len(t) for t in texts], type=pa.int32()), *lists], names=["fp", "uid", "n", *got])
 
     return run
 
@@ -126,7 +177,8 @@ def _numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, dtype=np.int32)), pa.array(np.arange(seen + 1, seen + 1 + batch.num_rows))], names=[*keys, "part", "seq"])
             seen += batch.num_rows
 
-    sorted_ = stored(rows.mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", part int, seq bigint"), name, batch_rows=20_000)
+    kinds = dict(df.dtypes)
+    sorted_ = stored(rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", part int, seq bigint"), name, batch_rows=20_000)
     return sorted_.join(F.broadcast(_before(sorted_.groupBy("part").agg(F.max("seq").alias("rows")), {"rows": F.sum})), "part").select(*keys, (F.col("seq") + F.col("before_rows")).alias("no"))
 
 
@@ -142,22 +194,53 @@ def _lists(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 STRING = ["s", "path"]
+#: Strings of at most so many names are sorted as they are.
+SHORT = 12
 
 
-def _triples(every: bool):
-    """Strings to the triples of names at all places or at those that aren't 0 modulo 3."""
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of all places of a batch's strings: the row, the place in its string, the names, and how many places are left."""
+    names, n = _flat(batch.column("names"))
+    row = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(names)) - np.repeat(np.cumsum(n) - n, n)
+    return row, i, names, np.repeat(n, n) - i
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                names = batch.column("names")[row].values.to_numpy()
-                padded = np.concatenate([names, np.zeros(2, dtype=np.int64)])
-                i = np.arange(len(names))
-                i = i if every else i[i % 3 != 0]
-                s, path = (np.full(len(i), batch.column(c)[row].as_py(), dtype=np.int64) for c in STRING)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(path), pa.array(i.astype(np.int32)), *(pa.array(padded[i + k]) for k in range(3))], names=[*STRING, "i", "a", "b", "c"])
 
-    return run
+def _ahead(values: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+    """The values ``k`` places on in the same string, 0 after its end."""
+    return np.where(left > k, np.concatenate([values, np.zeros(k, dtype=values.dtype)])[k:], 0)
+
+
+def _of_strings(batch: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
+    return [pa.array(batch.column(c).to_numpy()[row]) for c in STRING]
+
+
+def _triples(batches):
+    """Strings to the triples of names at the places that aren't 0 modulo 3."""
+    for batch in batches:
+        row, i, names, left = _places(batch)
+        some = i % 3 != 0
+        yield pa.RecordBatch.from_arrays([*_of_strings(batch, row[some]), pa.array(i[some].astype(np.int32)), *(pa.array(_ahead(names, left, k)[some]) for k in range(3))], names=[*STRING, "i", "a", "b", "c"])
+
+
+def _tails(batches):
+    """Strings to all their suffixes."""
+    for batch in batches:
+        row, i, names, left = _places(batch)
+        starts = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+        at = np.arange(starts[-1]) - np.repeat(starts[:-1], left) + np.repeat(np.arange(len(names)), left)
+        yield pa.RecordBatch.from_arrays([*_of_strings(batch, row), pa.array(i.astype(np.int32)), pa.ListArray.from_arrays(starts, pa.array(names[at]))], names=[*STRING, "i", "tail"])
+
+
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Lists ``s, path, i, rank`` of rows ``s, path, i`` by the order of their keys, stored."""
+    rows = stored(rows, "rows", batch_rows=2_000)
+    different = stored(rows.select(*keys).distinct(), "different")
+    names = stored(_numbered(different, keys, "sorted"), "names")
+    named = stored(_lists(rows.join(names, keys).select(*STRING, "i", F.col("no").alias("rank")), STRING, "rank"), "named")
+    for x in (rows, different, names):
+        discard(x)
+    return named
 
 
 def suffix_ranks(strings: DataFrame, enough: int) -> DataFrame:
@@ -166,15 +249,9 @@ def suffix_ranks(strings: DataFrame, enough: int) -> DataFrame:
     Names are over 0, and no string has more than ``enough`` of them.  Equal suffixes have one rank; a string
     that ends is before what goes on.
     """
-    base = enough <= 3
-    triples = stored(strings.mapInArrow(_triples(base), "s bigint, path bigint, i int, a bigint, b bigint, c bigint"), "triples", batch_rows=64)
-    different = stored(triples.select("a", "b", "c").distinct(), "different")
-    names = stored(_numbered(different, ["a", "b", "c"], "sorted"), "names")
-    named = stored(_lists(triples.join(names, ["a", "b", "c"]).select(*STRING, "i", F.col("no").alias("rank")), STRING, "rank"), "named")
-    for x in (triples, different, names):
-        discard(x)
-    if base:
-        return named
+    if enough <= SHORT:
+        return _named(strings.mapInArrow(_tails, "s bigint, path bigint, i int, tail array<bigint>"), ["tail"])
+    named = _named(strings.mapInArrow(_triples, "s bigint, path bigint, i int, a bigint, b bigint, c bigint"), ["a", "b", "c"])
     # Strings of names: of the places 1 modulo 3, and of those 2 modulo 3.
     of = lambda m: F.transform(F.filter(F.arrays_zip("i", "rank"), lambda x: x["i"] % 3 == m), lambda x: x["rank"])
     halves = named.select("s", F.explode(F.array(*(F.struct((F.col("path") * 3 + m).alias("path"), of(m).alias("names")) for m in (1, 2)))).alias("x"))
@@ -196,23 +273,21 @@ def _keys(batches):
     """Strings with the ranks of their samples to the merge's keys: of kind 1 (name, rank of the next place) for places 0
     and 1 modulo 3, of kind 2 (name, name, rank of the next but one) for places 0 and 2."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            names = batch.column("names")[row].values.to_numpy()
-            n = len(names)
-            rank = np.zeros(n + 2, dtype=np.int64)
-            if batch.column("at")[row].is_valid:
-                rank[batch.column("at")[row].values.to_numpy()] = batch.column("rank")[row].values.to_numpy()
-            padded = np.concatenate([names, [0, 0]])
-            out = []
-            for kind in (1, 2):
-                i = np.arange(n)
-                i = i[(i % 3 == 0) | (i % 3 == kind)]
-                own = np.where(i % 3 == 0, 0, rank[i])
-                two = padded[i + 1] if kind == 2 else np.zeros(len(i), dtype=np.int64)
-                out.append((i, np.full(len(i), kind), padded[i], two, rank[i + kind], own))
-            i, kind, k1, k2, k3, own = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-            s, path = (np.full(len(i), batch.column(c)[row].as_py(), dtype=np.int64) for c in STRING)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, path, i.astype(np.int32), kind, k1, k2, k3, own)], names=[*STRING, "i", *_KEYS, "own"])
+        row, i, names, left = _places(batch)
+        start = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]) if len(row) else row
+        first = np.zeros(batch.num_rows, dtype=np.int64)
+        first[row[start]] = start
+        at, n = _flat(batch.column("at"))
+        rank = np.zeros(len(names), dtype=np.int64)
+        rank[np.repeat(first, n) + at] = _flat(batch.column("rank"))[0]
+        out = []
+        for kind in (1, 2):
+            some = (i % 3 == 0) | (i % 3 == kind)
+            two = _ahead(names, left, 1) if kind == 2 else np.zeros(len(names), dtype=np.int64)
+            own = np.where(i % 3 == 0, 0, rank)
+            out.append([x[some] for x in (row, i.astype(np.int32), np.full(len(i), kind), names, two, _ahead(rank, left, kind), own)])
+        row, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([*_of_strings(batch, row), *map(pa.array, columns)], names=[*STRING, "i", *_KEYS, "own"])
 
 
 def _merged(strings: DataFrame, samples: DataFrame) -> DataFrame:
@@ -221,7 +296,7 @@ def _merged(strings: DataFrame, samples: DataFrame) -> DataFrame:
     A suffix at a place 0 modulo 3 comes after the samples before it, and among its like by its key.  Of the samples
     before it the last is of kind 1 or 2, so the larger rank of the two sorts tells it.
     """
-    rows = stored(strings.join(samples, STRING, "left").mapInArrow(_keys, "s bigint, path bigint, i int, kind bigint, k1 bigint, k2 bigint, k3 bigint, own bigint"), "keys", batch_rows=64)
+    rows = stored(strings.join(samples, STRING, "left").mapInArrow(_keys, "s bigint, path bigint, i int, kind bigint, k1 bigint, k2 bigint, k3 bigint, own bigint"), "keys", batch_rows=2_000)
     different = stored(rows.groupBy(*_KEYS).agg(F.max(F.when(F.col("own") == 0, 1).otherwise(0)).alias("zero"), F.max("own").alias("own")), "different")
     columns = [*_KEYS, "zero", "own"]
     sorted_ = different.select(*columns).repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS)
@@ -255,56 +330,85 @@ def _merged(strings: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def _pieces(length: int):
-    """Texts with the places of repeated cores to strings of names: ``PIECE`` suffixes each, and what follows of them.
+    """Texts with the places of repeated cores to strings of names, each of some suffixes and what follows of them.
 
-    ``need`` has the names that each suffix takes to reach over a window and a gap on.
+    ``need`` has the names that each suffix takes to reach over a window and a gap on, or over the next
+    core that is unique, as it shares no more.  A string begins with the first place of a run and where a name's content
+    says so, so copies have the same strings; with more than ``PIECE`` names it is split, if it has several suffixes.
     """
     reach = length + gap_of(length)
+    held = length - WING - gap_of(length)
 
     def run(batches):
         for batch in batches:
             out = {c: [] for c in ("fp", "first", "names", "need")}
-            for fp, n, cuts, names, places in zip(*(batch.column(c) for c in ("fp", "n", "cuts", "names", "i")), strict=True):
-                cuts, names, places = (x.values.to_numpy() for x in (cuts, names, places))
+            for fp, cuts, names, cores, places in zip(*(batch.column(c) for c in ("fp", "cuts", "names", "cores", "i")), strict=True):
+                fp, cuts, names, cores, places = fp.as_py(), *(x.values.to_numpy() for x in (cuts, names, cores, places))
                 places = np.sort(places)
                 # The first place from whose cut on enough is covered, or all.
                 upto = np.minimum(np.searchsorted(cuts, cuts[places] + reach), len(names))
-                runs = np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) != 1) + 1)
-                for at in (r[k : k + PIECE] for r in runs for k in range(0, len(r), PIECE)):
-                    a = int(places[at[0]])
-                    out["fp"].append(fp.as_py())
-                    out["first"].append(a)
-                    out["names"].append(names[a : int(upto[at].max())])
-                    out["need"].append((upto[at] - places[at]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(out["fp"], type=pa.binary()), pa.array(out["first"], type=pa.int32()), pa.array(out["names"], type=pa.list_(pa.int64())), pa.array(out["need"], type=pa.list_(pa.int32()))], names=list(out))
+                runs = np.flatnonzero(np.diff(places, prepend=-9) != 1)
+                after = places[np.append(runs[1:], len(places)) - 1] + 1
+                known = (after < len(names)) & (cores[np.minimum(after, len(names) - 1)] != 0)
+                ends = np.where(known, np.searchsorted(cuts, cuts[np.minimum(after, len(names) - 1)] + (held - GRAM - WING), side="right") - 1, len(names))
+                upto = np.minimum(upto, np.repeat(ends, np.diff(np.append(runs, len(places)))))
+                breaks = np.flatnonzero((np.diff(places, prepend=-9) != 1) | (names[places] % BREAK == 0)).tolist()
+                for a, b in zip(breaks, [*breaks[1:], len(places)], strict=True):
+                    while a < b:
+                        e = min(b, max(a + 1, int(np.searchsorted(upto[a:b], places[a] + PIECE, side="right")) + a))
+                        out["fp"].append(fp)
+                        out["first"].append(int(places[a]))
+                        out["names"].append(names[places[a] : upto[e - 1]])
+                        out["need"].append((upto[a:e] - places[a:e]).astype(np.int32))
+                        a = e
+            key = [xxhash.xxh3_128_digest(x.tobytes() + y.tobytes()) for x, y in zip(out["names"], out["need"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key, type=pa.binary()), pa.array(out["fp"], type=pa.binary()), pa.array(out["first"], type=pa.int32()), _lists_of(out["names"], pa.int64()), _lists_of(out["need"], pa.int32())], names=["key", *out])
 
     return run
 
 
 def _shared(pieces: DataFrame) -> DataFrame:
-    """``fp, i, t``: the most names that each suffix shares with any other, lists by place, stored."""
-    most = pieces.agg(F.max(F.size("names"))).first()[0] or 0
-    ranks = suffix_ranks(pieces.select("s", F.lit(0).cast("bigint").alias("path"), "names"), most)
+    """``fp, first, t``: the most names that each suffix of a text's pieces shares with any other, lists by piece, stored.
+
+    Equal pieces are sorted once.
+    """
+    strings = stored(pieces.groupBy("key").agg(F.first(F.struct("names", "need")).alias("x"), (F.count("*") > 1).alias("many")).select("key", "x.*", "many", F.monotonically_increasing_id().alias("s")), "strings")
+    most = strings.agg(F.max(F.size("names"))).first()[0] or 0
+    ranks = suffix_ranks(strings.select("s", F.lit(0).cast("bigint").alias("path"), "names"), most)
     places = ranks.select("s", F.explode(F.arrays_zip("i", "rank")).alias("x")).select("s", "x.i", "x.rank")
-    places = stored(places.join(pieces.select("s", "fp", "first", F.size("need").alias("own")), "s").filter("i < own").select("s", "i", "rank", "fp", (F.col("first") + F.col("i")).alias("at")), "places")
+    places = stored(places.join(strings.select("s", "many", F.size("need").alias("own")), "s").filter("i < own").select("s", "i", "rank", "many"), "places")
     discard(ranks)
-    each = stored(places.groupBy("rank").agg(F.count("*").alias("often"), F.min(F.struct("s", "i")).alias("x")).select("rank", "often", "x.*"), "each")
+    each = stored(places.groupBy("rank").agg((F.max("many") | (F.count("*") > 1)).alias("many"), F.min(F.struct("s", "i")).alias("x")).select("rank", "many", "x.*"), "each")
     order = stored(_numbered(each, ["rank"], "sorted"), "order")
     chain = F.slice("names", F.col("i") + 1, F.get("need", F.col("i")))
-    chains = stored(each.join(order, "rank").join(pieces.select("s", "names", "need"), "s").select("no", "rank", "often", chain.alias("chain")), "chains")
+    chains = stored(each.join(order, "rank").join(strings.select("s", "names", "need"), "s").select("no", "rank", "many", chain.alias("chain")), "chains")
     # Neighbours of the sorted order.
     beside = chains.select(F.col("no").alias("k"), F.col("chain").alias("left")).join(chains.select((F.col("no") - 1).alias("k"), F.col("chain").alias("right")), "k")
-    differ = F.array_position(F.zip_with("left", "right", lambda x, y: x.eqNullSafe(y)), False)
-    common = F.when(differ > 0, differ - 1).otherwise(F.size("left")).cast("int")
-    both = beside.select("k", common.alias("t")).select(F.explode(F.array("k", F.col("k") + 1)).alias("no"), "t")
+    both = beside.mapInArrow(_common, "no bigint, t int")
     longest = both.groupBy("no").agg(F.max("t").alias("t"))
-    known = stored(chains.select("no", "rank", "often", F.size("chain").alias("all")).join(longest, "no", "left").select("rank", F.when(F.col("often") > 1, F.col("all")).otherwise(F.coalesce("t", F.lit(0))).alias("t")), "known")
-    out = stored(_lists(places.join(known, "rank").select("fp", F.col("at").alias("i"), "t"), ["fp"], "t"), "shared")
-    for x in (places, each, order, chains, known):
+    known = stored(chains.select("no", "rank", "many", F.size("chain").alias("all")).join(longest, "no", "left").select("rank", F.when(F.col("many"), F.col("all")).otherwise(F.coalesce("t", F.lit(0))).alias("t")), "known")
+    lists = stored(_lists(places.join(known, "rank").select("s", "i", "t"), ["s"], "t").join(strings.select("s", "key"), "s").select("key", "t"), "lists")
+    out = stored(pieces.select("key", "fp", "first").join(lists, "key").select("fp", "first", "t"), "shared")
+    for x in (strings, places, each, order, chains, known, lists):
         discard(x)
     return out
 
 
+def _common(batches):
+    """Neighbours ``k`` and ``k + 1`` with their names to the number of names that they begin with in common, for either."""
+    for batch in batches:
+        (left, n), (right, m) = _flat(batch.column("left")), _flat(batch.column("right"))
+        both = np.minimum(n, m)
+        row = np.repeat(np.arange(len(both)), both)
+        at = np.arange(int(both.sum())) - np.repeat(np.cumsum(both) - both, both)
+        differ = left[(np.cumsum(n) - n)[row] + at] != right[(np.cumsum(m) - m)[row] + at]
+        t = both.copy()
+        np.minimum.at(t, row[differ], at[differ])
+        k = batch.column("k").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, k + 1])), pa.array(np.tile(t, 2).astype(np.int32))], names=["no", "t"])
+
+
+_LEFT = {"core": pa.int64(), "key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "open": pa.bool_()}
 _DECIDED = "fp binary, lo array<int>, hi array<int>, left array<struct<core:bigint,key:bigint,lo:int,hi:int,open:boolean>>"
 
 
@@ -319,38 +423,45 @@ def _decided(length: int):
 
     def run(batches):
         for batch in batches:
-            out = {"fp": batch.column("fp"), "lo": [], "hi": [], "left": []}
-            for n, real, cuts, names, cores, places, t in zip(*(batch.column(c) for c in ("n", "real", "cuts", "names", "cores", "i", "t")), strict=True):
-                n, real = n.as_py(), real.as_py()
-                cuts, names, cores, places, t = (x.values.to_numpy().astype(np.int64) for x in (cuts, names, cores, places, t))
+            los, his, lefts = [], [], []
+            for n, cuts, names, cores, shared in zip(*(batch.column(c) for c in ("n", "cuts", "names", "cores", "shared")), strict=True):
+                n = n.as_py()
+                cuts, names, cores = (x.values.to_numpy().astype(np.int64) for x in (cuts, names, cores))
+                first, (t, own) = shared.values.field("first").to_numpy(), _flat(shared.values.field("t"))
+                places = np.repeat(first, own) + np.arange(len(t)) - np.repeat(np.cumsum(own) - own, own)
+                order = np.argsort(places)
+                places, t = places[order].astype(np.int64), t[order].astype(np.int64)
                 # Where the grams of cuts end, and the text.
                 ends = np.concatenate([cuts + GRAM, [n]])
                 whole = np.where(t > 0, ends[places + t], cuts[places])
-                part = ends[np.minimum(places + t + 1, len(cuts))]
+                # What else may be common ends before the next cut with all that makes it one.
+                part = np.minimum(ends[np.minimum(places + t + 1, len(cuts))] + WING, n)
                 sure = whole - length >= cuts[places]
-                out["lo"].append(cuts[places][sure].astype(np.int32))
-                out["hi"].append((whole - length)[sure].astype(np.int32))
+                los.append(cuts[places][sure])
+                his.append((whole - length)[sure])
                 reach = np.zeros(len(cuts), dtype=np.int64)
                 reach[places] = whole
                 reach = np.maximum.accumulate(reach)
-                left, raw = [], names.tobytes()
-                for i, m in zip(places.tolist(), part.tolist(), strict=True):
-                    c = int(cuts[i])
-                    if i == 0 and not real or i + 1 == len(cuts) or cuts[i + 1] - c > gap:
-                        continue  # no cut, or bare
-                    before = int(cuts[i - 1]) if i > 1 or i == 1 and real else -1
-                    lo, hi = max(before + 1, c - gap), min(c, m - length, n - length)
-                    if lo > hi:
-                        continue
-                    # Of those before the cut, and of that at it.
-                    open_ = lo < c and min(hi, c - 1) > reach[i - 1] - length if i else False
-                    open_ = bool(open_ or hi == c and c > reach[i] - length)
-                    j = int(np.searchsorted(cuts, c + length - GRAM))
-                    key = xxhash.xxh3_64_intdigest(raw[8 * max(i - 1, 0) : 8 * j], seed=int(i > 0)) >> 1
-                    left.append({"core": int(cores[i]), "key": key, "lo": lo, "hi": hi, "open": open_})
-                out["left"].append(left)
-            kind = pa.list_(pa.struct([("core", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("open", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([out["fp"], pa.array(out["lo"], type=pa.list_(pa.int32())), pa.array(out["hi"], type=pa.list_(pa.int32())), pa.array(out["left"], type=kind)], names=list(out))
+                # Cuts, but for the beginning, with the next one near.
+                some = (places + 1 < len(cuts)) & (places > 0)
+                places, part = places[some], part[some]
+                some = cuts[places + 1] - cuts[places] <= gap
+                places, part = places[some], part[some]
+                c, z = cuts[places], cuts[places - 1]
+                lo = np.maximum(np.maximum(np.where(places > 1, z + 1, 0) - WING, c - WING - gap), 0)
+                hi = np.minimum(np.minimum(c - WING, part - length), n - length)
+                some = lo <= hi
+                places, c, z, lo, hi = places[some], c[some], z[some], lo[some], hi[some]
+                # Of those from the cut before on, and of those ahead of it.
+                ahead = np.where(places > 1, reach[np.maximum(places - 2, 0)], 0)
+                open_ = (hi >= z) & (hi > reach[places - 1] - length) | (lo < z) & (np.minimum(hi, z - 1) > ahead - length)
+                raw, upto = names.tobytes(), np.searchsorted(cuts, c + length - GRAM)
+                key = [xxhash.xxh3_64_intdigest(raw[8 * max(i - 2, 0) : 8 * j], seed=min(i, 2)) >> 1 for i, j in zip(places.tolist(), upto.tolist(), strict=True)]
+                lefts.append((cores[places], np.array(key, dtype=np.int64), lo, hi, open_))
+            offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in lefts])]).astype(np.int32)
+            flat = [pa.array(np.concatenate([x[k] for x in lefts]).astype(kind.to_pandas_dtype()), type=kind) for k, kind in enumerate(_LEFT.values())] if lefts else [pa.array([], type=kind) for kind in _LEFT.values()]
+            left = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=list(_LEFT)))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), _lists_of(los, pa.int32()), _lists_of(his, pa.int32()), left], names=["fp", "lo", "hi", "left"])
 
     return run
 
@@ -380,12 +491,13 @@ def repeated_windows(texts: DataFrame, length: int = 400) -> DataFrame:
     cores = docs.select("fp", F.posexplode("cores").alias("i", "core")).filter("core <> 0")
     twice = stored(cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "cores")
     held = stored(cores.join(twice, "core").groupBy("fp").agg(F.collect_list("i").alias("i")), "held")
-    pieces = docs.select("fp", "n", "cuts", "names").join(held, "fp").mapInArrow(_pieces(length), "fp binary, first int, names array<bigint>, need array<int>")
-    pieces = stored(pieces.withColumn("s", F.monotonically_increasing_id()), "pieces")
+    pieces = docs.select("fp", "cuts", "names", "cores").join(held, "fp").mapInArrow(_pieces(length), "key binary, fp binary, first int, names array<bigint>, need array<int>")
+    pieces = stored(pieces, "pieces")
     for x in (twice, held):
         discard(x)
     shared = _shared(pieces)
-    decided = stored(docs.drop("many", "bare", "hashes").join(shared, "fp").mapInArrow(_decided(length), _DECIDED), "decided")
+    by_text = shared.groupBy("fp").agg(F.collect_list(F.struct("first", "t")).alias("shared"))
+    decided = stored(docs.select("fp", "n", "cuts", "names", "cores").join(by_text, "fp").mapInArrow(_decided(length), _DECIDED), "decided")
     for x in (pieces, shared):
         discard(x)
     # The windows left, of cores with any that is open; the others once for each key.
@@ -399,15 +511,15 @@ def repeated_windows(texts: DataFrame, length: int = 400) -> DataFrame:
     # Of texts that occur several times one is taken.
     copies = long_.join(ranges.filter("many").select("fp", "ranges"), "fp").groupBy("fp").agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"))
     merged = own.select("fp", "text", "ranges").unionAll(copies).mapInArrow(_windows(length), "hash binary, fp binary, p int, open boolean")
-    bare = docs.select("fp", F.explode(F.arrays_zip("hashes", "bare")).alias("x")).select("x.hashes", "fp", "x.bare", F.lit(True))
+    bare = docs.select("fp", F.explode(F.arrays_zip("hashes", "bare", "again")).alias("x")).select("x.hashes", "fp", "x.bare", ~F.col("x.again"))
     windows = stored(merged.unionAll(bare), "windows", batch_rows=64)
     again = stored(windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "again")
     more = windows.filter("open").join(again, "hash").groupBy("fp").agg(F.collect_list("p").alias("p"))
-    both = decided.select("fp", "lo", "hi").join(more, "fp", "full")
-    none = F.array().cast("array<int>")
-    join = lambda c: F.concat(F.coalesce(c, none), F.coalesce("p", none)).alias(c)
-    both = both.select("fp", join("lo"), join("hi")).filter(F.size("lo") > 0)
-    out = stored(docs.select("fp", "many").join(both, "fp", "left").filter("many or lo is not null").select("fp", "many", F.when(~F.col("many"), F.col("lo")).alias("lo"), F.when(~F.col("many"), F.col("hi")).alias("hi")), "repeated")
+    more = more.join(decided.select("fp", F.col("lo").alias("dlo"), F.col("hi").alias("dhi")), "fp", "full")
+    all_ = docs.select("fp", "many", "lo", "hi").join(more, "fp", "left")
+    some = lambda *columns: F.concat(*(F.coalesce(c, F.array().cast("array<int>")) for c in columns))
+    all_ = all_.select("fp", "many", some("lo", "dlo", "p").alias("lo"), some("hi", "dhi", "p").alias("hi")).filter("many or size(lo) > 0")
+    out = stored(all_.select("fp", "many", F.when(~F.col("many"), F.col("lo")).alias("lo"), F.when(~F.col("many"), F.col("hi")).alias("hi")), "repeated")
     for x in (docs, decided, open_, left, ranges, windows, again):
         discard(x)
     return out
