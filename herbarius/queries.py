@@ -530,7 +530,7 @@ def detected_csv(s, d):
     return sniffed_csv(s, path).filter("malformed is null").drop("malformed")
 
 
-@query("SELECT event_id, key, CAST(value AS BIGINT) AS value FROM events, json_each(props) WHERE type IN ('BIGINT', 'UBIGINT')")
+@query("SELECT event_id, j.key, CAST(j.value AS BIGINT) AS value FROM events, json_each(props) AS j WHERE j.type IN ('BIGINT', 'UBIGINT')")
 def json_members(s, d):
     found = C.json_members(t(s, d, "events").select("event_id", "props"), "props")
     return found.filter("kind = 'BIGINT'").select("event_id", "key", F.try_variant_get("value", "$", "bigint").alias("value"))

@@ -14,7 +14,7 @@ def landing_stream(spark: SparkSession, folder: str, schema: T.StructType | str,
     no more than ``delay`` after it, by ``time``, go at once and need no look at the table."""
     reader = spark.readStream.schema(schema).format(format).options(**options)
     rows = (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).load(folder)
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def keep_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], then: Callable[[DataFrame, int], None] | None = None) -> None:
