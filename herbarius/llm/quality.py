@@ -254,16 +254,21 @@ def with_scores(df: DataFrame, model: Model | None, names: tuple[str, str, str]
     return df.mapInArrow(run, schema)
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+#: Columns that the views are made of, by the names of their options.
+COLUMNS = {"text_col": "text", "lang_col": "lang", "source_col": "source", "size_col": "n_chars"}
+
+
+def quality_scores(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", **options) -> DataFrame:
     """``id, text_score, metadata_score, score, keep`` of every row; ``keep`` says that the
     score is at least ``threshold``.
 
     Null texts and metadata count as empty ones; null and repeated ids are passed on.  Other
     columns are left out.  Without labelled documents of both classes there is a warning, and
-    every score is 1.
+    every score is 1.  ``options`` are those of :func:`fit`.
     """
-    model = fit(df, labels, id_col=id_col, text_col=text_col, **options)
-    scored = with_scores(df.select(id_col, text_col, "lang", "source", "n_chars"), model, text_col=text_col)
+    model = fit(df, labels, id_col=id_col, **options)
+    columns = {k: options.get(k, v) for k, v in COLUMNS.items()}
+    scored = with_scores(df.select(id_col, *columns.values()), model, **columns)
     return scored.select(id_col, "text_score", "metadata_score", "score", (F.col("score") >= threshold).alias("keep"))
 
 
@@ -271,4 +276,4 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.5, **option
     """The rows of ``df`` whose score is at least ``threshold``, with all columns."""
     model = fit(df, labels, **options)
     names = tuple(free_name(df, n) for n in ("text_score", "metadata_score", "score"))
-    return with_scores(df, model, names).filter(F.col(names[2]) >= threshold).select(df.columns)
+    return with_scores(df, model, names, **{k: options.get(k, v) for k, v in COLUMNS.items()}).filter(F.col(names[2]) >= threshold).select(df.columns)

@@ -131,3 +131,15 @@ def test_hamming(spark):
     got = sorted(tuple(r) for r in hamming_topk.hamming_topk(codes, codes.filter("id = 1"), 2).collect())
     assert got == [(1, 1, 2, 0), (1, 2, 4, 1)]
     assert hamming_topk.hamming_topk(codes.limit(0), codes.limit(0)).count() == 0
+
+
+def test_quality_of_renamed_columns(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id % 4 < 2"), spark.read.parquet(f"{data}/labels.parquet")
+    names = {"text": "body", "lang": "language", "source": "origin", "n_chars": "size"}
+    options = {"text_col": "body", "lang_col": "language", "source_col": "origin", "size_col": "size"}
+    want = sorted(tuple(r) for r in quality.quality_scores(docs, labels, rounds=1).collect())
+    renamed = docs.withColumnsRenamed(names)
+    assert sorted(tuple(r) for r in quality.quality_scores(renamed, labels, rounds=1, **options).collect()) == want
+    kept = quality.keep_good(renamed, labels, rounds=1, **options)
+    assert kept.columns == renamed.columns and kept.count() == sum(r[-1] for r in want)

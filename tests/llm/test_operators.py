@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -626,6 +628,35 @@ def test_deobfuscation_without_gates(spark):
     assert toxicity.SPACED.search("! " * 3 + "!" * 200_000 + "x") is None
 
 
+def test_the_decoder_finds_the_cheapest_of_all_ways(spark):
+    """Viterbi over the last two letters against the sum over every way through the lattice."""
+    words = ["stupid", "idiot", "moron", "trash", "hello", "good", "you", "soon", "bless"]
+    c = toxicity.Channel(toxicity.language_model(spark.createDataFrame([(w, 7 + i) for i, w in enumerate(words)], "word string, n long")))
+
+    def every(arcs):
+        best = None
+        for way in itertools.product(*arcs):
+            a = b = "^"
+            total = sum(price for _, price in way)
+            for x in "".join(out for out, _ in way):
+                total += c.cost(a, b, x)
+                a, b = (b, x) if x != "$" else ("^", "^")
+            total += c.cost(a, b, "$")
+            best = total if best is None else min(best, total)
+        return best
+
+    r = random.Random(9)
+    tried = 0
+    for _ in range(300):
+        gaps = r.random() < 0.4
+        token = "".join(r.choice("sto1!0$3@dbmn" + ". -" * gaps) * r.choice((1, 1, 2, 3)) for _ in range(r.randint(1, 7)))
+        arcs = c.arcs(token, gaps)
+        if math.prod(map(len, arcs)) <= 20_000:
+            tried += 1
+            assert abs(c.best(arcs)[0] - every(arcs)) < 1e-9
+    assert tried > 200
+
+
 def test_hamming_topk(spark):
     r = random.Random(2)
     centres = [r.getrandbits(64) for _ in range(20)]
