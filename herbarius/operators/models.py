@@ -23,7 +23,7 @@ def regressors(label: str, features: str = "features", trees: int = 500) -> dict
     return {
         "linear": LinearRegression(labelCol=label, featuresCol=features),
         "forest": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=12, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=42),
-        "boosted": GBTRegressor(labelCol=label, featuresCol=features, maxIter=min(trees, 100), maxDepth=6, stepSize=0.1, seed=42),
+        "boosted": GBTRegressor(labelCol=label, featuresCol=features, maxIter=trees, maxDepth=6, stepSize=0.1, seed=42),
     }
 
 
@@ -31,7 +31,7 @@ def classifiers(label: str, features: str = "features", weight: str = "__weight"
     return {
         "logistic": LogisticRegression(labelCol=label, featuresCol=features, weightCol=weight),
         "forest": RandomForestClassifier(labelCol=label, featuresCol=features, weightCol=weight, numTrees=trees, maxDepth=10, seed=42),
-        "boosted": GBTClassifier(labelCol=label, featuresCol=features, weightCol=weight, maxIter=min(trees, 100), maxDepth=7, stepSize=0.1, seed=42),
+        "boosted": GBTClassifier(labelCol=label, featuresCol=features, weightCol=weight, maxIter=trees, maxDepth=7, stepSize=0.1, seed=42),
     }
 
 
