@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from herbarius.queries import ORACLE_SQL, QUERIES
 
-HEADLINE = ("observer_features", "identifier_features", "star_join", "spatial_distance_join", "spatial_label", "point_in_polygon", "month_case_pick", "percent_rank_nulls", "null_aware_not_in", "merge_three_way", "score_total", "correlation_pairs")
+HEADLINE = ("observer_features", "identifier_features", "star_join", "spatial_distance_join", "spatial_label", "point_in_polygon", "range_tiles", "month_case_pick", "percent_rank_nulls", "null_aware_not_in", "merge_three_way", "score_total", "correlation_pairs")
 
 
 def best_of_two(run) -> float:
