@@ -6,9 +6,10 @@ that their content alone chooses (a hash of ``GRAM`` bytes), and suffixes that s
 strings of phrase names.  What a cut can't decide is decided by bytes, so results are exact.
 
 1. Parse.  A phrase runs from a cut over the next one's gram; its name is a hash.  Whether a place is a cut depends on
-   the bytes around it alone.  A window (a string of ``length`` bytes) that has its first cut, and the next from there, within
-   a gap holds the *core* of its first cut, some whole phrases.  Where no other cut has this core, the
-   window is unique.  Windows with longer gaps are ``bare`` and compared as they are.
+   the bytes around it alone.  A window (a string of ``length`` bytes) that has its first cut within
+   a gap holds the *core* of this cut, some whole phrases, or the bytes behind it if the next cut is far.  Where no
+   other cut has this core, the window is unique.  Windows whose first cut comes late are told apart by the
+   bytes before it, and those without any, which are ``bare``, are compared as they are.
 2. Sort the suffixes of the cuts whose core repeats, by difference cover: the triples at places 1 and 2
    modulo 3 are sorted and named, the strings of names sorted in turn, until names are long
    enough for a window; then the suffixes at places 0 modulo 3 are merged with them by (name, rank of the next).  The merge
@@ -37,14 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, stored
 
-#: A cut is where the hash of ``GRAM`` bytes is less than at all places up to ``WING`` on either side.
+#: A cut is where the hash of ``GRAM`` bytes is least of all places up to ``WING`` on either side, and of equal ones the last, so
+#: that text of a short period has one at its end.
 GRAM, WING = 12, 16
 #: Names of a string that is sorted at most, and one of how many names begins one.
 PIECE, BREAK = 36, 16
 
 
 def gap_of(length: int) -> int:
-    """Bytes within which a window's first cut has to come, and from there the second."""
+    """Bytes within which a window's first cut has to come."""
     return (length - GRAM) // 2 - WING
 
 
@@ -64,7 +66,7 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     for k in (1, 2, 4, 8):  # of WING places from each on
         least = np.minimum(least[:-k], least[k:])
     inner = h[WING : len(h) - WING]
-    return np.flatnonzero((inner < least[: len(inner)]) & (inner < least[WING + 1 : WING + 1 + len(inner)])) + WING
+    return np.flatnonzero((inner <= least[: len(inner)]) & (inner < least[WING + 1 : WING + 1 + len(inner)])) + WING
 
 
 def window_hash(data: bytes) -> bytes:
@@ -74,7 +76,8 @@ def window_hash(data: bytes) -> bytes:
 def parsed(texts: list[bytes], length: int) -> dict[str, list]:
     """For each text the places of its ``cuts``, 0 first, ``names`` of the phrases from each, ``cores`` (0 for
     none), ``bare`` windows with their ``hashes``, and whether a text has one ``again``, which then is listed once; all such start in
-    the ranges from ``lo`` to ``hi``.  Nothing for texts shorter than a window."""
+    the ranges from ``lo`` to ``hi``; and hashes of the bytes before ``late`` cuts with the ranges of their windows.
+    Nothing for texts shorter than a window."""
     buffer = b"".join(texts)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     start = np.cumsum(size) - size
@@ -97,17 +100,21 @@ def parsed(texts: list[bytes], length: int) -> dict[str, list]:
         names = [name(buffer[a - GRAM : b]) >> 1 or 1 for a, b in zip(stops, stops[1:], strict=False)]
         names.append(name(buffer[stops[-1] - GRAM : at + n], seed=1) >> 1 or 1)  # the last one is another than of the same bytes elsewhere
         names = np.array(names, dtype=np.int64)
-        # A core ends with the last cut within what every window of the first holds, with all that makes it a cut.
-        last = np.searchsorted(cuts, cuts + (held - GRAM - WING), side="right") - 1
-        last[cuts + held > n] = 0
+        # A core ends with the last cut within what every window of the first holds, with all that makes it a cut, or is all of
+        # that where no other cut is in it.
+        last = np.where(cuts + held > n, -1, np.searchsorted(cuts, cuts + (held - GRAM - WING), side="right") - 1)
         raw = names.tobytes()
         out["cuts"].append(cuts)
         out["names"].append(names)
-        out["cores"].append([name(raw[8 * i : 8 * j]) >> 1 or 1 if j > i else 0 for i, j in enumerate(last.tolist())])
+        out["cores"].append([0 if j < 0 else (name(raw[8 * i : 8 * j]) if j > i else name(buffer[at + c : at + c + held], seed=2)) >> 1 or 1 for i, (j, c) in enumerate(zip(last.tolist(), cuts.tolist(), strict=True))])
         # Where text repeats itself at short distances there are no cuts, but few different windows.
         first: dict[bytes, int] = {}
         twice: dict[bytes, None] = {}
-        starts = _bare(real, n, length)
+        starts, late = _bare(real, n, length)
+        # Such windows hold the bytes before the cut, as far as a gap goes, with all that makes it one.
+        out["late"].append([name(buffer[at + c - WING - gap_of(length) : at + c + GRAM + WING], seed=3) >> 1 for c, _, _ in late])
+        out["late_lo"].append([a for _, a, _ in late])
+        out["late_hi"].append([b for _, _, b in late])
         own = [window_hash(buffer[at + i : at + i + length]) for i in starts]
         for i, x in zip(starts, own, strict=True):
             if first.setdefault(x, i) != i:
@@ -122,20 +129,24 @@ def parsed(texts: list[bytes], length: int) -> dict[str, list]:
     return out
 
 
-def _bare(real: np.ndarray, n: int, length: int) -> list[int]:
-    """Windows whose first cut, ``WING`` in at least, or the next from there, is too far."""
-    gap, last = gap_of(length), n - length
-    # Windows of a cut start after ``before``, and those up to ``upto`` are bare.
-    before, after = np.concatenate([[-1], real - WING]), np.concatenate([np.diff(real), [2 * n]])[: len(real)]
-    upto = np.concatenate([np.where(after > gap, real - WING, real - WING - gap - 1), [n]])
-    out: list[int] = []
+def _bare(real: np.ndarray, n: int, length: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Windows without a cut, and for cuts that come late in windows the cut and the range of these windows."""
+    last, seen = n - length, length - GRAM - WING
+    # Windows of a cut start after ``before``, and for those up to ``upto`` it is late; from ``first`` on they have it at all.
+    before, upto = np.concatenate([[-1], real - WING]), np.concatenate([real - WING - gap_of(length) - 1, [n]])
+    first = np.concatenate([np.maximum(real - seen, before[:-1] + 1), [n + 1]])
+    bare: list[int] = []
+    late = []
     for k in np.flatnonzero(np.minimum(upto, last) > before):
-        out.extend(range(int(before[k]) + 1, min(int(upto[k]), last) + 1))
-    return out
+        a, b, c = int(before[k]) + 1, min(int(upto[k]), last), int(first[k])
+        bare.extend(range(a, min(b, c - 1) + 1))
+        if c <= b:
+            late.append((int(real[k]), c, b))
+    return bare, late
 
 
-LISTS = {"cuts": pa.int32(), "names": pa.int64(), "cores": pa.int64(), "bare": pa.int32(), "hashes": pa.binary(), "again": pa.bool_(), "lo": pa.int32(), "hi": pa.int32()}
-_PARSED = "fp binary, uid bigint, n int, cuts array<int>, names array<bigint>, cores array<bigint>, bare array<int>, hashes array<binary>, again array<boolean>, lo array<int>, hi array<int>"
+LISTS = {"cuts": pa.int32(), "names": pa.int64(), "cores": pa.int64(), "bare": pa.int32(), "hashes": pa.binary(), "again": pa.bool_(), "lo": pa.int32(), "hi": pa.int32(), "late": pa.int64(), "late_lo": pa.int32(), "late_hi": pa.int32()}
+_PARSED = "fp binary, uid bigint, n int, cuts array<int>, names array<bigint>, cores array<bigint>, bare array<int>, hashes array<binary>, again array<boolean>, lo array<int>, hi array<int>, late array<bigint>, late_lo array<int>, late_hi array<int>"
 
 
 def _lists_of(values: list, kind: pa.DataType) -> pa.Array:
@@ -350,7 +361,7 @@ def _pieces(length: int):
                 runs = np.flatnonzero(np.diff(places, prepend=-9) != 1)
                 after = places[np.append(runs[1:], len(places)) - 1] + 1
                 known = (after < len(names)) & (cores[np.minimum(after, len(names) - 1)] != 0)
-                ends = np.where(known, np.searchsorted(cuts, cuts[np.minimum(after, len(names) - 1)] + (held - GRAM - WING), side="right") - 1, len(names))
+                ends = np.where(known, np.maximum(np.searchsorted(cuts, cuts[np.minimum(after, len(names) - 1)] + (held - GRAM - WING), side="right") - 1, after + 1), len(names))
                 upto = np.minimum(upto, np.repeat(ends, np.diff(np.append(runs, len(places)))))
                 breaks = np.flatnonzero((np.diff(places, prepend=-9) != 1) | (names[places] % BREAK == 0)).tolist()
                 for a, b in zip(breaks, [*breaks[1:], len(places)], strict=True):
@@ -442,11 +453,8 @@ def _decided(length: int):
                 reach = np.zeros(len(cuts), dtype=np.int64)
                 reach[places] = whole
                 reach = np.maximum.accumulate(reach)
-                # Cuts, but for the beginning, with the next one near.
-                some = (places + 1 < len(cuts)) & (places > 0)
-                places, part = places[some], part[some]
-                some = cuts[places + 1] - cuts[places] <= gap
-                places, part = places[some], part[some]
+                # Cuts, but for the beginning.
+                places, part = places[places > 0], part[places > 0]
                 c, z = cuts[places], cuts[places - 1]
                 lo = np.maximum(np.maximum(np.where(places > 1, z + 1, 0) - WING, c - WING - gap), 0)
                 hi = np.minimum(np.minimum(c - WING, part - length), n - length)
@@ -505,7 +513,10 @@ def repeated_windows(texts: DataFrame, length: int = 400) -> DataFrame:
     open_ = stored(left.filter("open").select("core").distinct(), "open")
     left = stored(left.join(open_, "core"), "left")
     one = left.filter("not open").groupBy("core", "key").agg(F.min(F.struct("fp", "lo", "hi", "open")).alias("x")).select("x.*")
-    ranges = left.filter("open").select("fp", "lo", "hi", "open").unionAll(one).groupBy("fp").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("ranges"))
+    late = docs.select("fp", F.explode(F.arrays_zip("late", "late_lo", "late_hi")).alias("x")).select("fp", F.col("x.late").alias("core"), F.col("x.late_lo").alias("lo"), F.col("x.late_hi").alias("hi"), F.lit(True).alias("open"))
+    both = stored(late.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "late")
+    late = late.join(both, "core").select("fp", "lo", "hi", "open")
+    ranges = left.filter("open").select("fp", "lo", "hi", "open").unionAll(late).unionAll(one).groupBy("fp").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("ranges"))
     ranges = stored(ranges.join(docs.select("fp", "many"), "fp"), "ranges")
     own = long_.join(ranges.filter("not many").select("fp", "ranges"), "fp")
     # Of texts that occur several times one is taken.
@@ -520,7 +531,7 @@ def repeated_windows(texts: DataFrame, length: int = 400) -> DataFrame:
     some = lambda *columns: F.concat(*(F.coalesce(c, F.array().cast("array<int>")) for c in columns))
     all_ = all_.select("fp", "many", some("lo", "dlo", "p").alias("lo"), some("hi", "dhi", "p").alias("hi")).filter("many or size(lo) > 0")
     out = stored(all_.select("fp", "many", F.when(~F.col("many"), F.col("lo")).alias("lo"), F.when(~F.col("many"), F.col("hi")).alias("hi")), "repeated")
-    for x in (docs, decided, open_, left, ranges, windows, again):
+    for x in (docs, decided, open_, left, both, ranges, windows, again):
         discard(x)
     return out
 
