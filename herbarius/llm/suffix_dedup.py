@@ -2,7 +2,7 @@
 
 Which of the strings of ``length`` bytes start anywhere else?  Sorting all suffixes by bytes would
 shuffle every byte some dozen times over, so texts are first parsed into phrases at places
-that their content alone chooses (a hash of ``GRAM`` bytes), and suffixes that start at such cuts are sorted as
+that their content alone chooses (local minima of a hash), and suffixes that start at such cuts are sorted as
 strings of phrase names.  What a cut can't decide is decided by bytes, so results are exact.
 
 1. Parse.  A phrase runs from a cut over the next one's gram; its name is a hash.  Whether a place is a cut depends on
@@ -11,8 +11,8 @@ strings of phrase names.  What a cut can't decide is decided by bytes, so result
    other cut has this core, the window is unique.  Windows whose first cut comes late are told apart by the
    bytes before it, and those without any, which are ``bare``, are compared as they are.
 2. Sort the suffixes of the cuts whose core repeats, by difference cover: the triples at places 1 and 2
-   modulo 3 are sorted and named, the strings of names sorted in turn, until names are long
-   enough for a window; then the suffixes at places 0 modulo 3 are merged with them by (name, rank of the next).  The merge
+   modulo 3 are sorted and named, the strings of names sorted in turn, until strings are
+   short; then the suffixes at places 0 modulo 3 are merged with them by (name, rank of the next).  The merge
    is by counts: a sort of places 0 and 1, and one of 0 and 2, give how many of the others are before each.
 3. Compare neighbours: the most phrases that a suffix shares with any other it shares with one beside it.
    Windows within these phrases repeat.
@@ -43,6 +43,8 @@ from .common import discard, slices, stored
 GRAM, WING = 12, 16
 #: Names of a string that is sorted at most, and one of how many names begins one.
 PIECE, BREAK = 36, 16
+#: Windows of a lot that are told from others by what they have in common first.
+LOT = 8
 
 
 def gap_of(length: int) -> int:
@@ -113,6 +115,7 @@ def parsed(texts: list[bytes], length: int) -> dict[str, list]:
         starts, late = _bare(real, n, length)
         # Such windows hold the bytes before the cut, as far as a gap goes, with all that makes it one.
         out["late"].append([name(buffer[at + c - WING - gap_of(length) : at + c + GRAM + WING], seed=3) >> 1 for c, _, _ in late])
+        out["late_at"].append([c for c, _, _ in late])
         out["late_lo"].append([a for _, a, _ in late])
         out["late_hi"].append([b for _, _, b in late])
         own = [window_hash(buffer[at + i : at + i + length]) for i in starts]
@@ -145,8 +148,8 @@ def _bare(real: np.ndarray, n: int, length: int) -> tuple[list[int], list[tuple[
     return bare, late
 
 
-LISTS = {"cuts": pa.int32(), "names": pa.int64(), "cores": pa.int64(), "bare": pa.int32(), "hashes": pa.binary(), "again": pa.bool_(), "lo": pa.int32(), "hi": pa.int32(), "late": pa.int64(), "late_lo": pa.int32(), "late_hi": pa.int32()}
-_PARSED = "fp binary, uid bigint, n int, cuts array<int>, names array<bigint>, cores array<bigint>, bare array<int>, hashes array<binary>, again array<boolean>, lo array<int>, hi array<int>, late array<bigint>, late_lo array<int>, late_hi array<int>"
+LISTS = {"cuts": pa.int32(), "names": pa.int64(), "cores": pa.int64(), "bare": pa.int32(), "hashes": pa.binary(), "again": pa.bool_(), "lo": pa.int32(), "hi": pa.int32(), "late": pa.int64(), "late_at": pa.int32(), "late_lo": pa.int32(), "late_hi": pa.int32()}
+_PARSED = "fp binary, uid bigint, n int, cuts array<int>, names array<bigint>, cores array<bigint>, bare array<int>, hashes array<binary>, again array<boolean>, lo array<int>, hi array<int>, late array<bigint>, late_at array<int>, late_lo array<int>, late_hi array<int>"
 
 
 def _lists_of(values: list, kind: pa.DataType) -> pa.Array:
@@ -419,8 +422,8 @@ def _common(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, k + 1])), pa.array(np.tile(t, 2).astype(np.int32))], names=["no", "t"])
 
 
-_LEFT = {"core": pa.int64(), "key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "open": pa.bool_()}
-_DECIDED = "fp binary, lo array<int>, hi array<int>, left array<struct<core:bigint,key:bigint,lo:int,hi:int,open:boolean>>"
+_LEFT = {"core": pa.int64(), "key": pa.int64(), "at": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "open": pa.bool_()}
+_DECIDED = "fp binary, lo array<int>, hi array<int>, left array<struct<core:bigint,key:bigint,at:int,lo:int,hi:int,open:boolean>>"
 
 
 def _decided(length: int):
@@ -465,7 +468,7 @@ def _decided(length: int):
                 open_ = (hi >= z) & (hi > reach[places - 1] - length) | (lo < z) & (np.minimum(hi, z - 1) > ahead - length)
                 raw, upto = names.tobytes(), np.searchsorted(cuts, c + length - GRAM)
                 key = [xxhash.xxh3_64_intdigest(raw[8 * max(i - 2, 0) : 8 * j], seed=min(i, 2)) >> 1 for i, j in zip(places.tolist(), upto.tolist(), strict=True)]
-                lefts.append((cores[places], np.array(key, dtype=np.int64), lo, hi, open_))
+                lefts.append((cores[places], np.array(key, dtype=np.int64), c, lo, hi, open_))
             offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in lefts])]).astype(np.int32)
             flat = [pa.array(np.concatenate([x[k] for x in lefts]).astype(kind.to_pandas_dtype()), type=kind) for k, kind in enumerate(_LEFT.values())] if lefts else [pa.array([], type=kind) for kind in _LEFT.values()]
             left = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=list(_LEFT)))
@@ -475,13 +478,25 @@ def _decided(length: int):
 
 
 def _windows(length: int):
-    """Texts with ranges of windows to ``hash, fp, p, open`` of each."""
+    """Texts with ranges of windows to ``common, fp, p, hashes, open``: some windows following each other, and what they have in common.
+
+    Windows of a cut are dealt by their distance to it, so windows that are equal are of lots that have equal
+    bytes in common, and only such lots are looked at window by window.
+    """
 
     def run(batches):
         for batch in batches:
             for fp, text, ranges in zip(batch.column("fp").to_pylist(), batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                p = [(i, r["open"]) for r in ranges for i in range(r["lo"], r["hi"] + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([window_hash(text[i : i + length]) for i, _ in p], type=pa.binary()), pa.array([fp] * len(p), type=pa.binary()), pa.array([i for i, _ in p], type=pa.int32()), pa.array([o for _, o in p], type=pa.bool_())], names=["hash", "fp", "p", "open"])
+                common, starts, hashes, opens = [], [], [], []
+                for r in ranges:
+                    for k in range((r["at"] - r["hi"]) // LOT, (r["at"] - r["lo"]) // LOT + 1):
+                        lo, hi = max(r["lo"], r["at"] - LOT * k - LOT + 1), min(r["hi"], r["at"] - LOT * k)
+                        begin = r["at"] - LOT * k
+                        common.append(xxhash.xxh3_128_digest(text[begin : begin - LOT + 1 + length], seed=1 + k))
+                        starts.append(lo)
+                        hashes.append([window_hash(text[i : i + length]) for i in range(lo, hi + 1)])
+                        opens.append(r["open"])
+                yield pa.RecordBatch.from_arrays([pa.array(common, type=pa.binary()), pa.array([fp] * len(common), type=pa.binary()), pa.array(starts, type=pa.int32()), _lists_of(hashes, pa.binary()), pa.array(opens, type=pa.bool_())], names=["common", "fp", "p", "hashes", "open"])
 
     return run
 
@@ -512,18 +527,21 @@ def repeated_windows(texts: DataFrame, length: int = 400) -> DataFrame:
     left = decided.select("fp", F.explode("left").alias("x")).select("fp", "x.*")
     open_ = stored(left.filter("open").select("core").distinct(), "open")
     left = stored(left.join(open_, "core"), "left")
-    one = left.filter("not open").groupBy("core", "key").agg(F.min(F.struct("fp", "lo", "hi", "open")).alias("x")).select("x.*")
-    late = docs.select("fp", F.explode(F.arrays_zip("late", "late_lo", "late_hi")).alias("x")).select("fp", F.col("x.late").alias("core"), F.col("x.late_lo").alias("lo"), F.col("x.late_hi").alias("hi"), F.lit(True).alias("open"))
+    one = left.filter("not open").groupBy("core", "key").agg(F.min(F.struct("fp", "at", "lo", "hi", "open")).alias("x")).select("x.*")
+    late = docs.select("fp", F.explode(F.arrays_zip("late", "late_at", "late_lo", "late_hi")).alias("x")).select("fp", F.col("x.late").alias("core"), F.col("x.late_at").alias("at"), F.col("x.late_lo").alias("lo"), F.col("x.late_hi").alias("hi"), F.lit(True).alias("open"))
     both = stored(late.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "late")
-    late = late.join(both, "core").select("fp", "lo", "hi", "open")
-    ranges = left.filter("open").select("fp", "lo", "hi", "open").unionAll(late).unionAll(one).groupBy("fp").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("ranges"))
+    late = late.join(both, "core").select("fp", "at", "lo", "hi", "open")
+    ranges = left.filter("open").select("fp", "at", "lo", "hi", "open").unionAll(late).unionAll(one).groupBy("fp").agg(F.collect_list(F.struct("at", "lo", "hi", "open")).alias("ranges"))
     ranges = stored(ranges.join(docs.select("fp", "many"), "fp"), "ranges")
     own = long_.join(ranges.filter("not many").select("fp", "ranges"), "fp")
     # Of texts that occur several times one is taken.
     copies = long_.join(ranges.filter("many").select("fp", "ranges"), "fp").groupBy("fp").agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"))
-    merged = own.select("fp", "text", "ranges").unionAll(copies).mapInArrow(_windows(length), "hash binary, fp binary, p int, open boolean")
-    bare = docs.select("fp", F.explode(F.arrays_zip("hashes", "bare", "again")).alias("x")).select("x.hashes", "fp", "x.bare", ~F.col("x.again"))
-    windows = stored(merged.unionAll(bare), "windows", batch_rows=64)
+    merged = own.select("fp", "text", "ranges").unionAll(copies).mapInArrow(_windows(length), "common binary, fp binary, p int, hashes array<binary>, open boolean")
+    bare = docs.select("fp", F.explode(F.arrays_zip("hashes", "bare", "again")).alias("x")).select("x.hashes", "fp", "x.bare", F.array("x.hashes"), ~F.col("x.again"))
+    lots = stored(merged.unionAll(bare), "lots", batch_rows=64)
+    shared_lots = stored(lots.groupBy("common").agg(F.count("*").alias("n")).filter("n > 1").select("common"), "common")
+    windows = lots.join(shared_lots, "common").select("fp", "p", "open", F.posexplode("hashes").alias("k", "hash"))
+    windows = stored(windows.select("hash", "fp", (F.col("p") + F.col("k")).alias("p"), "open"), "windows")
     again = stored(windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "again")
     more = windows.filter("open").join(again, "hash").groupBy("fp").agg(F.collect_list("p").alias("p"))
     more = more.join(decided.select("fp", F.col("lo").alias("dlo"), F.col("hi").alias("dhi")), "fp", "full")
@@ -531,7 +549,7 @@ def repeated_windows(texts: DataFrame, length: int = 400) -> DataFrame:
     some = lambda *columns: F.concat(*(F.coalesce(c, F.array().cast("array<int>")) for c in columns))
     all_ = all_.select("fp", "many", some("lo", "dlo", "p").alias("lo"), some("hi", "dhi", "p").alias("hi")).filter("many or size(lo) > 0")
     out = stored(all_.select("fp", "many", F.when(~F.col("many"), F.col("lo")).alias("lo"), F.when(~F.col("many"), F.col("hi")).alias("hi")), "repeated")
-    for x in (docs, decided, open_, left, both, ranges, windows, again):
+    for x in (docs, decided, open_, left, both, ranges, lots, shared_lots, windows, again):
         discard(x)
     return out
 
@@ -563,23 +581,25 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), sha.alias("sha"), F.substring(F.unhex(sha), 1, 16).alias("fp"))
     texts = docs.select("fp", "text")
     found = repeated_windows(texts, length)
+    kind = df.select(F.col(id_col)).schema[0].dataType
 
     def run(batches):
         for batch in batches:
-            out = [(fp, *cut_out(text, lo, hi, length)) for fp, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("fp", "text", "lo", "hi")), strict=True)]
-            spans = pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in out], type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.binary()), pa.array([hashlib.sha256(x[1]).hexdigest() for x in out], type=pa.string()), spans], names=["fp", "kept", "spans"])
-
-    # A text that occurs once is in one row, so nothing is done twice here.
-    some = texts.join(found.filter("not many").select("fp", "lo", "hi"), "fp").mapInArrow(run, "fp binary, kept string, spans array<struct<start:bigint,end:bigint>>")
-    result = stored(some.unionAll(found.filter("many").select("fp", F.sha2(F.lit("").cast("binary"), 256), F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))), "removed")
-    n = F.octet_length("text").cast("long")
-    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    rows = docs.select("id", "fp", "sha", n.alias("n_bytes")).join(result, "fp", "left")
-    spans = F.when(F.col("kept").isNull(), F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(F.coalesce("spans", all_))
-    rows = rows.withColumn("spans", spans)
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    out = stored(rows.select(F.col("id").alias(id_col), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "spans"), "kept")
+            spans, kept = [], []
+            for n, sha, many, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "sha", "many", "text", "lo", "hi")), strict=True):
+                if many:
+                    rest, runs = b"", [(0, n)]
+                else:
+                    rest, runs = (None, []) if lo is None else cut_out(text, lo, hi, length)
+                kept.append(sha if rest is None else hashlib.sha256(rest).hexdigest())
+                spans.append(runs)
+            gone = [sum(b - a for a, b in runs) for runs in spans]
+            lists = pa.array([[{"start": a, "end": b} for a, b in runs] for runs in spans], type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(gone, type=pa.int64()), pa.array([len(x) for x in spans], type=pa.int64()), pa.array(kept, type=pa.string()), lists], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    # Texts go to Python only where something is cut out.
+    rows = docs.join(found, "fp", "left").select("id", "sha", F.octet_length("text").cast("long").alias("n_bytes"), "many", F.when(~F.col("many"), F.col("text")).alias("text"), "lo", "hi")
+    done = rows.mapInArrow(run, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    out = stored(done.withColumnRenamed("id", id_col), "kept", batch_rows=500)
     discard(found)
-    discard(result)
     return out
