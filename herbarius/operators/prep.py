@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from itertools import accumulate, combinations
+from operator import or_
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import joined_key, ratio
+from ..sources.landed import fresh_folder
 from .aggregates import before_slices, exact_quantiles, in_slices
 
 
@@ -113,21 +116,45 @@ def stratified_split(df: DataFrame, record: str, stratum: str, parts: dict[str,
     """``df`` with the part of each row, in the shares asked for within each stratum, by the
     percent rank of a seeded hash of the record.
 
-    The hash's upper bits cut a stratum into 4096 even slices; ranks count within slices and
-    start at what the slices before hold, so that no task sorts a stratum.
+    The hash's upper bits cut a stratum into 4096 even slices.  Their counts say in which of them a part
+    ends; only rows of those slices are ranked, for the first row of the next part, and all rows are
+    compared with these firsts, so that no row is shuffled for the split unless strata are many.
+    Both small tables are written to the shared folder, so that they are found once.
     """
     rows = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(record).cast("string"))).withColumn("__p", F.shiftright("__h", 52))
-    counts = rows.groupBy(stratum, "__p").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(stratum)
-    starts = counts.select(F.col(stratum).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(order.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__n").over(order).alias("__all"))
-    rank = F.rank().over(Window.partitionBy(stratum, "__p").orderBy("__h", record)) - 1
-    ranked = rows.withColumn("__r", rank).join(starts, F.col(stratum).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
-    share = F.coalesce(ratio(F.col("__s") + F.col("__r"), F.col("__all") - 1), F.lit(0.0))
-    edge, chosen = 0.0, None
-    for part, size in parts.items():
-        edge += size
-        chosen = F.when(share < edge, part) if chosen is None else chosen.when(share < edge, part)
-    return ranked.withColumn(name, chosen.otherwise(list(parts)[-1])).select(*df.columns, name)
+    edges = list(accumulate(parts.values()))[:-1]
+    if not edges:
+        return df.withColumn(name, F.lit(list(parts)[0]))
+    share = lambda place: F.coalesce(ratio(place, F.col("__all") - 1), F.lit(0.0))
+    order = Window.partitionBy("__g")
+    counts = rows.groupBy(F.col(stratum).alias("__g"), "__p").agg(F.count("*").alias("__n"))
+    counts = counts.select("__g", "__p", "__n", F.coalesce(F.sum("__n").over(order.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__n").over(order).alias("__all"))
+    ends = lambda edge: F.min(F.when(share(F.col("__s") + F.col("__n") - 1) >= edge, F.struct("__p", "__s")))
+    slices = _kept(counts.groupBy("__g").agg(F.first("__all").alias("__all"), *(ends(e).alias(f"__q{i}") for i, e in enumerate(edges))), "slices")
+
+    met = rows.select(F.col(stratum).alias("__k"), "__h", "__p", F.col(record).alias("__id")).join(slices, F.col("__k").eqNullSafe(F.col("__g"))).drop("__k")
+    here = [F.coalesce(F.col("__p") == F.col(f"__q{i}.__p"), F.lit(False)) for i in range(len(edges))]
+    ranked = met.filter(reduce(or_, here)).withColumn("__r", F.rank().over(Window.partitionBy("__g", "__p").orderBy("__h", "__id")) - 1)
+    firsts = [F.min(F.when(here[i] & (share(F.col(f"__q{i}.__s") + F.col("__r")) >= e), F.struct("__h", "__id"))).alias(f"__f{i}") for i, e in enumerate(edges)]
+    cuts = _kept(ranked.groupBy("__g").agg(*(F.first(f"__q{i}.__p").alias(f"__q{i}") for i in range(len(edges))), *firsts), "cuts")
+
+    def before(i: int):
+        """Whether a row comes before the end of part i; without that slice or row, all of it does."""
+        at, end, first = F.col("__p"), F.col(f"__q{i}"), F.col(f"__f{i}")
+        inside = (at == end) & (first.isNull() | (F.struct("__h", F.col(record).alias("__id")) < first))
+        return end.isNull() | (at < end) | inside
+
+    chosen = F.lit(list(parts)[-1])
+    for i, part in reversed(list(enumerate(list(parts)[:-1]))):
+        chosen = F.when(before(i), part).otherwise(chosen)
+    return rows.join(cuts, F.col(stratum).eqNullSafe(F.col("__g")), "left").withColumn(name, chosen).select(*df.columns, name)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as a table whose size Spark knows."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:

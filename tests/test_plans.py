@@ -149,6 +149,21 @@ def test_split_and_scaling(spark):
     assert [r.v for r in prep.scaled(flat, linear=["v"]).collect()] == [None, None]
 
 
+def test_split_moves_no_rows(spark):
+    rows = [(i % 900, None if i % 7 == 0 else "ab"[i % 2] if i % 50 else f"rare{i}", float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    sizes = {"a": 0.7, "b": 0.15, "c": 0.15}
+    split = prep.stratified_split(df, "id", "g", sizes)
+    assert "Exchange hashpartitioning" not in split._jdf.queryExecution().executedPlan().toString()
+    hashed = [(r.g, r.h, r.id, r.x) for r in df.select("*", F.xxhash64(F.lit(42), F.col("id").cast("string")).alias("h")).collect()]
+    want = {}
+    for g, h, i, x in hashed:
+        group = [(b, c) for a, b, c, _ in hashed if a == g]
+        share = sum(o < (h, i) for o in group) / (len(group) - 1) if len(group) > 1 else 0.0
+        want[x] = "a" if share < 0.7 else "b" if share < 0.85 else "c"
+    assert {r.x: r.part for r in split.collect()} == want and set(want.values()) == set(sizes)
+
+
 def test_not_in_on_empty(spark):
     a = spark.createDataFrame([(1,), (None,)], "k int")
     assert relational.not_in_values(a, "k", spark.createDataFrame([], "x int"), "x").count() == 2
