@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.landed import stored_table
 from .prep import stratified_split
 
 #: Shares of the parts, and weights of the four qualities in the overall one (fixed values).
@@ -35,15 +41,68 @@ def classifiers(label: str, features: str = "features", weight: str = "__weight"
     }
 
 
-def _pipeline(columns: list[str], last) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), last])
+def _pipeline(columns: list[str], *last) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), *last])
+
+
+#: Rows for each different row of features from which trees are fitted on the latter.
+MANY = 8
 
 
 def trained(train: DataFrame, label: str, columns: list[str], kind: str, trees: int = 500) -> PipelineModel:
-    """A fitted pipeline: columns assembled and standardised, then the regressor.  Rows with a null are skipped."""
+    """A fitted pipeline: columns assembled and standardised, then the regressor.  Rows with a null are skipped.
+
+    A tree sees of rows with equal features only how many there are and their mean label, so where rows are ``MANY``
+    times the different ones, forests and boosting are fitted on these (:func:`_trained_on_cells`).
+    """
+    if kind != "linear":
+        known = train.na.drop(subset=columns)
+        rows, cells = known.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*columns))).first()
+        if 0 < cells * MANY <= rows:
+            return _trained_on_cells(known, label, columns, kind, trees)
     return _pipeline(columns, regressors(label, trees=trees)[kind]).fit(train)
 
 
+def _trained_on_cells(known: DataFrame, label: str, columns: list[str], kind: str, trees: int) -> PipelineModel:
+    """Trees over different rows of features, weighed by their rows.
+
+    A forest still draws its rows one by one: each row has a Poisson weight in each tree, as Spark's own bagging gives
+    it, and only then are weights and labels summed.  What a tree drew twice or more are two instances, so
+    that the least number of instances in a node means the same.  Each tree is a forest of one; the model's last stage is their mean.
+    """
+    ready = _pipeline(columns).fit(known)
+    rows = known.select(*columns, F.col(label).cast("double").alias("__y"))
+    # A missing label makes its cell's missing, which the regressor refuses.
+    mean = lambda x: F.when(F.count("__y") == F.count("*"), x).alias(label)
+    if kind != "forest":
+        cells = stored_table(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("__weight"), mean(F.avg("__y"))), "cells")
+        return PipelineModel([*ready.stages, regressors(label, trees=trees)[kind].setWeightCol("__weight").fit(ready.transform(cells))])
+
+    forest = regressors(label, trees=1)["forest"]
+    seed = forest.getSeed()
+    each = rows.withColumn("__r", F.rand(seed)).withColumn("__tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = each.withColumn("__u", F.shiftrightunsigned(F.xxhash64("__r", "__tree"), 11) / F.lit(float(1 << 53)))
+    times, chance, below = None, math.exp(-1), 0.0
+    for k in range(18):
+        below, chance = below + chance, chance / (k + 1)
+        times = F.when(F.col("__u") < below, k) if times is None else times.when(F.col("__u") < below, k)
+    times = times.otherwise(18)
+    drawn = drawn.withColumn("__k", times).filter("__k > 0")
+    cells = drawn.groupBy("__tree", *columns).agg(F.sum("__k").cast("double").alias("__w"), mean(F.sum(F.col("__k") * F.col("__y")) / F.sum("__k")))
+    halves = F.explode(F.array_repeat(F.col("__w") / F.least("__w", F.lit(2.0)), F.least("__w", F.lit(2.0)).cast("int")))
+    cells = stored_table(cells.select("__tree", *columns, label, halves.alias("__weight")).sortWithinPartitions("__tree"), "cells")
+
+    def one(i: int):
+        tree = regressors(label, trees=1)["forest"].setBootstrap(False).setWeightCol("__weight").setPredictionCol(f"__tree{i}").setSeed(seed + i)
+        return tree.fit(ready.transform(cells.filter(F.col("__tree") == i)))
+
+    with ThreadPool(min(trees, 8)) as pool:
+        grown = pool.map(inheritable_thread_target(known.sparkSession)(one), range(trees))
+    names = [f"__tree{i}" for i in range(trees)]
+    average = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(names)}), ({' + '.join(names)}) / {trees} AS prediction FROM __THIS__")
+    return PipelineModel([*ready.stages, *grown, average])
+
+
 def evaluated(df: DataFrame, record: str, stratum: str, label: str, columns: list[str], kind: str, trees: int = 500, parts: dict[str, float] = PARTS) -> tuple[PipelineModel, DataFrame]:
     """(the model fitted on the first part of a stratified split, its metrics on each other part)."""
     split = stratified_split(df, record, stratum, parts, name="__part")
@@ -61,11 +120,13 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, by: str | Non
 
 def importances(model: PipelineModel, columns: list[str]) -> list[tuple[str, float, float]]:
     """(column, importance, its deviation over the trees), largest first, of a fitted tree pipeline."""
-    forest = model.stages[-1]
-    each = [t.featureImportances.toArray().tolist() for t in forest.trees]
+    forests = [s for s in model.stages if hasattr(s, "featureImportances")]
+    each = [t.featureImportances.toArray().tolist() for f in forests for t in f.trees]
+    whole = np.sum([f.featureImportances.toArray() for f in forests], axis=0)
+    whole = (whole / (whole.sum() or 1.0)).tolist()
     mean = [sum(x) / len(each) for x in zip(*each, strict=True)]
     deviation = [(sum((v - m) ** 2 for v in x) / len(each)) ** 0.5 for x, m in zip(zip(*each, strict=True), mean, strict=True)]
-    return sorted(zip(columns, forest.featureImportances.toArray().tolist(), deviation, strict=True), key=lambda x: (-x[1], x[0]))
+    return sorted(zip(columns, whole, deviation, strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def overall_quality(df: DataFrame, train: DataFrame, labels: list[str], columns: list[str], kind: str = "forest", trees: int = 10, weights: tuple[float, ...] = OVERALL) -> DataFrame:

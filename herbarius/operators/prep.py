@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import joined_key, ratio
-from ..sources.landed import fresh_folder
+from ..sources.landed import stored_table
 from .aggregates import before_slices, exact_quantiles, in_slices
 
 
@@ -130,13 +130,13 @@ def stratified_split(df: DataFrame, record: str, stratum: str, parts: dict[str,
     counts = rows.groupBy(F.col(stratum).alias("__g"), "__p").agg(F.count("*").alias("__n"))
     counts = counts.select("__g", "__p", "__n", F.coalesce(F.sum("__n").over(order.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__n").over(order).alias("__all"))
     ends = lambda edge: F.min(F.when(share(F.col("__s") + F.col("__n") - 1) >= edge, F.struct("__p", "__s")))
-    slices = _kept(counts.groupBy("__g").agg(F.first("__all").alias("__all"), *(ends(e).alias(f"__q{i}") for i, e in enumerate(edges))), "slices")
+    slices = stored_table(counts.groupBy("__g").agg(F.first("__all").alias("__all"), *(ends(e).alias(f"__q{i}") for i, e in enumerate(edges))), "slices")
 
     met = rows.select(F.col(stratum).alias("__k"), "__h", "__p", F.col(record).alias("__id")).join(slices, F.col("__k").eqNullSafe(F.col("__g"))).drop("__k")
     here = [F.coalesce(F.col("__p") == F.col(f"__q{i}.__p"), F.lit(False)) for i in range(len(edges))]
     ranked = met.filter(reduce(or_, here)).withColumn("__r", F.rank().over(Window.partitionBy("__g", "__p").orderBy("__h", "__id")) - 1)
     firsts = [F.min(F.when(here[i] & (share(F.col(f"__q{i}.__s") + F.col("__r")) >= e), F.struct("__h", "__id"))).alias(f"__f{i}") for i, e in enumerate(edges)]
-    cuts = _kept(ranked.groupBy("__g").agg(*(F.first(f"__q{i}.__p").alias(f"__q{i}") for i in range(len(edges))), *firsts), "cuts")
+    cuts = stored_table(ranked.groupBy("__g").agg(*(F.first(f"__q{i}.__p").alias(f"__q{i}") for i in range(len(edges))), *firsts), "cuts")
 
     def before(i: int):
         """Whether a row comes before the end of part i; without that slice or row, all of it does."""
@@ -150,13 +150,6 @@ def stratified_split(df: DataFrame, record: str, stratum: str, parts: dict[str,
     return rows.join(cuts, F.col(stratum).eqNullSafe(F.col("__g")), "left").withColumn(name, chosen).select(*df.columns, name)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as a table whose size Spark knows."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """``column, information``: bits that each column, in quantile bins, tells of the target in such
     bins; rows with a null in either are left out of a pair."""
