@@ -83,6 +83,9 @@ def activity(df: DataFrame, who: str, record: str, species: str, date: str, pref
 def identifications(df: DataFrame, who: str, author: str, species: str, observed: str, identified: str) -> DataFrame:
     """Profile of those who identify other people's records, in one pass over them."""
     rows = df.filter(F.col(who) != F.col(author)).withColumns({"__d": to_date(observed), "__lag": F.abs(days_between(observed, identified))}).withColumns({"__y": F.year("__d"), "__m": F.month("__d")})
+    # Undealt rows meet nearly every group in every task.  By who and year each task has groups of its own, as many as fit
+    # Spark's advisory size of a partition, and a frequent who's rows go to several.
+    rows = rows.select(who, species, "__y", "__m", "__lag").hint("rebalance", F.col(who), F.col("__y"))
     counts, of = _by_sets(rows, who, {"species": [species], "month": ["__y", "__m"], "year": ["__y"]}, F.sum("__lag").alias("__s"), F.count("__lag").alias("__n"))
     c = F.col("__c")
     return counts.groupBy(who).agg(

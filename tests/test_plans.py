@@ -411,3 +411,12 @@ def test_columns(spark):
     assert [r[0] for r in df.select(value_map("b", {"x": 1, "q": 2})).collect()] == [1, None]
     shares = aggregates.row_shares(spark.createDataFrame([(1.0, 3.0), (None, 2.0), (0.0, 0.0)], "p double, q double"), ["p", "q"]).collect()
     assert [(r["sum"], r.p_per, r.q_per) for r in shares] == [(4.0, 0.25, 0.75), (2.0, None, 1.0), (0.0, None, None)]
+
+
+def test_rows_of_identifiers_are_dealt_before_they_are_counted(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("w"), F.col("id") % 50).alias("who"), F.lit("x").alias("author"), (F.col("id") % 3).cast("string").alias("species"), F.lit("2024-05-03").alias("seen"), F.lit("2024-05-10").alias("named"))
+    found = aggregates.identifications(rows.repartition(4), "who", "author", "species", "seen", "named")
+    got = found.collect()
+    assert len(got) == 50 and all((r.id_count, r.avg_id_time, r.id_avg_yearly_obs) == (80, 7.0, 80.0) for r in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("RebalancePartitions")  # an operator stands above its input
