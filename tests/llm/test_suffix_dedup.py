@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from herbarius.llm import suffix_dedup
@@ -87,3 +88,39 @@ def test_ranks_are_those_of_sorted_suffixes(spark):
     assert len(ranks) == len(suffixes)
     for (a, s, i), (b, t, j) in zip(suffixes, suffixes[1:], strict=False):
         assert ranks[s, i] == ranks[t, j] if a == b else ranks[s, i] < ranks[t, j]
+
+
+def test_equal_texts_are_parsed_once_and_blocks_meet(spark, monkeypatch):
+    parsed, store = [], suffix_dedup.stored
+
+    def stored(df, *args, **more):
+        out = store(df, *args, **more)
+        if "cores" in out.columns:
+            parsed.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3, raising=False)
+    r = random.Random(9)
+    texts = [x := " ".join(str(r.random()) for _ in range(60)), x[:700] + " other " + x[400:], x[:450], "short"] + [x] * 20
+    assert got(spark, texts) == by_hand(texts, 400)
+    assert parsed and max(parsed) == 3
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_neighbours_and_groups_over_batches(size):
+    r = random.Random(size)
+    chains = sorted([r.randint(1, 2) for _ in range(r.randint(1, 9))] for _ in range(40))
+    at = [k + (k > 20) * 5 for k in range(40)]  # two blocks
+    table = pa.table({"at": at, "own": [k % 7 != 0 for k in range(40)], "rank": list(range(100, 140)), "many": [k % 11 == 3 for k in range(40)], "chain": pa.array(chains, type=pa.list_(pa.int64()))})
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    want = {}
+    for k, x in enumerate(chains):
+        beside = [chains[j] for j in (k - 1, k + 1) if 0 <= j < 40 and abs(at[j] - at[k]) == 1]
+        if k % 7:
+            want[100 + k] = len(x) if k % 11 == 3 else max(common(x, y) for y in beside)
+    rows = [(x["rank"], x["t"]) for b in suffix_dedup._common(iter(table.to_batches(size))) for x in b.to_pylist()]
+    assert len(rows) == len(want) and dict(rows) == want
+    keys = sorted(r.choices(range(8), k=40))
+    groups = [b.column("s").to_pylist() for b in suffix_dedup._whole(iter(pa.table({"s": keys}).to_batches(size)))]
+    assert sum(groups, []) == keys and all(a[-1] != b[0] for a, b in zip(groups, groups[1:], strict=False))
