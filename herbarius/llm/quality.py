@@ -185,8 +185,10 @@ def fit(
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).filter("label = most").select("id", "label")
     sample = stored(usable.orderBy(F.xxhash64("id"), "id").limit(max_labelled), "sample")
-    views = stored(_views(df, id_col, text_col, lang_col, source_col, size_col).withColumn("h", F.xxhash64("text_view", "metadata")), "views")
-    known = views.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by(F.struct("text_view", "metadata"), "h").alias("x")).select("id", "label", "x.*").orderBy("id").collect()
+    # Labels are joined once: what the executors get of a join stays with them until the driver collects its garbage.
+    views = _views(df, id_col, text_col, lang_col, source_col, size_col).withColumn("h", F.xxhash64("text_view", "metadata"))
+    views = stored(views.join(F.broadcast(sample), "id", "left"), "views")
+    known = views.filter("label is not null").groupBy("id", "label").agg(F.min_by(F.struct("text_view", "metadata"), "h").alias("x")).select("id", "label", "x.*").orderBy("id").collect()
     text, meta = _arrays(known)
     y = np.array([float(r["label"]) for r in known])
     if len(set(y)) < 2:
@@ -198,7 +200,7 @@ def fit(
     data = [[x[train]] for x in (text, meta)]
     targets = [[y[train]], [y[train]]]
     models = [fit_logistic(x[0], t[0]) for x, t in zip(data, targets, strict=True)]
-    open_ = views.filter("id is not null").join(F.broadcast(sample.select("id")), "id", "left_anti")
+    open_ = views.filter("id is not null and label is null")
     taken: set = set()
     for _ in range(rounds):
         for own in (0, 1):
@@ -208,11 +210,13 @@ def fit(
                 sure_of = F.col("p") >= sure if label else F.col("p") <= 1 - sure
                 # Documents of equal views count once, by their smallest id.
                 unlike = scored.filter(sure_of).groupBy("h").agg(F.min("id").alias("id"), F.max("p").alias("p"))
-                best = unlike.orderBy(F.desc("p") if label else F.asc("p"), "h").limit(grow + len(taken)).select("h", "id").collect()
+                best = unlike.orderBy(F.desc("p") if label else F.asc("p"), "h").limit(grow + len(taken)).select("h", F.xxhash64("id").alias("k")).collect()
                 new = [r for r in best if (own, r["h"]) not in taken][:grow]
                 taken.update((own, r["h"]) for r in new)
                 if new:
-                    rows = open_.join(F.broadcast(df.sparkSession.createDataFrame(new, open_.select("h", "id").schema)), ["h", "id"]).dropDuplicates(["h"]).orderBy("h").collect()
+                    # At most ``grow`` literals; all rows of an h have its views.
+                    chosen = F.col("h").isin([r["h"] for r in new]) & F.xxhash64("id").isin([r["k"] for r in new])
+                    rows = open_.filter(chosen).select("h", "text_view", "metadata").dropDuplicates(["h"]).orderBy("h").collect()
                     data[1 - own].append(_arrays(rows)[1 - own])
                     targets[1 - own].append(np.full(len(rows), label))
         models = [fit_logistic(np.concatenate(x), np.concatenate(t)) for x, t in zip(data, targets, strict=True)]

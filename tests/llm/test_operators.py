@@ -562,6 +562,15 @@ def test_quality_of_one_class_warns(docs, labels):
         assert quality.quality_scores(docs, labels.filter("quality = 1")).filter("not keep").count() == 0
 
 
+def test_quality_sends_labels_once(docs, labels, monkeypatch):
+    """Each table that is sent whole stays with the executors until the driver collects its garbage."""
+    sent, made = [], []
+    monkeypatch.setattr(quality.F, "broadcast", lambda df, f=quality.F.broadcast: sent.append(df) or f(df))
+    monkeypatch.setattr(type(docs.sparkSession), "createDataFrame", lambda *a, f=type(docs.sparkSession).createDataFrame, **b: made.append(a) or f(*a, **b))
+    assert quality.fit(docs, labels) is not None
+    assert len(sent) == 1 and not made
+
+
 def test_toxicity_held_out(docs, labels):
     got = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
