@@ -124,3 +124,13 @@ def test_neighbours_and_groups_over_batches(size):
     keys = sorted(r.choices(range(8), k=40))
     groups = [b.column("s").to_pylist() for b in suffix_dedup._whole(iter(pa.table({"s": keys}).to_batches(size)))]
     assert sum(groups, []) == keys and all(a[-1] != b[0] for a, b in zip(groups, groups[1:], strict=False))
+
+
+def test_tables_without_dictionaries(spark):
+    """Building them for names and hashes is given up after each file's first megabyte at best."""
+    import pyarrow.dataset as ds
+
+    out = suffix_dedup.stored(spark.range(1000).selectExpr("id % 10 as x"), "plain")
+    files = [f for f in ds.dataset(out._stored_at.removeprefix("file:"), format="parquet").get_fragments() if f.metadata.num_rows]
+    assert files and not any("DICTIONARY" in e for f in files for e in f.metadata.row_group(0).column(0).encodings)
+    assert spark.conf.get("parquet.enable.dictionary", None) is None and sorted({r.x for r in out.collect()}) == list(range(10))
