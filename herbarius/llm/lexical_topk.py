@@ -212,12 +212,12 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Trees of all rows of ``df``, in shards that follow its partitions; no row is moved."""
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    postings = stored(rows.mapInArrow(_shards, f"ids array<{kind}>, terms array<string>, starts array<int>, docs array<int>, tf array<int>, n array<bigint>"), "postings")
+    postings = stored(rows.mapInArrow(_shards, f"ids array<{kind}>, terms array<string>, starts array<int>, docs array<int>, tf array<int>, n array<bigint>"), "postings", group_rows=1)
     n = postings.select(F.explode("n").alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     held = postings.select("terms", F.expr("transform(sequence(1, size(starts) - 1), i -> starts[i] - starts[i - 1])").alias("df")).filter(F.size("terms") > 0)
     held = held.select(F.explode(F.arrays_zip("terms", "df")).alias("x"))
     frequencies = stored(held.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df")), "frequencies")
-    shards = stored(postings.filter(F.size("terms") > 0).mapInArrow(_trees(n["documents"], n["tokens"]), f"ids array<{kind}>, terms array<string>, starts array<int>, impacts array<int>, bits binary"), "shards", batch_rows=8)
+    shards = stored(postings.filter(F.size("terms") > 0).mapInArrow(_trees(n["documents"], n["tokens"]), f"ids array<{kind}>, terms array<string>, starts array<int>, impacts array<int>, bits binary"), "shards", batch_rows=1, group_rows=1)
     discard(postings)
     return LexicalIndex(shards, frequencies, n["documents"], n["tokens"])
 
@@ -290,7 +290,7 @@ def search(index: LexicalIndex, items: DataFrame, k: int = 20, item_col: str = "
         known = {r["term"]: r["df"] for r in index.frequencies.join(spark.createDataFrame([(t,) for t in wanted], "term string"), "term").collect()} if wanted else {}
         weights = {t: math.floor(1000 * math.log((2 * index.documents + 2) / (2 * df + 1))) for t, df in known.items()}
         numbered = [(i, {t: n for t, n in own.items() if weights.get(t, 0) > 0}) for i, (_, own) in enumerate(block)]
-        best = stored(index.shards.mapInArrow(_searched([x for x in numbered if x[1]], weights, k), f"item bigint, id {of_id}, score bigint"), "best", batch_rows=4)
+        best = stored(index.shards.mapInArrow(_searched([x for x in numbered if x[1]], weights, k), f"item bigint, id {of_id}, score bigint"), "best", batch_rows=1)
         rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last()))
         ranked = best.select("item", rank.alias("rank"), "id", "score").filter(F.col("rank") <= k)
         names = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(block)], f"item bigint, name {kind.simpleString()}")

@@ -4,10 +4,13 @@ import collections
 import math
 import random
 import re
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from herbarius.llm import lexical_topk
 
@@ -111,3 +114,19 @@ def test_best_documents_carry_from_shard_to_shard(monkeypatch):
     for r in got.to_pylist():
         found[r["item"]].append((r["id"], r["score"]))
     assert sorted(((i, rank, d, s) for i, x in found.items() for rank, (d, s) in enumerate(x, 1)), key=str) == by_hand(rows, items, 20)
+
+
+def test_a_row_group_has_one_shard(spark, monkeypatch):
+    groups, plain = {}, lexical_topk.stored
+
+    def stored(df, name, **more):
+        out = plain(df, name, **more)
+        files = [pq.ParquetFile(urlparse(f).path).metadata for f in out.inputFiles()]
+        groups[name] = sorted(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups))
+        return out
+
+    monkeypatch.setattr(lexical_topk, "stored", stored)
+    rows = spark.range(3, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("concat('t', id, repeat(' word', 1700000))").alias("text"))
+    index = lexical_topk.build_index(rows)
+    assert groups["postings"] == groups["shards"] == [1, 1, 1] and (index.documents, index.tokens) == (3, 5_100_003)
+    index.discard()
