@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +195,7 @@ def token_links(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     the pairs of its first, its second id).
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    texts = stored(rows.mapInPandas(_blocks(a_path, b_path), _TEXTS), "aligned", batch_rows=1000)
+    texts = stored(rows.mapInPandas(_blocks(a_path, b_path), _TEXTS), "aligned", batch_rows=1000, group_rows=1)
     held = texts.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x"))
     counts = stored(held.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n")), "counts")
     sides = counts.withColumns({"a": F.shiftright("pair", SHIFT), "b": F.col("pair").bitwiseAND((1 << SHIFT) - 1)})
@@ -217,26 +218,26 @@ def align_tokens(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     without an id are documents as well.  Other columns are left out.
     """
     texts, pairs = token_links(df, a_path, b_path, id_col, text_col)
-    held = texts.select("block", F.posexplode("pairs").alias("at", "pair"))
-    known = held.join(pairs, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n", "best_a", "best_b"))).alias("known"))
-    known = known.select("block", *(F.col(f"known.{c}").alias(c) for c in ("n", "best_a", "best_b")))
+    held = texts.select(F.col("block").alias("of"), F.posexplode("pairs").alias("at", "pair"))
+    # What is known of a pair as one number; a block's come to it as rows, which are sorted on disk where they are many.
+    code = F.shiftleft("n", 2).bitwiseOR(F.when(F.col("best_a"), 2).otherwise(0)).bitwiseOR(F.when(F.col("best_b"), 1).otherwise(0))
+    known = held.join(pairs.select("pair", code.alias("code")), "pair").select("of", "at", "code")
     ids, counts = df.select(F.col(id_col)).schema[0].dataType.simpleString(), ["n_a", "n_b", "n_groups", "n_links"]
     sums = ["n_best", "count_sum", "n_best_b"]
 
-    def score(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                n, best_a, best_b = (np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in (row.n, row.best_a, row.best_b))
-                at, often, cuts = np.asarray(row.pair, dtype=np.int64), np.asarray(row.often, dtype=np.int64), np.asarray(row.held, dtype=np.int64)
-                out = {"id": row.ids, **{c: getattr(row, c) for c in [*counts, "groups_sha256"]}}
-                for c, of in zip(sums, (best_a, n, best_b), strict=True):
-                    total = np.concatenate([[0], np.cumsum(often * of[at])])
-                    out[c] = total[cuts[1:]] - total[cuts[:-1]]
-                yield pd.DataFrame(out)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        code = np.zeros(right.num_rows, dtype=np.int64)
+        code[right.column("at").to_numpy()] = right.column("code").to_numpy()
+        lists = {c: left.column(c).combine_chunks()[0].values for c in left.column_names if c != "block"}
+        at, often, cuts = (lists[c].to_numpy() for c in ("pair", "often", "held"))
+        for c, of in zip(sums, (code >> 1 & 1, code >> 2, code & 1), strict=True):
+            total = np.concatenate([[0], np.cumsum(often * of[at])])
+            lists[c] = pa.array(total[cuts[1:]] - total[cuts[:-1]])
+        return pa.table({c: lists[c] for c in ["ids", *counts, *sums, "groups_sha256"]}).rename_columns({"ids": "id"})
 
     lists = texts.select("block", "ids", *counts, "groups_sha256", "held", "pair", "often")
-    scored = lists.join(known, "block", "left").mapInPandas(score, "id string, " + ", ".join(f"{c} bigint" for c in [*counts, *sums]) + ", groups_sha256 string")
-    out = stored(scored.select(F.col("id").cast(ids).alias(id_col), *counts, "n_best", "count_sum", "groups_sha256", "n_best_b"), "links", batch_rows=8)
+    scored = lists.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(score, "id string, " + ", ".join(f"{c} bigint" for c in [*counts, *sums]) + ", groups_sha256 string")
+    out = stored(scored.select(F.col("id").cast(ids).alias(id_col), *counts, "n_best", "count_sum", "groups_sha256", "n_best_b"), "links", batch_rows=10_000)
     for x in (texts, pairs):
         discard(x)
     return out

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import random
+from urllib.parse import urlparse
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from herbarius.llm import token_align
 
@@ -117,3 +120,21 @@ def test_other_vocabularies_go_to_their_library(tmp_path, name):
 
     library = Tokenizer.from_file(str(changed))
     assert token_align.ByteBpe(str(changed)).encode(["abc def"]) == [library.encode("abc def", add_special_tokens=False).ids]
+
+
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(token_align, "BLOCK", 50)
+    groups, plans, plain = {}, {}, token_align.stored
+
+    def stored(df, name, **more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        out = plain(df, name, **more)
+        files = [pq.ParquetFile(urlparse(f).path).metadata for f in out.inputFiles()]
+        groups[name] = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+        return out
+
+    monkeypatch.setattr(token_align, "stored", stored)
+    rows = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("some words that go on").alias("text"))
+    assert token_align.align_tokens(rows, A, B).filter("n_best > 0").count() == 40
+    assert len(groups["aligned"]) > 1 and set(groups["aligned"]) == {1}
+    assert "collect_list" not in plans["links"]
