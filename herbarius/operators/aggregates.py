@@ -142,12 +142,11 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
     """One row with ``edges``: the exact quantiles of a column without its nulls, linear between
     neighbours; empty for no values.  Only the values at the ranks asked for leave their slices."""
     counts = running_counts(df.filter(F.col(column).isNotNull()), column)
-    at = lambda i, x: F.struct(F.lit(i).alias("i"), x.cast("long").alias("at"))
+    # Compared with each rank as it is: a lambda over the ranks isn't compiled, and there is a row for each different value.
     places = [F.lit(float(p)) * (F.col("__all") - 1) for p in shares]
-    wanted = F.array(*(at(2 * i + k, f(x)) for i, x in enumerate(places) for k, f in ((0, F.floor), (1, F.ceil))))
-    inside = F.filter(wanted, lambda w: (w["at"] >= F.col("__before")) & (w["at"] < F.col("__before") + F.col("__n")))
-    hits = counts.select(F.col("__v").cast("double").alias("v"), "__all", F.explode(inside).alias("w")).select("v", "__all", "w.i")
-    row = hits.agg(F.max("__all").alias("n"), *(F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"v{i}") for i in range(2 * len(shares))))
+    ranks = [f(x).cast("long") for x in places for f in (F.floor, F.ceil)]
+    at = lambda r: F.when((r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")), F.col("__v").cast("double"))
+    row = counts.agg(F.max("__all").alias("n"), *(F.max(at(r)).alias(f"v{i}") for i, r in enumerate(ranks)))
 
     def edge(i: int, p: float):
         place = F.lit(float(p)) * (F.col("n") - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import accumulate, combinations
-from operator import or_
+from operator import add, or_
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -93,11 +93,22 @@ def factorized(df: DataFrame, column: str, rare_below: float = 0.01, rare: str =
     return df.join(table, F.col(column).eqNullSafe(F.col("__k"))).drop("__k")
 
 
-def quantile_bins(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:
-    """``df`` with the bin (from 0) of a column between its exact quantiles; equal edges are one."""
-    edges = exact_quantiles(df, column, [i / bins for i in range(bins + 1)]).select(F.array_distinct("edges").alias("__e"))
-    inner = F.size(F.filter(F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 2, F.lit(0))), lambda x: x < F.col(column)))
-    return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), inner)).drop("__e")
+#: Edges that are compared one by one, which Spark compiles; more would make more code than the JVM compiles, and go through a lambda.
+COMPARED = 64
+
+
+def quantile_bins(df: DataFrame, column: str, bins: int, name: str, source: DataFrame | None = None) -> DataFrame:
+    """``df`` with the bin (from 0) of a column between its exact quantiles; equal edges are one.
+
+    The quantiles are taken of ``source``, if given, which has the column's values without what ``df`` is joined to.
+    """
+    edges = exact_quantiles(df if source is None else source, column, [i / bins for i in range(bins + 1)]).select(F.array_distinct("edges").alias("__e"))
+    edges = edges.select(F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 2, F.lit(0))).alias("__e"))
+    if bins <= COMPARED:
+        below = reduce(add, (F.when(F.get("__e", F.lit(i)) < F.col(column), 1).otherwise(0) for i in range(bins - 1)), F.lit(0))
+    else:
+        below = F.size(F.filter("__e", lambda x: x < F.col(column)))
+    return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), below)).drop("__e")
 
 
 def strata(df: DataFrame, space: str, species: str, time: str, space_bins: int = 10, time_bins: int = 12, rare_below: float = 0.01, name: str = "stratum") -> DataFrame:
@@ -153,11 +164,13 @@ def stratified_split(df: DataFrame, record: str, stratum: str, parts: dict[str,
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """``column, information``: bits that each column, in quantile bins, tells of the target in such
     bins; rows with a null in either are left out of a pair."""
-    rows = quantile_bins(df.select(*columns, target), target, bins, "__t")
+    known = df.select(*columns, target)
+    rows = quantile_bins(known, target, bins, "__t", known)
     for c in columns:
-        rows = quantile_bins(rows, c, bins, f"__b_{c}")
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__b_{c}").alias("b")) for c in columns])
-    cells = rows.select("__t", F.explode(entries).alias("x")).select("__t", "x.column", "x.b").filter("__t is not null and b is not null").groupBy("column", "b", "__t").agg(F.count("*").cast("double").alias("c"))
-    # At most bins * bins cells a column, so these windows are small.
+        rows = quantile_bins(rows, c, bins, f"__b_{c}", known)
+    pairs = rows.select("__t", *(F.col(f"__b_{c}").alias(c) for c in columns)).unpivot("__t", columns, "column", "b")
+    cells = pairs.filter("__t is not null and b is not null").groupBy("column", "b", "__t").agg(F.count("*").cast("double").alias("c"))
+    # At most bins * bins cells a column, so these windows are small, and a column's cells meet in one task for all of them.
+    cells = cells.repartition("column")
     of = lambda *by: F.sum("c").over(Window.partitionBy("column", *by))
     return cells.select("column", (F.col("c") / of() * F.log2(F.col("c") * of() / (of("b") * of("__t")))).alias("i")).groupBy("column").agg(F.sum("i").alias("information"))

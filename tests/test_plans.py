@@ -370,6 +370,38 @@ def test_strata_and_codes(spark):
     assert [round(e, 9) for e in edges] == [1.0, 1.75, 2.3, 7.0, 30.0]
 
 
+def test_mutual_information_compares_edges_without_lambdas(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(r.choice([None, 1.0, 1.0, 2.0, 5.0]), r.choice([None, float(i % 7), 3.5]), r.choice([None, float(i)])) for i in range(300)]
+    rows += rows[:90] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+
+    def bins(values, n):
+        known = sorted(v for v in values if v is not None)
+        places = [(len(known) - 1) * i / n for i in range(n + 1)]
+        edges = sorted({known[int(p)] + (p - int(p)) * (known[math.ceil(p)] - known[int(p)]) for p in places})
+        return [None if v is None else sum(e < v for e in edges[1:-1]) for v in values]
+
+    a, b, y = (bins(list(x), 4) for x in zip(*rows, strict=True))
+    found = prep.mutual_information(df, ["a", "b"], "y", 4)
+    got = {x.column: x.information for x in found.collect()}
+    for name, x in (("a", a), ("b", b)):
+        pairs = [p for p in zip(x, y, strict=True) if None not in p]
+        n, left, right = len(pairs), [p[0] for p in pairs], [p[1] for p in pairs]
+        assert got[name] == pytest.approx(sum(c / n * math.log2(c * n / (left.count(p[0]) * right.count(p[1]))) for p in set(pairs) for c in (pairs.count(p),)))
+    assert prep.mutual_information(df.filter("false"), ["a", "b"], "y").collect() == []
+    # The only lambdas left are over the edges of each column, not over rows.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("lambda" in x for x in plan.splitlines()) <= 3
+    # One by one or through a lambda, edges are compared alike, NaN, infinite and null values included.
+    odd = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, None, -0.0, 0.0, float("nan"), float("inf"), float("-inf"), 7.5)], "x double")
+    either = []
+    for most in (64, 0):
+        monkeypatch.setattr(prep, "COMPARED", most)
+        either.append([sorted((repr(x.x), x.bin) for x in prep.quantile_bins(odd.withColumn("other", F.lit(1)), "x", n, "bin", odd).collect()) for n in (1, 3, 10)])
+    assert either[0] == either[1]
+
+
 def test_encoder(spark):
     r = random.Random(1)
     rows = [(i, float(i), 2.0 * i + r.random(), 3.0 * i + r.random(), r.random(), "ab"[i % 2]) for i in range(200)]
