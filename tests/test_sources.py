@@ -40,6 +40,20 @@ def test_keys_and_ranges_hold_an_area(spark):
         assert {row.i for row in df.filter(zorder.within(AREA, "x", "y", key)).collect()} == want
 
 
+def test_a_key_is_worked_out_once(spark):
+    df = spark.range(10).selectExpr("id", "if(id = 1, null, if(id = 2, double('NaN'), id * 7.3D)) as x", "if(id = 3, null, if(id = 4, double('inf'), id * -3.1D)) as y")
+    keyed = df.withColumn("z", zorder.z_key("x", "y"))
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(keyed._jdf.queryExecution(), "codegen")
+    # Once for each axis; not for each time that a step of drawing bits apart names the one before.
+    assert code.count("Math.floor") == 2
+    keys = {r.id: r.z for r in keyed.collect()}
+    assert dict(keyed.dtypes)["z"] == "bigint" and {i for i, z in keys.items() if z is None} == {1, 2, 3}
+    apart = lambda v: sum((v >> k & 1) << 2 * k for k in range(zorder.BITS))
+    for i in (0, 5, 6, 7, 8, 9):
+        assert keys[i] == apart(int((i * 7.3 + 180) // (360 / 2**20))) | apart(int((i * -3.1 + 90) // (180 / 2**20))) << 1
+    assert keys[4] == apart(int((4 * 7.3 + 180) // (360 / 2**20))) | apart(2**20 - 1) << 1
+
+
 def test_an_area_reaches_the_scan(spark, tmp_path):
     path = f"{tmp_path}/places"
     df = spark.range(40_000).selectExpr("id", "-180 + (id * 7919 % 36000) / 100.0D as x", "-90 + (id * 104729 % 18000) / 100.0D as y", "id % 7 as n").unionAll(spark.sql("select -1L, null, 3.0D, 1L"))
