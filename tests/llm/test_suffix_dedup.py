@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -79,6 +80,31 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert sorted((r.name or "", r.n_bytes, r.n_removed, r.n_spans) for r in rows) == [("", 0, 0, 0), ("", 600, 600, 1), ("1", 600, 600, 1), ("1", 600, 600, 1), ("2", 5, 0, 0)]
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    moved, store = [], suffix_dedup.stored
+
+    def stored(df, name, *args, **more):
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        moved.extend(name for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan) if re.search(r"\btext#|\bfirst#|_0#\d+.*valueSet", x) and name in ("texts", "lots", "kept"))
+        return store(df, name, *args, **more)
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    r = random.Random(11)
+    prose = lambda: " ".join(str(r.random()) for _ in range(60))
+    same = prose()
+    texts = [x := prose(), x[:700] + " other " + x[400:], x[:450] + prose(), "short", "", None, "short"] + [same] * 6 + [prose() for _ in range(10)]
+    rows = sorted(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == by_hand(texts, 400)
+    assert moved == ["texts"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    # As many buckets as the session has partitions; rows are read back from tables as they were.
+    df = spark.createDataFrame([(bytes([i]), str(i) if i % 3 else None) for i in range(50)], "fp binary, x string")
+    out = store(df, "dealt", key="fp")
+    assert sorted(out.collect()) == sorted(df.collect())
+    assert {int(f.rpartition("_")[2].partition(".")[0]) for f in out.inputFiles()} == set(range(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    suffix_dedup.discard(out)
+
+
 def test_ranks_are_those_of_sorted_suffixes(spark):
     r = random.Random(5)
     strings = [[r.randint(1, 3) for _ in range(r.randint(1, 40))] for _ in range(40)] + [[1] * 30, [1] * 31, [2, 1] * 15, [5]]
